@@ -33,7 +33,7 @@ from .resample import (
     with_previous,
 )
 from .shift_report import shift_fuel_report, shift_fuel_report_all
-from .spans import needed_readings, rows_in_spans, spans_of
+from .spans import needed_readings, rows_in_spans, spans_of, totals_in_spans
 from .traces import level_trace, level_trace_ranged
 
 __all__ = [
@@ -71,6 +71,7 @@ __all__ = [
     "shift_fuel_report",
     "shift_fuel_report_all",
     "spans_of",
+    "totals_in_spans",
     "validate_interval",
     "with_previous",
 ]

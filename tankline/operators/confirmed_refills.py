@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import step
-from .slots import SLOT, slotted
+from .slots import CROWDED_ROWS, SLOT, slotted
 from .spans import HOUR_MS, SPAN, answer, spans_of
 
 
@@ -217,18 +217,26 @@ def fuel_between_confirmed_refills(
     confirm_threshold: float = 100,
     slot_ms: int = HOUR_MS,
     prune: bool = True,
+    crowded_rows: int = CROWDED_ROWS,
 ) -> DataFrame:
     """``consumption`` per request over the half-open interval; 0 where there is none.
 
     Confirmation is tested on the second consecutive rise and later, so a refuel
     seen in a single step is never confirmed, whatever its size.
     """
-    rows = slotted(readings, spans_of(intervals), "left", slot_ms=slot_ms, prune=prune)
+    rows = slotted(
+        readings,
+        spans_of(intervals),
+        "left",
+        slot_ms=slot_ms,
+        prune=prune,
+        crowded_rows=crowded_rows,
+    )
     slots = _slot_rows(_runs(rows), confirm_threshold)
-    # One row per slot: as many as the interval has hours, not readings.
+    # One row per slot or part: bounded by the interval's hours, not its readings.
     ordered = slots.groupBy(*SPAN).agg(
         F.array_sort(
-            F.collect_list(F.struct("slot", "first", "last", "entry", "head", "tail", "closed"))
+            F.collect_list(F.struct("slot", "part", "first", "last", "entry", "head", "tail", "closed"))
         ).alias("slots")
     )
     merge, state_of = _fold(confirm_threshold)

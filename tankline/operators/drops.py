@@ -13,15 +13,18 @@ from pyspark.sql import functions as F
 
 from ..functions import epoch_ms_to_ts, time_bucket_modulo
 from .resample import levels_5min
-from .spans import SPAN, answer, needed_readings, rows_in_spans, spans_of
+from .spans import (
+    SPAN,
+    answer,
+    needed_readings,
+    rows_in_spans,
+    spans_of,
+    totals_in_spans,
+)
 
 
-def levels_in_spans(
-    readings: DataFrame, spans: DataFrame, closed: str, prune: bool
-) -> DataFrame:
-    if prune:
-        readings = needed_readings(readings, spans, look_back=True)
-    return rows_in_spans(levels_5min(readings), spans, F.unix_millis("timecreated"), closed)
+def levels_for(readings: DataFrame, spans: DataFrame, prune: bool) -> DataFrame:
+    return levels_5min(needed_readings(readings, spans, True) if prune else readings)
 
 
 def _if_ok(value: Column) -> Column:
@@ -29,6 +32,11 @@ def _if_ok(value: Column) -> Column:
     return F.when(F.col("bounds_status") == "ok", value)
 
 
+def _liters(total: Column) -> Column:
+    """To one place; 0 for an interval without rows, NULL for no interval."""
+    return _if_ok(F.round(F.coalesce(total, F.lit(0)), 1).cast("decimal(28,1)"))
+
+
 def fuel_used_drops(
     readings: DataFrame,
     intervals: DataFrame,
@@ -44,14 +52,14 @@ def fuel_used_drops(
     if max_drop is not None:
         counted &= fall < max_drop
     spans = spans_of(intervals)
-    used = (
-        levels_in_spans(readings, spans, "both", prune)
-        .groupBy(*SPAN)
-        .agg(F.round(F.sum(F.when(counted, fall)), 1).alias("fuel_used"))
-    )
-    return answer(intervals, used).withColumn(
-        "fuel_used", _if_ok(F.coalesce("fuel_used", F.lit(0).cast("decimal(18,1)")))
+    used = totals_in_spans(
+        levels_for(readings, spans, prune),
+        spans,
+        F.unix_millis("timecreated"),
+        "both",
+        {"fuel_used": F.when(counted, fall)},
     )
+    return answer(intervals, used).withColumn("fuel_used", _liters(F.col("fuel_used")))
 
 
 def refuel_segments(
@@ -73,8 +81,10 @@ def refuel_segments(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     refuel = F.when(-fall > refuel_threshold, 1).otherwise(0)
+    spans = spans_of(intervals)
+    levels = levels_for(readings, spans, prune)
     return (
-        levels_in_spans(readings, spans_of(intervals), "both", prune)
+        rows_in_spans(levels, spans, F.unix_millis("timecreated"), "both")
         .withColumn("seg_no", F.sum(refuel).over(order))
         .groupBy(*SPAN, "seg_no")
         .agg(
@@ -95,13 +105,13 @@ def fuel_used_by_segment(
         refuel_segments(readings, intervals, refuel_threshold, max_step_drop, prune)
         .groupBy(*SPAN)
         .agg(
-            F.round(F.sum("seg_consumption"), 1).alias("fuel_used"),
+            F.sum("seg_consumption").alias("fuel_used"),
             F.count(F.lit(1)).alias("segments"),
         )
     )
     return answer(intervals, total).withColumns(
         {
-            "fuel_used": _if_ok(F.coalesce("fuel_used", F.lit(0).cast("decimal(18,1)"))),
+            "fuel_used": _liters(F.col("fuel_used")),
             "segments": _if_ok(F.coalesce("segments", F.lit(0))),
         }
     )
@@ -125,24 +135,25 @@ def clean_drop_rise(
     rise = -fall > refuel_threshold
     if cap_rises:
         rise &= -fall <= max_step_drop
-    sums = (
-        levels_in_spans(readings, spans_of(intervals), "both", prune)
-        .filter(fall.isNotNull())
-        .groupBy(*SPAN)
-        .agg(
-            F.round(F.sum(F.when(drop, fall)), 1).alias("total_used"),
-            F.round(F.sum(F.when(rise, -fall)), 1).alias("total_refueled"),
-            F.count_if(drop | rise).cast("int").alias("valid_points"),
-            F.count(F.lit(1)).cast("int").alias("total_points"),
-        )
+    spans = spans_of(intervals)
+    sums = totals_in_spans(
+        levels_for(readings, spans, prune),
+        spans,
+        F.unix_millis("timecreated"),
+        "both",
+        {
+            "total_used": F.when(drop, fall),
+            "total_refueled": F.when(rise, -fall),
+            "valid_points": F.when(drop | rise, 1),
+            "total_points": F.when(fall.isNotNull(), 1),
+        },
     )
-    none = F.lit(0).cast("decimal(18,1)")
     return answer(intervals, sums).withColumns(
         {
-            "total_used": _if_ok(F.coalesce("total_used", none)),
-            "total_refueled": _if_ok(F.coalesce("total_refueled", none)),
-            "valid_points": _if_ok(F.coalesce("valid_points", F.lit(0))),
-            "total_points": _if_ok(F.coalesce("total_points", F.lit(0))),
+            "total_used": _liters(F.col("total_used")),
+            "total_refueled": _liters(F.col("total_refueled")),
+            "valid_points": _if_ok(F.coalesce("valid_points", F.lit(0)).cast("int")),
+            "total_points": _if_ok(F.coalesce("total_points", F.lit(0)).cast("int")),
         }
     )
 

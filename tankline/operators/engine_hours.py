@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import DAY_MS
 from ..sources.files import engine_hour_entries
 from .intervals import interval_of_seconds
-from .slots import SLOT, slot_order, slotted
+from .slots import CROWDED_ROWS, SLOT, slot_order, slotted
 from .spans import HOUR_MS, SPAN, answer, spans_of, unit_of
 
 # The statuses that count as idle, breakdown and waiting.
@@ -53,7 +53,7 @@ def idle_seconds(
     )
     overlap = F.least("b", "d") - F.greatest("a", "c")
     sums = (
-        asked.join(spent, ["eqmt", "day__"])
+        asked.join(spent.hint("merge"), ["eqmt", "day__"])
         .filter(overlap > 0)
         .groupBy("eqmt", "t0", "t1")
         .agg((F.sum(overlap) / 1000.0).alias("idle_seconds"))
@@ -64,7 +64,7 @@ def idle_seconds(
 
 
 def _valid_entries(
-    entries: DataFrame, intervals: DataFrame, slot_ms: int, prune: bool
+    entries: DataFrame, intervals: DataFrame, slot_ms: int, prune: bool, crowded_rows: int
 ) -> DataFrame:
     """Per span: number, extremes and times of the believable meter entries.
 
@@ -72,7 +72,7 @@ def _valid_entries(
     since the entry before plus one. The comparison stays in whole milliseconds.
     """
     rows = slotted(
-        engine_hour_entries(entries), spans_of(intervals), "both", "engrs", slot_ms, prune
+        engine_hour_entries(entries), spans_of(intervals), "both", "engrs", slot_ms, prune, crowded_rows
     )
 
     def believable(value, before, at, at_before):
@@ -126,6 +126,7 @@ def engine_hours(
     literal: bool = False,
     slot_ms: int = ENTRY_SLOT_MS,
     prune: bool = True,
+    crowded_rows: int = CROWDED_ROWS,
 ) -> DataFrame:
     """``engine_hours`` per request ``(eqmt, t0, t1)`` in epoch seconds.
 
@@ -141,7 +142,7 @@ def engine_hours(
         found = found.withColumns({"last_s": F.col("first_s"), "gain": F.lit(0)})
     else:
         seconds = lambda ms: F.call_function("div", F.col(ms), F.lit(1000))
-        per_span = _valid_entries(entries, intervals, slot_ms, prune)
+        per_span = _valid_entries(entries, intervals, slot_ms, prune, crowded_rows)
         found = answer(intervals, per_span).select(
             *requests.columns,
             F.coalesce("kept", F.lit(0)).alias("kept"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import step
-from .slots import SLOT, slot_order, slotted
+from .slots import CROWDED_ROWS, SLOT, slot_order, slotted
 from .spans import HOUR_MS, SPAN, answer, needed_readings, spans_of, unit_of
 
 
@@ -95,7 +95,11 @@ def fuel_level_difference(
 
 
 def fuel_used_raw_drops(
-    readings: DataFrame, intervals: DataFrame, slot_ms: int = HOUR_MS, prune: bool = True
+    readings: DataFrame,
+    intervals: DataFrame,
+    slot_ms: int = HOUR_MS,
+    prune: bool = True,
+    crowded_rows: int = CROWDED_ROWS,
 ) -> DataFrame:
     """Sum of the falls between neighboring raw readings inside the interval.
 
@@ -103,7 +107,14 @@ def fuel_used_raw_drops(
     when there is no interval.
     """
     known = readings.filter(F.col("liters").isNotNull())
-    rows = slotted(known, spans_of(intervals), "both", slot_ms=slot_ms, prune=prune)
+    rows = slotted(
+        known,
+        spans_of(intervals),
+        "both",
+        slot_ms=slot_ms,
+        prune=prune,
+        crowded_rows=crowded_rows,
+    )
     fall = F.greatest(step(F.col("prev"), F.col("liters")), F.lit(0.0))
     slots = rows.groupBy(*SLOT).agg(
         F.sum(F.when(F.col("prev").isNotNull(), fall)).alias("inside"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import step
-from .slots import SLOT, slot_order, slotted
+from .slots import CROWDED_ROWS, SLOT, slot_at, slot_order, slotted
 from .spans import HOUR_MS, SPAN, answer, spans_of
 
 
@@ -17,6 +17,7 @@ def analyze_fuel(
     anomaly_threshold: float = 100,
     slot_ms: int = HOUR_MS,
     prune: bool = True,
+    crowded_rows: int = CROWDED_ROWS,
 ) -> DataFrame:
     """Eight measures per request over the half-open interval.
 
@@ -34,7 +35,14 @@ def analyze_fuel(
     NULL levels count as points and hide the changes next to them. A NULL first
     level makes consumption NULL once a refuel comes, and 0 otherwise.
     """
-    rows = slotted(readings, spans_of(intervals), "left", slot_ms=slot_ms, prune=prune)
+    rows = slotted(
+        readings,
+        spans_of(intervals),
+        "left",
+        slot_ms=slot_ms,
+        prune=prune,
+        crowded_rows=crowded_rows,
+    )
     change = step(F.col("liters"), F.col("prev"))
     refill = change > refill_sensitivity
     anomaly = change < -anomaly_threshold
@@ -60,9 +68,9 @@ def analyze_fuel(
         ),
         (F.sum("refills") + F.count_if(refill_across)).alias("refills"),
         (F.sum("anomalies") + F.count_if(F.col("across") < -anomaly_threshold)).alias("anomalies"),
-        F.max(F.when(top.isNotNull(), F.struct("slot", top.alias("level")))).alias("top"),
-        F.min_by("first", "slot").alias("start_level"),
-        F.max_by("last", "slot").alias("end_level"),
+        F.max(F.when(top.isNotNull(), F.struct("slot", "part", top.alias("level")))).alias("top"),
+        F.min_by("first", slot_at()).alias("start_level"),
+        F.max_by("last", slot_at()).alias("end_level"),
     )
     start, end = F.col("start_level"), F.col("end_level")
     top = F.col("top.level")

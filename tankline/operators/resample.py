@@ -29,10 +29,16 @@ def resample_avg(
     """
     if seconds is not None:
         readings = range_filter(readings, *seconds)
+    mean = F.round(F.avg("liters"), 9).alias("fuel")
+    if 15 % minutes == 0:
+        # Every zone's offset is whole quarters of an hour, so these buckets are
+        # plain epoch arithmetic: group by a number, make the time afterwards.
+        at = F.col("time_created")
+        start = at - F.pmod(at, F.lit(minutes * 60_000))
+        means = readings.groupBy(start.alias("start"), "eqmt").agg(mean)
+        return means.select(F.timestamp_millis("start").alias("tm"), "eqmt", "fuel")
     tm = time_bucket(epoch_ms_to_ts("time_created", exact=False), minutes)
-    return readings.groupBy(tm.alias("tm"), "eqmt").agg(
-        F.round(F.avg("liters"), 9).alias("fuel")
-    )
+    return readings.groupBy(tm.alias("tm"), "eqmt").agg(mean)
 
 
 def with_previous(levels: DataFrame, value: str = "fuel", time: str = "tm") -> DataFrame:

@@ -6,19 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import DAY_MS, wall_clock_ms
-from .drops import levels_in_spans
+from .drops import levels_for
 from .resample import levels_5min
-from .spans import SPAN, spans_of, unit_of
+from .spans import SPAN, spans_of, totals_in_spans, unit_of
 
 
-def _report(perc_no_data: float, perc_need_cab: float) -> tuple[list[Column], list[Column]]:
+def _report(perc_no_data: float, perc_need_cab: float) -> tuple[dict[str, Column], list[Column]]:
+    """What to sum over an interval's levels, and what to say about the sums."""
     change = F.col("liters") - F.col("liters_prev")
-    measures = [
-        F.sum(F.when(change < 0, -change).otherwise(0)).alias("fuel_used"),
-        F.sum(F.when(change > 0, 1).otherwise(0)).alias("rises"),
-        F.sum(F.when(change > 15, 1).otherwise(0)).alias("leaps"),
-        F.count(F.lit(1)).alias("valid_points"),
-    ]
+    measures = {
+        "fuel_used": F.when(change < 0, -change).otherwise(0),
+        "rises": F.when(change > 0, 1).otherwise(0),
+        "leaps": F.when(change > 15, 1).otherwise(0),
+        "valid_points": F.lit(1),
+    }
     # Shares compared without dividing: exact, and safe for any count.
     rising = F.col("rises") * 100 > F.col("valid_points") * F.lit(perc_no_data)
     leaping = F.col("leaps") * 100 > F.col("valid_points") * F.lit(perc_need_cab)
@@ -46,9 +47,10 @@ def shift_fuel_report(
     status does not blank ``fuel_used``. No readings, or no interval: no row.
     """
     measures, verdict = _report(perc_no_data, perc_need_cab)
-    levels = levels_in_spans(readings, spans_of(intervals), "left", prune)
-    sums = levels.groupBy(*SPAN).agg(*measures)
-    sums = sums.withColumn("eqmt", F.col("eqmt").cast("int"))
+    spans = spans_of(intervals)
+    levels = levels_for(readings, spans, prune)
+    sums = totals_in_spans(levels, spans, F.unix_millis("timecreated"), "left", measures)
+    sums = sums.filter(F.col("valid_points") > 0).withColumn("eqmt", F.col("eqmt").cast("int"))
     return (
         intervals.filter(F.col("bounds_status") == "ok")
         .join(sums, list(SPAN))
@@ -90,6 +92,6 @@ def shift_fuel_report_all(
         .join(by_day, "day__")
         .filter((F.col("at_ms") >= F.col("from_ms")) & (F.col("at_ms") < F.col("to_ms")))
         .groupBy("eqmt", "time_from", "time_to")
-        .agg(*measures)
+        .agg(*[F.sum(m).alias(name) for name, m in measures.items()])
         .select(F.col("eqmt").cast("int").alias("eqmt_id"), "time_from", "time_to", *verdict)
     )

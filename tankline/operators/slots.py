@@ -6,6 +6,10 @@ is cut into slots (an hour unless told otherwise), the window runs inside a
 slot, each slot is reduced to one row, and the few slot rows of an interval
 (bounded by its length in time) are then put together in order.
 
+A slot crowded with readings is cut further, into equal parts of its time. The
+crowded slots are counted from two columns of the table, the ten thousand
+largest at most, and are known to both sides of the join.
+
 Equal readings (same machine, millisecond and level) are first merged into one
 with a count. They are neighbors in the order, so no difference between them
 exists, and a pile of copies shrinks before it is shuffled. Readings of one
@@ -14,18 +18,42 @@ millisecond are ordered by level, NULL first.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .spans import HOUR_MS, SPAN, needed_readings, rows_in_spans
+from .spans import HOUR_MS, SPAN, is_inside, needed_readings, unit_of, units_in
+
+SLOT = (*SPAN, "slot", "part")
+
+# A slot with more readings than this is cut into parts of about as many.
+CROWDED_ROWS = 1_000_000
 
-SLOT = (*SPAN, "slot")
+# Fixed bounds: how many slots are cut, and into how many parts at most.
+MAX_CROWDED_SLOTS = 10_000
+MAX_PARTS = 3_600
 
 
 def merged_copies(rows: DataFrame, value: str) -> DataFrame:
     return rows.groupBy("eqmt", "time_created", value).agg(F.count(F.lit(1)).alias("copies"))
 
 
+def crowded_slots(rows: DataFrame, slot_ms: int, crowded_rows: int) -> DataFrame:
+    """``eqmt, slot, parts`` of the slots to cut, ``MAX_CROWDED_SLOTS`` rows at most.
+
+    Slots beyond that many stay whole, which changes no result: each of them
+    holds less than a ten-thousandth of all readings.
+    """
+    parts = F.least(F.ceil(F.col("n") / F.lit(crowded_rows)), F.lit(MAX_PARTS)).cast("int")
+    return (
+        rows.groupBy("eqmt", unit_of(F.col("time_created"), slot_ms).alias("slot"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") > crowded_rows)
+        .orderBy(F.desc("n"), "eqmt", "slot")
+        .limit(MAX_CROWDED_SLOTS)
+        .select("eqmt", "slot", parts.alias("parts"))
+    )
+
+
 def slotted(
     rows: DataFrame,
     spans: DataFrame,
@@ -33,29 +61,58 @@ def slotted(
     value: str = "liters",
     slot_ms: int = HOUR_MS,
     prune: bool = True,
+    crowded_rows: int = CROWDED_ROWS,
 ) -> DataFrame:
     """Distinct readings per span and slot with the previous one of the same slot.
 
-    Adds ``slot``, ``copies``, ``ord`` (the position), ``prev`` and ``prev_time``;
-    the latter two are NULL on a slot's first row. The join and every later step
-    keyed by the slot share one shuffle. ``prune`` cuts the rows to the spans' time and
-    machines at the scan.
+    Adds ``slot, part``, ``copies``, ``ord`` (the position), ``prev`` and
+    ``prev_time``; the latter two are NULL on a slot's first row. The join and
+    every later step keyed by the slot share one shuffle. ``prune`` cuts the
+    rows to the spans' time and machines at the scan.
     """
     if prune:
         rows = needed_readings(rows, spans, look_back=False)
-    inside = rows_in_spans(
-        merged_copies(rows, value), spans, F.col("time_created"), closed, unit_ms=slot_ms, keep_unit="slot"
+    at = F.col("time_created")
+    # Broadcast: bounded by MAX_CROWDED_SLOTS.
+    crowded = F.broadcast(crowded_slots(rows, slot_ms, crowded_rows))
+    into = F.pmod(at, F.lit(slot_ms)) * F.col("parts")
+    part = F.call_function("div", into, F.lit(slot_ms)).cast("int")
+    placed = (
+        merged_copies(rows, value)
+        .withColumn("slot", unit_of(at, slot_ms))
+        .join(crowded, ["eqmt", "slot"], "left")
+        .withColumn("part", F.coalesce(part, F.lit(0)))
+        .drop("parts")
+    )
+    kind = rows.schema["eqmt"].dataType
+    units = (
+        units_in(spans.withColumn("eqmt", F.col("eqmt").cast(kind)), slot_ms, "slot")
+        .join(crowded, ["eqmt", "slot"], "left")
+        .withColumn(
+            "part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - F.lit(1)))
+        )
+        .drop("parts")
     )
     order = Window.partitionBy(*SLOT).orderBy("time_created", F.asc_nulls_first(value))
-    return inside.withColumns(
-        {
-            "ord": F.struct("time_created", value),
-            "prev": F.lag(value).over(order),
-            "prev_time": F.lag("time_created").over(order),
-        }
+    # Never broadcast: the cut spans may be far larger than Spark expects.
+    return (
+        placed.join(units.hint("merge"), ["eqmt", "slot", "part"])
+        .filter(is_inside(at, closed))
+        .withColumns(
+            {
+                "ord": F.struct("time_created", value),
+                "prev": F.lag(value).over(order),
+                "prev_time": F.lag("time_created").over(order),
+            }
+        )
     )
 
 
-def slot_order() -> Window:
+def slot_order() -> WindowSpec:
     """Slots of one span in time order."""
-    return Window.partitionBy(*SPAN).orderBy("slot")
+    return Window.partitionBy(*SPAN).orderBy("slot", "part")
+
+
+def slot_at():
+    """The position of a slot row, to compare within a span."""
+    return F.struct("slot", "part")

@@ -1,15 +1,19 @@
-"""Joining a time series to many intervals, without a nested loop.
+"""Bringing a time series and many intervals together, without a nested loop.
 
-Each interval is cut into the time units it touches (days, or shorter slots) and
-joined on (machine, unit), then the exact bounds are applied. An interval has
-each unit once, so no match comes twice. The join has equality keys: Spark
-broadcasts the intervals only when it knows them small, and splits a hot
-(machine, unit) otherwise (``spark.sql.adaptive.skewJoin.enabled``).
+``totals_in_spans`` is for sums and counts: one running total per machine, read
+at the two ends of every interval. Its work is the series plus the intervals,
+however much the intervals overlap.
+
+``rows_in_spans`` is for work that needs the rows of each interval. The interval
+is cut into the days it touches and joined on (machine, day), then the exact bounds
+are applied. An interval has each day once, so no match comes twice. The cut
+intervals may be many times larger than Spark expects of the uncut ones, so the
+join never broadcasts them; a hot (machine, day) is split by Spark's skew join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import DAY_MS
@@ -20,7 +24,21 @@ HOUR_MS = 3_600_000
 
 
 def unit_of(ms: Column, unit_ms: int) -> Column:
-    return F.call_function("div", ms, F.lit(unit_ms))
+    """Number of the unit (day, hour) of an epoch time, also before 1970."""
+    return F.call_function("div", ms - F.pmod(ms, F.lit(unit_ms)), F.lit(unit_ms))
+
+
+def units_in(spans: DataFrame, unit_ms: int, name: str) -> DataFrame:
+    """Each span once for every unit it touches."""
+    first, last = unit_of(F.col("from_ms"), unit_ms), unit_of(F.col("to_ms"), unit_ms)
+    return spans.withColumn(name, F.explode(F.sequence(first, last)))
+
+
+def is_inside(at: Column, closed: str) -> Column:
+    if closed not in ("both", "left"):
+        raise ValueError("closed must be 'both' or 'left'")
+    before_end = at <= F.col("to_ms") if closed == "both" else at < F.col("to_ms")
+    return (at >= F.col("from_ms")) & before_end
 
 
 def spans_of(intervals: DataFrame) -> DataFrame:
@@ -54,43 +72,74 @@ def needed_readings(readings: DataFrame, spans: DataFrame, look_back: bool) -> D
     )
 
 
-def rows_in_spans(
+def rows_in_spans(rows: DataFrame, spans: DataFrame, at_ms: Column, closed: str) -> DataFrame:
+    """Inner join of ``rows`` to the spans that hold them.
+
+    ``closed`` is ``both`` or ``left``. The result has the rows' own columns and
+    ``from_ms, to_ms``; a row in several spans appears once in each.
+    """
+    kind = rows.schema["eqmt"].dataType
+    days = units_in(spans.withColumn("eqmt", F.col("eqmt").cast(kind)), DAY_MS, "day__")
+    return (
+        rows.withColumn("at__", at_ms)
+        .withColumn("day__", unit_of(F.col("at__"), DAY_MS))
+        .join(days.hint("merge"), ["eqmt", "day__"])
+        .filter(is_inside(F.col("at__"), closed))
+        .drop("at__", "day__")
+    )
+
+
+def totals_in_spans(
     rows: DataFrame,
     spans: DataFrame,
     at_ms: Column,
     closed: str,
-    unit_ms: int = DAY_MS,
-    keep_unit: str | None = None,
+    measures: dict[str, Column],
 ) -> DataFrame:
-    """Inner join of ``rows`` to the spans that hold them.
+    """Sums of ``measures`` over the rows of each span; spans without rows get zeros.
 
-    ``closed`` is ``both`` or ``left``. The result has the rows' own columns and
-    ``from_ms, to_ms``; a row in several spans appears once in each. With
-    ``keep_unit`` the time unit stays as a column of that name.
+    ``rows`` must be few per machine (levels, slots): a machine's rows and the
+    distinct ends of its spans are summed in one ordered pass. Measures must be
+    whole numbers or decimals, so that the difference of two totals is exact.
     """
-    if closed not in ("both", "left"):
-        raise ValueError("closed must be 'both' or 'left'")
     kind = rows.schema["eqmt"].dataType
-    unit = keep_unit or "unit__"
-    units = spans.select(
-        F.col("eqmt").cast(kind).alias("eqmt"),
-        "from_ms",
-        "to_ms",
-        F.explode(
-            F.sequence(unit_of(F.col("from_ms"), unit_ms), unit_of(F.col("to_ms"), unit_ms))
-        ).alias(unit),
+    # Ends before the rows of their millisecond exclude them, ends after include.
+    first, last = 0, 2 if closed == "both" else 0
+
+    def end(ms: str, side: int, sign: int) -> Column:
+        return F.struct(
+            F.col(ms).alias("at__"), F.lit(side).alias("side__"), F.lit(sign).alias("sign__")
+        )
+
+    ends = F.inline(F.array(end("from_ms", first, -1), end("to_ms", last, 1)))
+    asked = spans.select(F.col("eqmt").cast(kind).alias("eqmt"), "from_ms", "to_ms", ends)
+    valued = rows.select(
+        "eqmt",
+        at_ms.alias("at__"),
+        F.lit(1).alias("side__"),
+        *[F.coalesce(m, F.lit(0)).alias(name) for name, m in measures.items()],
     )
-    at = F.col("at__")
-    inside = at >= F.col("from_ms")
-    inside &= (at <= F.col("to_ms")) if closed == "both" else (at < F.col("to_ms"))
-    joined = (
-        rows.withColumn("at__", at_ms)
-        .withColumn(unit, unit_of(at, unit_ms))
-        .join(units, ["eqmt", unit])
-        .filter(inside)
-        .drop("at__")
+    marks = asked.select("eqmt", "at__", "side__").distinct()
+    running = (
+        Window.partitionBy("eqmt")
+        .orderBy("at__", "side__")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    totals = (
+        valued.unionByName(marks, allowMissingColumns=True)
+        .withColumns({name: F.sum(name).over(running) for name in measures})
+        .filter(F.col("side__") != 1)
+    )
+
+    def difference(name: str) -> Column:
+        total = F.coalesce(F.col(name), F.lit(0))
+        return F.sum(F.when(F.col("sign__") > 0, total).otherwise(-total)).alias(name)
+
+    return (
+        asked.join(totals, ["eqmt", "at__", "side__"])
+        .groupBy(*SPAN)
+        .agg(*[difference(name) for name in measures])
     )
-    return joined if keep_unit else joined.drop(unit)
 
 
 def answer(intervals: DataFrame, per_span: DataFrame) -> DataFrame:

@@ -30,9 +30,18 @@ MONTH = (1_704_067_200, 1_706_745_599)
 TEN_DAYS = (1_704_844_800, 1_705_708_800)
 
 
+EVENTS = (
+    "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+)
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The schema is given: inferring it would cost a job for every use.
+    return spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
+
+
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.select(
+    return events(spark, sf_dir).select(
         F.unix_millis(F.col("ts").cast("timestamp")).alias("time_created"),
         F.col("user_id").cast("int").alias("eqmt"),
         F.col("props").alias("raw"),
@@ -50,11 +59,10 @@ def shifts_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def engine_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A slowly rising meter; sign-ups stand for mistyped entries."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     hours = (ms - F.lit(MONTH[0] * 1000)) / F.lit(3_600_000.0)
     typo = F.when(F.col("event_type") == "signup", 50).otherwise(0)
-    return events.select(
+    return events(spark, sf_dir).select(
         ms.alias("time_created"),
         F.col("user_id").cast("int").alias("eqmt"),
         (1000 + F.floor(hours * 0.6) + typo).cast("int").alias("engrs"),
@@ -63,9 +71,9 @@ def engine_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def idle_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every error stands for an hour of breakdown, every click for one of use."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
     at = F.col("ts").cast("timestamp")
-    return events.filter(F.col("event_type").isin("error", "click")).select(
+    used = events(spark, sf_dir).filter(F.col("event_type").isin("error", "click"))
+    return used.select(
         F.col("user_id").cast("int").alias("eqmt"),
         F.when(F.col("event_type") == "error", 1).otherwise(2).alias("status"),
         at.alias("t0"),
