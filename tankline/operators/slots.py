@@ -25,13 +25,16 @@ from .spans import HOUR_MS, SPAN, is_inside, needed_readings, unit_of, units_in
 
 SLOT = (*SPAN, "slot", "part")
 
-# A slot with more readings than this is cut into parts of about as many.
+# A slot with more readings than this is cut into parts of no more, bursts apart.
 CROWDED_ROWS = 1_000_000
 
 # Fixed bounds: how many slots are cut, and into how many parts at most.
 MAX_CROWDED_SLOTS = 10_000
 MAX_PARTS = 3_600
 
+# Parts are made finer than the mean needs, since readings come in bursts.
+FINER = 16
+
 
 def merged_copies(rows: DataFrame, value: str) -> DataFrame:
     return rows.groupBy("eqmt", "time_created", value).agg(F.count(F.lit(1)).alias("copies"))
@@ -43,7 +46,8 @@ def crowded_slots(rows: DataFrame, slot_ms: int, crowded_rows: int) -> DataFrame
     Slots beyond that many stay whole, which changes no result: each of them
     holds less than a ten-thousandth of all readings.
     """
-    parts = F.least(F.ceil(F.col("n") / F.lit(crowded_rows)), F.lit(MAX_PARTS)).cast("int")
+    parts = F.ceil(F.col("n") / F.lit(crowded_rows)) * FINER
+    parts = F.least(parts, F.lit(MAX_PARTS)).cast("int")
     return (
         rows.groupBy("eqmt", unit_of(F.col("time_created"), slot_ms).alias("slot"))
         .agg(F.count(F.lit(1)).alias("n"))
