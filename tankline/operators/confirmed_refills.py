@@ -25,9 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import step
+from ..functions import DAY_MS, step
 from .slots import CROWDED_ROWS, SLOT, slotted
-from .spans import HOUR_MS, SPAN, answer, spans_of
+from .spans import SPAN, answer, spans_of
 
 
 def _runs(rows: DataFrame) -> DataFrame:
@@ -215,7 +215,7 @@ def fuel_between_confirmed_refills(
     readings: DataFrame,
     intervals: DataFrame,
     confirm_threshold: float = 100,
-    slot_ms: int = HOUR_MS,
+    slot_ms: int = DAY_MS,
     prune: bool = True,
     crowded_rows: int = CROWDED_ROWS,
 ) -> DataFrame:
@@ -233,7 +233,7 @@ def fuel_between_confirmed_refills(
         crowded_rows=crowded_rows,
     )
     slots = _slot_rows(_runs(rows), confirm_threshold)
-    # One row per slot or part: bounded by the interval's hours, not its readings.
+    # One row per slot or part: bounded by the interval's length, not its readings.
     ordered = slots.groupBy(*SPAN).agg(
         F.array_sort(
             F.collect_list(F.struct("slot", "part", "first", "last", "entry", "head", "tail", "closed"))

@@ -16,34 +16,27 @@ from .spans import HOUR_MS, SPAN, answer, spans_of, unit_of
 # The statuses that count as idle, breakdown and waiting.
 IDLE_STATUSES = (1, 3)
 
-# Meter entries are typed by hand, a few a day: longer slots than for readings.
-ENTRY_SLOT_MS = 24 * HOUR_MS
-
 
 def _day_pieces(df: DataFrame, low: str, high: str) -> DataFrame:
-    """Cut each [low, high) into its days; the pieces of one row do not overlap."""
-    last = F.greatest(F.col(low), F.col(high) - 1)
-    day = F.explode(F.sequence(unit_of(F.col(low), DAY_MS), unit_of(last, DAY_MS)))
+    """Cut each [low, high) into its days; the pieces of one row do not overlap.
+
+    A row with an empty or unknown range stays, without a day.
+    """
+    first, last = unit_of(F.col(low), DAY_MS), unit_of(F.col(high) - 1, DAY_MS)
+    days = F.when(F.col(low) < F.col(high), F.sequence(first, last))
     start, stop = F.col("day__") * DAY_MS, (F.col("day__") + 1) * DAY_MS
-    return df.filter(F.col(low) < F.col(high)).withColumn("day__", day).withColumns(
+    return df.select("*", F.explode_outer(days).alias("day__")).withColumns(
         {low: F.greatest(F.col(low), start), high: F.least(F.col(high), stop)}
     )
 
 
-def idle_seconds(
-    windows: DataFrame, idle: DataFrame, statuses: Sequence[int] = IDLE_STATUSES
-) -> DataFrame:
-    """Seconds of each ``windows(eqmt, t0, t1)`` spent in the given statuses.
+def _with_idle(windows: DataFrame, idle: DataFrame, statuses: Sequence[int]) -> DataFrame:
+    """Days of ``windows(eqmt, a, b, ...)`` in ms, each with the idle pieces it meets.
 
-    ``windows`` is in epoch seconds, ``idle(eqmt, status, t0, t1)`` in instants.
-    Both are cut into days and joined on (machine, day), so a long idle interval
-    or window spreads over its days. Every distinct window gives a row, 0
-    without idle time. Overlapping idle intervals count each.
+    Windows and idle intervals are cut into days and joined on (machine, day), so
+    a long one spreads over its days. Adds ``idle_ms``; a window may come in many
+    rows, at least one.
     """
-    wanted = windows.select("eqmt", "t0", "t1").distinct()
-    asked = _day_pieces(
-        wanted.withColumns({"a": F.col("t0") * 1000, "b": F.col("t1") * 1000}), "a", "b"
-    )
     spent = _day_pieces(
         idle.filter(F.col("status").isin(list(statuses))).select(
             "eqmt", F.unix_millis("t0").alias("c"), F.unix_millis("t1").alias("d")
@@ -52,19 +45,35 @@ def idle_seconds(
         "d",
     )
     overlap = F.least("b", "d") - F.greatest("a", "c")
-    sums = (
-        asked.join(spent.hint("merge"), ["eqmt", "day__"])
-        .filter(overlap > 0)
-        .groupBy("eqmt", "t0", "t1")
-        .agg((F.sum(overlap) / 1000.0).alias("idle_seconds"))
+    return (
+        _day_pieces(windows, "a", "b")
+        .join(spent.hint("merge"), ["eqmt", "day__"], "left")
+        .withColumn("idle_ms", F.when(F.col("c").isNotNull() & (overlap > 0), overlap))
     )
-    return wanted.join(sums, ["eqmt", "t0", "t1"], "left").withColumn(
-        "idle_seconds", F.coalesce("idle_seconds", F.lit(0.0))
+
+
+def idle_seconds(
+    windows: DataFrame, idle: DataFrame, statuses: Sequence[int] = IDLE_STATUSES
+) -> DataFrame:
+    """Seconds of each ``windows(eqmt, t0, t1)`` spent in the given statuses.
+
+    ``windows`` is in epoch seconds, ``idle(eqmt, status, t0, t1)`` in instants.
+    Every distinct window gives a row, 0 without idle time. Overlapping idle
+    intervals count each.
+    """
+    asked = windows.select(
+        "eqmt", "t0", "t1", (F.col("t0") * 1000).alias("a"), (F.col("t1") * 1000).alias("b")
+    ).distinct()
+    seconds = F.coalesce(F.sum("idle_ms"), F.lit(0)) / 1000.0
+    return (
+        _with_idle(asked, idle, statuses)
+        .groupBy("eqmt", "t0", "t1")
+        .agg(seconds.alias("idle_seconds"))
     )
 
 
 def _valid_entries(
-    entries: DataFrame, intervals: DataFrame, slot_ms: int, prune: bool, crowded_rows: int
+    entries: DataFrame, spans: DataFrame, slot_ms: int, prune: bool, crowded_rows: int
 ) -> DataFrame:
     """Per span: number, extremes and times of the believable meter entries.
 
@@ -72,7 +81,7 @@ def _valid_entries(
     since the entry before plus one. The comparison stays in whole milliseconds.
     """
     rows = slotted(
-        engine_hour_entries(entries), spans_of(intervals), "both", "engrs", slot_ms, prune, crowded_rows
+        engine_hour_entries(entries), spans, "both", "engrs", slot_ms, prune, crowded_rows
     )
 
     def believable(value, before, at, at_before):
@@ -124,7 +133,7 @@ def engine_hours(
     requests: DataFrame,
     idle: DataFrame | None = None,
     literal: bool = False,
-    slot_ms: int = ENTRY_SLOT_MS,
+    slot_ms: int = DAY_MS,
     prune: bool = True,
     crowded_rows: int = CROWDED_ROWS,
 ) -> DataFrame:
@@ -136,61 +145,55 @@ def engine_hours(
     idle time. ``literal`` always takes the second way.
     """
     intervals = interval_of_seconds(requests)
-    asked = F.col("t1") - F.col("t0")
+    spans = spans_of(intervals)
     if literal:
-        found = requests.withColumns({"kept": F.lit(0), "first_s": F.lit(None).cast("long")})
-        found = found.withColumns({"last_s": F.col("first_s"), "gain": F.lit(0)})
+        found = spans.withColumns(
+            {c: F.lit(None).cast("bigint") for c in ("kept", "first_at", "last_at", "gain")}
+        )
     else:
-        seconds = lambda ms: F.call_function("div", F.col(ms), F.lit(1000))
-        per_span = _valid_entries(entries, intervals, slot_ms, prune, crowded_rows)
-        found = answer(intervals, per_span).select(
-            *requests.columns,
-            F.coalesce("kept", F.lit(0)).alias("kept"),
-            seconds("first_at").alias("first_s"),
-            seconds("last_at").alias("last_s"),
-            (F.col("high") - F.col("low")).alias("gain"),
+        valid = _valid_entries(entries, spans, slot_ms, prune, crowded_rows)
+        found = spans.join(valid, list(SPAN), "left").select(
+            *SPAN, "kept", "first_at", "last_at", (F.col("high") - F.col("low")).alias("gain")
         )
-    by_meter = F.col("kept") > 1
+    # Whole seconds, as milliseconds.
+    whole = lambda ms: F.col(ms) - F.pmod(F.col(ms), F.lit(1000))
+    found = found.withColumns(
+        {"end_ms": whole("to_ms"), "first_at": whole("first_at"), "last_at": whole("last_at")}
+    )
+    parts = {
+        "idle_all": ("from_ms", "end_ms"),
+        "idle_head": ("from_ms", "first_at"),
+        "idle_tail": ("last_at", "end_ms"),
+    }
     if idle is None:
-        found = found.withColumns({c: F.lit(0.0) for c in ("idle_all", "idle_head", "idle_tail")})
+        found = found.withColumns({part: F.lit(0) for part in parts})
     else:
-        parts = {"idle_all": ("t0", "t1"), "idle_head": ("t0", "first_s"), "idle_tail": ("last_s", "t1")}
-        if literal:
-            parts = {"idle_all": ("t0", "t1")}
-            found = found.withColumns({"idle_head": F.lit(0.0), "idle_tail": F.lit(0.0)})
-        windows = found.select(
-            "eqmt",
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(
-                            F.col(a).cast("long").alias("t0"), F.col(b).cast("long").alias("t1")
-                        )
-                        for a, b in parts.values()
-                    ]
-                )
-            ),
-        ).filter(F.col("t0").isNotNull() & F.col("t1").isNotNull())
-        spent = idle_seconds(windows, idle)
-        for name, (a, b) in parts.items():
-            part = spent.select(
-                F.col("eqmt").alias("e__"),
-                F.col("t0").alias("a__"),
-                F.col("t1").alias("b__"),
-                F.col("idle_seconds").alias(name),
-            )
-            here = (F.col("eqmt") == F.col("e__")) & (F.col(a) == F.col("a__")) & (
-                F.col(b) == F.col("b__")
-            )
-            found = found.join(part, here, "left").drop("e__", "a__", "b__")
-            found = found.withColumn(name, F.coalesce(name, F.lit(0.0)))
+        cuts = F.array(
+            *[
+                F.struct(F.lit(part).alias("part"), F.col(a).alias("a"), F.col(b).alias("b"))
+                for part, (a, b) in parts.items()
+            ]
+        )
+        sums = [
+            F.coalesce(F.sum(F.when(F.col("part") == part, F.col("idle_ms"))), F.lit(0)).alias(part)
+            for part in parts
+        ]
+        met = _with_idle(found.select("*", F.inline(cuts)), idle, IDLE_STATUSES)
+        found = met.groupBy(*found.columns).agg(*sums)
+    hour = F.lit(3_600_000.0)
     metered = F.round(
         F.col("gain")
-        + (F.col("t1") - F.col("last_s") - F.col("idle_tail")) / 3600.0
-        + (F.col("first_s") - F.col("t0") - F.col("idle_head")) / 3600.0,
+        + (F.col("end_ms") - F.col("last_at") - F.col("idle_tail")) / hour
+        + (F.col("first_at") - F.col("from_ms") - F.col("idle_head")) / hour,
         1,
     )
-    return found.withColumn(
-        "engine_hours",
-        F.when(by_meter, metered).otherwise((asked - F.col("idle_all")) / 3600.0),
-    ).select(*requests.columns, "kept", "engine_hours")
+    elapsed = (F.col("end_ms") - F.col("from_ms") - F.col("idle_all")) / hour
+    hours = found.select(
+        *SPAN, "kept", F.when(F.col("kept") > 1, metered).otherwise(elapsed).alias("engine_hours")
+    )
+    # A range that ends before it starts holds no span: its elapsed time is negative.
+    return answer(intervals, hours).select(
+        *requests.columns,
+        F.coalesce("kept", F.lit(0)).cast("int").alias("kept"),
+        F.coalesce("engine_hours", (F.col("t1") - F.col("t0")) / 3600.0).alias("engine_hours"),
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import step
+from ..functions import DAY_MS, step
 from .slots import CROWDED_ROWS, SLOT, slot_order, slotted
 from .spans import HOUR_MS, SPAN, answer, needed_readings, spans_of, unit_of
 
@@ -97,7 +97,7 @@ def fuel_level_difference(
 def fuel_used_raw_drops(
     readings: DataFrame,
     intervals: DataFrame,
-    slot_ms: int = HOUR_MS,
+    slot_ms: int = DAY_MS,
     prune: bool = True,
     crowded_rows: int = CROWDED_ROWS,
 ) -> DataFrame:

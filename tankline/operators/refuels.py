@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import step
+from ..functions import DAY_MS, step
 from .slots import CROWDED_ROWS, SLOT, slot_at, slot_order, slotted
-from .spans import HOUR_MS, SPAN, answer, spans_of
+from .spans import SPAN, answer, spans_of
 
 
 def analyze_fuel(
@@ -15,7 +15,7 @@ def analyze_fuel(
     intervals: DataFrame,
     refill_sensitivity: float = 40,
     anomaly_threshold: float = 100,
-    slot_ms: int = HOUR_MS,
+    slot_ms: int = DAY_MS,
     prune: bool = True,
     crowded_rows: int = CROWDED_ROWS,
 ) -> DataFrame:

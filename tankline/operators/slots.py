@@ -2,11 +2,12 @@
 
 Comparing each reading with the one before it needs an order, and one machine
 may own a third of all readings. So no window ever spans a machine: an interval
-is cut into slots (an hour unless told otherwise), the window runs inside a
+is cut into slots (a day unless told otherwise), the window runs inside a
 slot, each slot is reduced to one row, and the few slot rows of an interval
 (bounded by its length in time) are then put together in order.
 
-A slot crowded with readings is cut further, into equal parts of its time. The
+A slot crowded with readings is cut further, into equal parts of its time, up to
+24 seconds short. The
 crowded slots are counted from two columns of the table, the ten thousand
 largest at most, and are known to both sides of the join.
 
@@ -21,7 +22,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .spans import HOUR_MS, SPAN, is_inside, needed_readings, unit_of, units_in
+from ..functions import DAY_MS
+from .spans import SPAN, is_inside, needed_readings, unit_of, units_in
 
 SLOT = (*SPAN, "slot", "part")
 
@@ -63,7 +65,7 @@ def slotted(
     spans: DataFrame,
     closed: str,
     value: str = "liters",
-    slot_ms: int = HOUR_MS,
+    slot_ms: int = DAY_MS,
     prune: bool = True,
     crowded_rows: int = CROWDED_ROWS,
 ) -> DataFrame:

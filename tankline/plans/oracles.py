@@ -379,7 +379,7 @@ def _engine_hours(literal: bool) -> str:
         )
     return (
         base
-        + f"""SELECT q.eqmt, q.t0, q.t1, coalesce(k.kept, 0) AS kept,
+        + f"""SELECT q.eqmt, q.t0, q.t1, CAST(coalesce(k.kept, 0) AS INTEGER) AS kept,
   CASE WHEN k.kept > 1 THEN round(k.gain
       + (q.t1 - k.last_s - {_idle_of('k.last_s', 'q.t1', 'q')}) / 3600.0::DOUBLE
       + (k.first_s - q.t0 - {_idle_of('q.t0', 'k.first_s', 'q')}) / 3600.0::DOUBLE, 1)
