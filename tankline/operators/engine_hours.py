@@ -61,9 +61,9 @@ def idle_seconds(
     Every distinct window gives a row, 0 without idle time. Overlapping idle
     intervals count each.
     """
-    asked = windows.select(
-        "eqmt", "t0", "t1", (F.col("t0") * 1000).alias("a"), (F.col("t1") * 1000).alias("b")
-    ).distinct()
+    asked = windows.select("eqmt", "t0", "t1").distinct().withColumns(
+        {"a": F.col("t0").cast("long") * 1000, "b": F.col("t1").cast("long") * 1000}
+    )
     seconds = F.coalesce(F.sum("idle_ms"), F.lit(0)) / 1000.0
     return (
         _with_idle(asked, idle, statuses)

@@ -248,8 +248,8 @@ def interval_of_seconds(requests: DataFrame) -> DataFrame:
     """The caller's own epoch seconds ``t0, t1``, both whole seconds included."""
     return requests.withColumns(
         {
-            "from_ms": F.col("t0") * 1000,
-            "to_ms": F.col("t1") * 1000 + 999,
+            "from_ms": F.col("t0").cast("long") * 1000,
+            "to_ms": F.col("t1").cast("long") * 1000 + 999,
             "time_from": _from_ms(F.col("t0").cast("long") * 1000),
             "time_to": _from_ms(F.col("t1").cast("long") * 1000),
             "bounds_status": F.when(F.col("t0").isNull(), "start_missing")

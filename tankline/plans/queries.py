@@ -33,6 +33,9 @@ FROM_TIME, TO_TIME = "2024-01-05 08:45:00", "2024-01-25 20:45:00"
 
 def query(fn: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        # The given tables hold zoneless times, read as UTC by both engines.
+        if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
         return t.plain(fn(spark, sf_dir))
 
     QUERIES[fn.__name__] = run

@@ -17,7 +17,7 @@ def entries_of(spark, rows):
 
 
 def asked(spark, machines, t0=T0, t1=T1):
-    return spark.createDataFrame([(e, t0, t1) for e in machines], "eqmt int, t0 long, t1 long")
+    return spark.createDataFrame([(e, t0, t1) for e in machines], "eqmt int, t0 int, t1 int")
 
 
 def idle_of(spark, rows):
