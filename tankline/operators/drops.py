@@ -1,9 +1,10 @@
 """Fuel used over an interval from the 5-minute levels.
 
 All of these take resolved intervals (see ``intervals``) and answer every
-request, also those without readings or without an interval. ``prune`` cuts the
-readings to the requests' time and machines at the scan; turn it off when the
-requests cover the whole history.
+request, also those without readings or without an interval. Where levels are
+used, ``readings`` may also be stored levels (see ``sources``). ``prune`` cuts the
+input to the requests' time and machines; turn it off when the requests cover the
+whole history.
 """
 
 from __future__ import annotations
@@ -12,10 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import epoch_ms_to_ts, time_bucket_modulo
-from .resample import levels_5min
+from .resample import is_levels, levels_5min
 from .spans import (
     SPAN,
     answer,
+    needed_levels,
     needed_readings,
     rows_in_spans,
     spans_of,
@@ -23,8 +25,11 @@ from .spans import (
 )
 
 
-def levels_for(readings: DataFrame, spans: DataFrame, prune: bool) -> DataFrame:
-    return levels_5min(needed_readings(readings, spans, True) if prune else readings)
+def levels_for(source: DataFrame, spans: DataFrame, prune: bool) -> DataFrame:
+    """5-minute levels, made from readings or already stored."""
+    if not is_levels(source):
+        return levels_5min(needed_readings(source, spans, True) if prune else source)
+    return needed_levels(source, spans) if prune else source
 
 
 def _if_ok(value: Column) -> Column:

@@ -180,14 +180,15 @@ def engine_hours(
         ]
         met = _with_idle(found.select("*", F.inline(cuts)), idle, IDLE_STATUSES)
         found = met.groupBy(*found.columns).agg(*sums)
-    hour = F.lit(3_600_000.0)
-    metered = F.round(
-        F.col("gain")
-        + (F.col("end_ms") - F.col("last_at") - F.col("idle_tail")) / hour
-        + (F.col("first_at") - F.col("from_ms") - F.col("idle_head")) / hour,
-        1,
+    metered_ms = (
+        F.col("gain").cast("long") * HOUR_MS
+        + (F.col("end_ms") - F.col("last_at") - F.col("idle_tail"))
+        + (F.col("first_at") - F.col("from_ms") - F.col("idle_head"))
     )
-    elapsed = (F.col("end_ms") - F.col("from_ms") - F.col("idle_all")) / hour
+    # One exact division, so that rounding sees true halves.
+    in_hours = metered_ms.cast("decimal(20,0)") / F.lit(HOUR_MS).cast("decimal(7,0)")
+    metered = F.round(in_hours, 1).cast("double")
+    elapsed = (F.col("end_ms") - F.col("from_ms") - F.col("idle_all")) / F.lit(float(HOUR_MS))
     hours = found.select(
         *SPAN, "kept", F.when(F.col("kept") > 1, metered).otherwise(elapsed).alias("engine_hours")
     )

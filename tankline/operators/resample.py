@@ -69,6 +69,11 @@ def levels_5min(readings: DataFrame) -> DataFrame:
     )
 
 
+def is_levels(df: DataFrame) -> bool:
+    """Whether a table holds levels (stored ones, say) rather than readings."""
+    return {"timecreated", "liters_prev"} <= set(df.columns)
+
+
 def levels_5min_ranged(
     readings: DataFrame, seconds: tuple[int, int] | None = None
 ) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import DAY_MS, wall_clock_ms
 from .drops import levels_for
-from .resample import levels_5min
+from .resample import is_levels, levels_5min
 from .spans import SPAN, spans_of, totals_in_spans, unit_of
 
 
@@ -85,7 +85,7 @@ def shift_fuel_report_all(
     )
     at = F.unix_millis("timecreated")
     return (
-        levels_5min(readings)
+        (readings if is_levels(readings) else levels_5min(readings))
         .filter(F.col("eqmt").isNotNull())
         .withColumn("at_ms", at)
         .withColumn("day__", unit_of(at, DAY_MS))

@@ -47,6 +47,21 @@ def spans_of(intervals: DataFrame) -> DataFrame:
     return intervals.filter(usable & F.col("eqmt").isNotNull()).select(*SPAN).distinct()
 
 
+def _bound(spans: DataFrame, name: str, largest: bool) -> Column:
+    """Least or largest value of a span column, as a scalar subquery."""
+    # Sort-and-take instead of min and max: Spark merges several aggregates into
+    # one struct, whose fields it does not hand to the Parquet reader.
+    order = F.desc(name) if largest else F.asc(name)
+    return spans.select(name).orderBy(order).limit(1).scalar()
+
+
+def needed_levels(levels: DataFrame, spans: DataFrame) -> DataFrame:
+    """Levels within the time of all spans: each carries its previous level."""
+    at = F.unix_millis("timecreated")
+    first, last = _bound(spans, "from_ms", False), _bound(spans, "to_ms", True)
+    return levels.filter((at >= first) & (at <= last))
+
+
 def needed_readings(readings: DataFrame, spans: DataFrame, look_back: bool) -> DataFrame:
     """Drop readings that no span can use, at the scan and without a join.
 
@@ -54,21 +69,14 @@ def needed_readings(readings: DataFrame, spans: DataFrame, look_back: bool) -> D
     reach the Parquet reader as literals. With ``look_back`` older readings
     stay, since a previous bucket may be arbitrarily old.
     """
-
-    def bound(name: str, largest: bool) -> Column:
-        # Sort-and-take instead of min and max: Spark merges several aggregates
-        # into one struct, whose fields it does not hand to the Parquet reader.
-        order = F.desc(name) if largest else F.asc(name)
-        return spans.select(name).orderBy(order).limit(1).scalar()
-
     at, eqmt = F.col("time_created"), F.col("eqmt")
     # A level counts the whole bucket that starts inside a span.
     margin = HOUR_MS if look_back else 0
-    wanted = at <= bound("to_ms", True) + margin
+    wanted = at <= _bound(spans, "to_ms", True) + margin
     if not look_back:
-        wanted &= at >= bound("from_ms", False)
+        wanted &= at >= _bound(spans, "from_ms", False)
     return readings.filter(
-        wanted & (eqmt >= bound("eqmt", False)) & (eqmt <= bound("eqmt", True))
+        wanted & (eqmt >= _bound(spans, "eqmt", False)) & (eqmt <= _bound(spans, "eqmt", True))
     )
 
 

@@ -138,7 +138,8 @@ _I = "i.eqmt, i.startdate, i.startshift, i.enddate, i.endshift, i.time_from, i.t
 
 
 def _r6(x: str) -> str:
-    return f"round(CAST({x} AS DOUBLE), 6)"
+    """Six places, by way of ten so that binary noise cannot tip a tie."""
+    return f"CAST(round(CAST({x} AS DECIMAL(30,10)), 6) AS DOUBLE)"
 
 
 def _interval_query(rule: str, validate: bool = False) -> str:
@@ -380,9 +381,9 @@ def _engine_hours(literal: bool) -> str:
     return (
         base
         + f"""SELECT q.eqmt, q.t0, q.t1, CAST(coalesce(k.kept, 0) AS INTEGER) AS kept,
-  CASE WHEN k.kept > 1 THEN round(k.gain
+  CASE WHEN k.kept > 1 THEN CAST(round(CAST(k.gain
       + (q.t1 - k.last_s - {_idle_of('k.last_s', 'q.t1', 'q')}) / 3600.0::DOUBLE
-      + (k.first_s - q.t0 - {_idle_of('q.t0', 'k.first_s', 'q')}) / 3600.0::DOUBLE, 1)
+      + (k.first_s - q.t0 - {_idle_of('q.t0', 'k.first_s', 'q')}) / 3600.0::DOUBLE AS DECIMAL(30,10)), 1) AS DOUBLE)
     ELSE {_r6(whole)} END AS engine_hours
 FROM second_requests q LEFT JOIN kept k ON k.eqmt = q.eqmt AND k.t0 = q.t0 AND k.t1 = q.t1"""
     )
@@ -544,6 +545,7 @@ FROM intervals i LEFT JOIN (SELECT eqmt, from_ms, to_ms, sum(seg_consumption) AS
         "clean_drop_rise": _clean("plus_12h_rollover", " AND -d <= 200"),
         "clean_drop_rise_uncapped": _clean("calendar_days_full", ""),
         "shift_fuel_report": all_shifts,
+        "shift_fuel_report_stored": all_shifts,
         "shift_fuel_report_requests": requested,
         "shift_fuel_report_window": window,
         "fuel_level_difference": level_difference,

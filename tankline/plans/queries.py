@@ -348,6 +348,15 @@ def shift_fuel_report(spark, sf_dir):
     return ops.shift_fuel_report_all(readings, calendar_of(readings))
 
 
+@query
+def shift_fuel_report_stored(spark, sf_dir):
+    """The same from levels that were stored first."""
+    readings = t.readings(spark, sf_dir)
+    path = t.run_folder(spark)
+    materialize_levels(ops.levels_5min(readings), path)
+    return ops.shift_fuel_report_all(read_levels(spark, path), calendar_of(readings))
+
+
 @query
 def shift_fuel_report_requests(spark, sf_dir):
     return _over(ops.shift_fuel_report, rules.ONE_SHIFT)(spark, sf_dir)

@@ -179,3 +179,24 @@ def test_traces(spark, form, expected):
     assert ops.level_trace(levels, form, time_from="2024-01-01 01:05:00").count() == 1
     assert ops.level_trace(levels, form, eqmt=3).count() == 0
     assert last.timecreated == datetime(2024, 1, 1, 1, 5)
+
+
+def test_stored_levels_serve_instead_of_readings(spark, tmp_path):
+    from tankline.sources import materialize_levels, read_levels
+
+    df = readings_of(spark, series([100, 90, 250, 240, 20, 19, 400, 300] * 9))
+    materialize_levels(ops.levels_5min(df), f"{tmp_path}/levels")
+    stored = read_levels(spark, f"{tmp_path}/levels")
+    windows = windows_of(
+        spark, [(1, "2024-01-01 01:25:00", "2024-01-01 03:00:00"), (1, *DAY), (2, *DAY)]
+    )
+    for method in (
+        ops.fuel_used_drops, ops.fuel_used_by_segment, ops.clean_drop_rise, ops.shift_fuel_report
+    ):
+        want = sorted(method(df, windows).collect())
+        assert sorted(method(stored, windows).collect()) == want
+        assert sorted(method(stored, windows, prune=False).collect()) == want
+    shifts = shifts_of(spark)
+    assert sorted(ops.shift_fuel_report_all(stored, shifts).collect()) == sorted(
+        ops.shift_fuel_report_all(df, shifts).collect()
+    )
