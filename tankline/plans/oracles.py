@@ -9,8 +9,9 @@ FROM_TIME, TO_TIME = "2024-01-05 08:45:00", "2024-01-25 20:45:00"
 
 
 def _bucket(ms: str, minutes: int) -> str:
-    at = f"epoch_ms({ms} // 1000 * 1000)"
-    return f"date_trunc('hour', {at}) + to_minutes(CAST(minute({at}) // {minutes} * {minutes} AS BIGINT))"
+    """Whole buckets since the hour, by arithmetic on epoch milliseconds."""
+    width = minutes * 60_000
+    return f"epoch_ms({ms} - {ms} % 3600000 + {ms} % 3600000 // {width} * {width})"
 
 
 def _floor(ts: str) -> str:
@@ -38,10 +39,11 @@ shifts AS (
 
 
 def _resampled(name: str, minutes: int, where: str = "TRUE") -> str:
-    return f"""{name} AS (
-  SELECT tm, eqmt, fuel, lead(fuel, 1) OVER (PARTITION BY eqmt ORDER BY tm DESC) AS fuel_prev
-  FROM (SELECT {_bucket("time_created", minutes)} AS tm, eqmt, round(avg(liters), 9) AS fuel
-        FROM readings WHERE {where} GROUP BY 1, 2))"""
+    return f"""{name}_means AS (
+  SELECT eqmt, {_bucket("time_created", minutes)} AS tm, round(avg(liters), 9) AS fuel
+  FROM readings WHERE {where} GROUP BY ALL),
+{name} AS (
+  SELECT *, lag(fuel) OVER (PARTITION BY eqmt ORDER BY tm) AS fuel_prev FROM {name}_means)"""
 
 
 def _seconds(bounds: tuple[int, int]) -> str:
@@ -185,25 +187,26 @@ def _quality(minutes: int, bounds: tuple[int, int], limits=(70, 250, 0.8, 0.1))
 
 
 def _verdict(source: str, names: str, keys: str, limits=(70, 250, 0.8, 0.1)) -> str:
+    """One label per group first; what is shown follows from the label."""
     top, fueling, no_data, need_cab = limits
-    return f"""SELECT {names},
-  CASE WHEN same > {no_data} OR jump > {need_cab} THEN NULL ELSE {_r6("fuel_use")} END AS fuel_used,
-  CASE WHEN same > {no_data} THEN 'no_data' WHEN jump > {need_cab} THEN 'need calibration' ELSE 'Ok' END AS status,
-  CASE WHEN same > {no_data} THEN NULL ELSE round(100.0::DOUBLE * jumps / points, 1) END AS accuracy
+    return f"""SELECT {names}, status,
+  CASE status WHEN 'Ok' THEN {_r6("used")} END AS fuel_used,
+  CASE WHEN status <> 'no_data' THEN CAST(round(CAST(100.0::DOUBLE * jumps / points AS DECIMAL(30,10)), 1) AS DOUBLE) END AS accuracy
 FROM (
-  SELECT {keys}, CAST(count(*) AS DOUBLE) AS points,
-    sum(CASE WHEN fuel_prev - fuel > 0 AND fuel_prev - fuel < {top} THEN fuel_prev - fuel ELSE 0 END) AS fuel_use,
-    sum(CASE WHEN fuel_prev = fuel THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) AS same,
-    CAST(sum(CASE WHEN fuel_prev - fuel > {top} OR (fuel_prev - fuel < -{top} AND fuel_prev - fuel > -{fueling})
-      THEN 1 ELSE 0 END) AS DOUBLE) AS jumps,
-    jumps / count(*) AS jump
-  FROM {source} WHERE fuel > 0 AND fuel_prev > 0 GROUP BY {keys})"""
+  SELECT *, CASE WHEN flat > {no_data}::DOUBLE * points THEN 'no_data'
+    WHEN jumps > {need_cab}::DOUBLE * points THEN 'need calibration' ELSE 'Ok' END AS status
+  FROM (
+    SELECT {keys}, CAST(count(*) AS DOUBLE) AS points, count(*) FILTER (fall = 0) AS flat,
+      coalesce(sum(fall) FILTER (fall > 0 AND fall < {top}), 0) AS used,
+      count(*) FILTER (fall > {top} OR fall BETWEEN -{fueling} AND -{top} AND fall NOT IN (-{fueling}, -{top})) AS jumps
+    FROM (SELECT *, fuel_prev - fuel AS fall FROM {source} WHERE fuel > 0 AND fuel_prev > 0)
+    GROUP BY {keys}))"""
 
 
 def _report(rise_limit: float, leap_limit: float) -> str:
-    return f"""{_r6("sum(CASE WHEN d > 0 THEN d ELSE 0 END)")} AS fuel_used, count(*) AS valid_points,
-  CASE WHEN sum(CASE WHEN d < 0 THEN 1 ELSE 0 END) * 100.0 / count(*) > {rise_limit} THEN 'no_data'
-    WHEN sum(CASE WHEN d < -15 THEN 1 ELSE 0 END) * 100.0 / count(*) > {leap_limit} THEN 'need calibration'
+    return f"""{_r6("coalesce(sum(d) FILTER (d > 0), 0)")} AS fuel_used, count(*) AS valid_points,
+  CASE WHEN 100 * count(*) FILTER (d < 0) > {rise_limit} * count(*) THEN 'no_data'
+    WHEN 100 * count(*) FILTER (d < -15) > {leap_limit} * count(*) THEN 'need calibration'
     ELSE 'ok' END AS status"""
 
 
@@ -236,8 +239,8 @@ def _segments(tail: str) -> str:
             _intervals("plus_12h_rollover"),
             """seg AS (
   SELECT i.eqmt, i.from_ms, i.to_ms, liters_prev - liters AS d,
-    sum(CASE WHEN liters - liters_prev > 150 THEN 1 ELSE 0 END) OVER (
-      PARTITION BY i.eqmt, i.from_ms, i.to_ms ORDER BY timecreated ROWS UNBOUNDED PRECEDING) AS seg_no
+    count(*) FILTER (liters > liters_prev + 150) OVER (
+      PARTITION BY i.eqmt, i.from_ms, i.to_ms ORDER BY timecreated) AS seg_no
   FROM (SELECT DISTINCT eqmt, from_ms, to_ms, time_from, time_to FROM intervals WHERE bounds_status = 'ok') i
   JOIN levels v ON v.eqmt = CAST(i.eqmt AS VARCHAR) AND v.timecreated BETWEEN i.time_from AND i.time_to)""",
             """per_seg AS (
@@ -483,7 +486,7 @@ JOIN (SELECT {keys}, consumption AS confirmed_refills FROM ({_confirmed_refills(
         ),
         "time_buckets": _readings_query(f"time_created, eqmt, {bucket_columns}"),
         "time_buckets_modulo": _readings_query(
-            f"time_created, eqmt, date_trunc('minute', {at}) - to_minutes(CAST(minute({at}) % 10 AS BIGINT)) AS m10"
+            "time_created, eqmt, epoch_ms(time_created - time_created % 600000) AS m10"
         ),
         "range_filter": _readings_query(
             f"time_created, eqmt, raw, {_r6('liters')} AS liters", f"WHERE {_seconds(TEN_DAYS)}"
@@ -525,7 +528,7 @@ JOIN (SELECT {keys}, consumption AS confirmed_refills FROM ({_confirmed_refills(
 FROM intervals i LEFT JOIN (
   SELECT eqmt, from_ms, to_ms, arg_min(mean, m10) - arg_max(mean, m10) AS fuel_used
   FROM (SELECT k.eqmt, k.from_ms, k.to_ms, avg(h.liters) AS mean,
-          date_trunc('minute', epoch_ms(h.time_created)) - to_minutes(CAST(minute(epoch_ms(h.time_created)) % 10 AS BIGINT)) AS m10
+          h.time_created // 600000 AS m10
         FROM (SELECT DISTINCT eqmt, from_ms, to_ms FROM intervals) k
         JOIN readings h ON h.eqmt = k.eqmt AND h.time_created BETWEEN k.from_ms AND k.to_ms GROUP BY ALL)
   GROUP BY ALL) u ON u.eqmt = i.eqmt AND u.from_ms = i.from_ms AND u.to_ms = i.to_ms""",

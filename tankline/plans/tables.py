@@ -112,6 +112,8 @@ def second_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_folder(spark: SparkSession) -> str:
     """A new folder in the shared one that the cluster names, else a local one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     base = shared or tempfile.mkdtemp(prefix="tankline-")
     return f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
 
