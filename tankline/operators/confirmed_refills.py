@@ -31,42 +31,34 @@ from .spans import SPAN, answer, spans_of
 
 
 def _runs(rows: DataFrame) -> DataFrame:
-    """One row per (slot, run): rises, their sum, lowest calm level, level before the fall."""
+    """One row per (slot, run): rises, their sum, lowest calm level, level before the fall.
+
+    A level is calm when the last change up to it, if any, was a fall: no rise of
+    its run came before it.
+    """
     so_far = (
         Window.partitionBy(*SLOT)
         .orderBy("time_created", F.asc_nulls_first("liters"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     change = F.col("change")
+    risen = F.last(F.when(change != 0, change > 0), ignorenulls=True).over(so_far)
     marked = rows.withColumn("change", step(F.col("liters"), F.col("prev"))).withColumns(
         {
             "run": F.count_if(change < 0).over(so_far),
-            "rises_so_far": F.count_if(change > 0).over(so_far),
+            "calm": ~F.coalesce(risen, F.lit(False)),
         }
     )
-    # Levels seen before a run's first rise are those with its lowest rise count;
-    # they win the minimum because the count is compared first.
-    calm = F.struct(F.col("rises_so_far").alias("rises"), F.col("liters").alias("level"))
     return marked.groupBy(*SLOT, "run").agg(
         F.count_if(change > 0).alias("rises"),
         F.coalesce(F.sum(F.when(change > 0, change)), F.lit(0.0)).alias("climb"),
-        F.min(F.when(F.col("liters").isNotNull(), calm)).alias("calm"),
-        F.min("rises_so_far").alias("rises_before"),
+        F.min(F.when(F.col("calm"), F.col("liters"))).alias("low"),
         F.max(F.when(change < 0, F.col("prev"))).alias("peak"),
-        F.min_by("liters", "ord").alias("first"),
-        F.max_by("liters", "ord").alias("last"),
+        F.min_by("liters", "n").alias("first"),
+        F.max_by("liters", "n").alias("last"),
     )
 
 
-def _calm_level() -> Column:
-    """The run's lowest level before any of its rises.
-
-    A run's first row is the fall (or the slot's first row), never a rise, so
-    ``rises_before`` is the count at its start.
-    """
-    return F.when(F.col("calm.rises") == F.col("rises_before"), F.col("calm.level"))
-
-
 def _slot_rows(runs: DataFrame, threshold: float) -> DataFrame:
     """One row per slot, ready for the fold."""
     in_slot = Window.partitionBy(*SLOT).orderBy("run")
@@ -76,10 +68,10 @@ def _slot_rows(runs: DataFrame, threshold: float) -> DataFrame:
         in_slot.rowsBetween(Window.unboundedPreceding, -1)
     )
     stretches = (
-        runs.withColumns({"stretch": F.coalesce(stretch, F.lit(0)), "level": _calm_level()})
+        runs.withColumn("stretch", F.coalesce(stretch, F.lit(0)))
         .groupBy(*SLOT, F.when(F.col("run") > 0, F.col("stretch")).otherwise(-1).alias("stretch"))
         .agg(
-            F.min("level").alias("low"),
+            F.min("low").alias("low"),
             F.min_by("peak", "run").alias("peak"),
             F.max("run").alias("run"),
             F.max_by("rises", "run").alias("rises"),

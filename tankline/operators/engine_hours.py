@@ -104,19 +104,20 @@ def _valid_entries(
     # Merged copies: only the first of them rose, so each row weighs one.
     slots = rows.groupBy(*SLOT).agg(
         *summary(good, F.col("engrs"), F.col("time_created"), F.lit(1)),
-        F.min("ord").alias("first"),
-        F.max("ord").alias("last"),
+        F.min_by("engrs", "n").alias("entry"),
+        F.min("time_created").alias("at"),
+        F.max_by("engrs", "n").alias("last_entry"),
+        F.max("time_created").alias("last_time"),
     )
-    before = F.lag("last").over(slot_order())
-    good_first = believable(
-        F.col("first.engrs"),
-        F.col("before.engrs"),
-        F.col("first.time_created"),
-        F.col("before.time_created"),
-    )
-    entry, at = F.col("first.engrs"), F.col("first.time_created")
+    entry, at = F.col("entry"), F.col("at")
+    good_first = believable(entry, F.col("before"), at, F.col("at_before"))
     return (
-        slots.withColumn("before", before)
+        slots.withColumns(
+            {
+                "before": F.lag("last_entry").over(slot_order()),
+                "at_before": F.lag("last_time").over(slot_order()),
+            }
+        )
         .groupBy(*SPAN)
         .agg(
             (F.sum("kept") + F.count_if(good_first)).alias("kept"),

@@ -118,8 +118,8 @@ def fuel_used_raw_drops(
     fall = F.greatest(step(F.col("prev"), F.col("liters")), F.lit(0.0))
     slots = rows.groupBy(*SLOT).agg(
         F.sum(F.when(F.col("prev").isNotNull(), fall)).alias("inside"),
-        F.min_by("liters", "ord").alias("first"),
-        F.max_by("liters", "ord").alias("last"),
+        F.min_by("liters", "n").alias("first"),
+        F.max_by("liters", "n").alias("last"),
     )
     across = step(F.lag("last").over(slot_order()), F.col("first"))
     used = (

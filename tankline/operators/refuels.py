@@ -51,16 +51,16 @@ def analyze_fuel(
         F.sum(F.when(refill, change).otherwise(0.0)).alias("refilled"),
         F.count_if(refill).alias("refills"),
         F.count_if(anomaly).alias("anomalies"),
-        F.max(F.when(refill, F.col("ord"))).alias("top"),
-        F.min_by("liters", "ord").alias("first"),
-        F.max_by("liters", "ord").alias("last"),
+        F.max_by("liters", F.when(refill, F.col("n"))).alias("top"),
+        F.min_by("liters", "n").alias("first"),
+        F.max_by("liters", "n").alias("last"),
     )
     # The change from the slot before, and the level after the newest refuel here.
     slots = slots.withColumn(
         "across", step(F.col("first"), F.lag("last").over(slot_order()))
     )
     refill_across = F.col("across") > refill_sensitivity
-    top = F.coalesce(F.col("top.liters"), F.when(refill_across, F.col("first")))
+    top = F.coalesce(F.col("top"), F.when(refill_across, F.col("first")))
     sums = slots.groupBy(*SPAN).agg(
         F.sum("points").alias("points"),
         F.sum(F.col("refilled") + F.when(refill_across, F.col("across")).otherwise(0.0)).alias(

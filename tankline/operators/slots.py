@@ -71,7 +71,7 @@ def slotted(
 ) -> DataFrame:
     """Distinct readings per span and slot with the previous one of the same slot.
 
-    Adds ``slot, part``, ``copies``, ``ord`` (the position), ``prev`` and
+    Adds ``slot, part``, ``copies``, ``n`` (the position in the slot), ``prev`` and
     ``prev_time``; the latter two are NULL on a slot's first row. The join and
     every later step keyed by the slot share one shuffle. ``prune`` cuts the
     rows to the spans' time and machines at the scan.
@@ -106,7 +106,7 @@ def slotted(
         .filter(is_inside(at, closed))
         .withColumns(
             {
-                "ord": F.struct("time_created", value),
+                "n": F.row_number().over(order),
                 "prev": F.lag(value).over(order),
                 "prev_time": F.lag("time_created").over(order),
             }
