@@ -7,9 +7,8 @@ slot, each slot is reduced to one row, and the few slot rows of an interval
 (bounded by its length in time) are then put together in order.
 
 A slot crowded with readings is cut further, into equal parts of its time, up to
-24 seconds short. The
-crowded slots are found by a count, the ten thousand largest at most, and are
-known to both sides of the join.
+24 seconds short. The crowded slots are found by a count, the ten thousand
+largest at most, and are known to both sides of the join.
 
 Equal readings (same machine, millisecond and level) are first merged into one
 with a count. They are neighbors in the order, so no difference between them
