@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +16,16 @@ SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data folder. Python workers are told where this library lies, whatever folder the driver started in."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def words_of(text: Column) -> Column:
@@ -47,3 +59,19 @@ def stored(df: DataFrame, folder: str, name: str, *partition_by: str) -> DataFra
     path = f"{folder}/{name}"
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+
+
+def map_rows(df: DataFrame, fields: str, make: Callable[..., tuple[list, ...]], rows: int = 512) -> DataFrame:
+    """``make`` turns lists of column values, ``rows`` at a time, into lists of the columns of ``fields``."""
+    schema = pa.schema([(name, ARROW[kind]) for name, kind in map(str.split, fields.split(", "))])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                out = make(*batch.slice(at, rows).to_pydict().values())
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+
+    return df.mapInArrow(run, fields)

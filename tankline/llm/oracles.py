@@ -85,5 +85,21 @@ FROM o
 """
 
 
+def jaccard_join() -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+             list_filter(string_split_regex({lower}, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS g
+      FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+common AS (SELECT a.r AS x, b.r AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+link AS (SELECT x, y FROM common JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * k >= 75 * (a.n + b.n - k)),
+reach AS (SELECT r, r AS c FROM d UNION SELECT y, c FROM reach JOIN link ON x = reach.r)
+SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
+FROM d LEFT JOIN n USING (r) JOIN reach USING (r) JOIN d o ON o.r = c GROUP BY d.r, d.doc_id
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op4_quality_rules": quality_rules(), "op6_mixing": mixing()}
+    return {"op4_quality_rules": quality_rules(), "op5_jaccard_join": jaccard_join(), "op6_mixing": mixing()}

@@ -4,9 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tankline.llm.common import documents
+from tankline.llm.common import documents, table
+from tankline.llm.fingerprints import compare_with_edits
+from tankline.llm.jaccard_join import jaccard_classes
+from tankline.llm.language_id import language_id
 from tankline.llm.mixing import mix
+from tankline.llm.packing import pack_documents
 from tankline.llm.quality_rules import quality_rules
+from tankline.llm.toxicity import toxicity
+
+
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_edits(documents(spark, sf_dir))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,4 +27,24 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op6_mixing)}
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(documents(spark, sf_dir))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack_documents(documents(spark, sf_dir)).select(*columns)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(documents(spark, sf_dir))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_fingerprints, op4_quality_rules, op5_jaccard_join, op6_mixing, op7_packing, op8_language_id, op10_toxicity)
+}
