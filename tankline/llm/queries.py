@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tankline.llm.co_training import quality_scores
 from tankline.llm.common import documents, table
 from tankline.llm.fingerprints import compare_with_edits
+from tankline.llm.html_text import extract_text
 from tankline.llm.jaccard_join import jaccard_classes
 from tankline.llm.language_id import language_id
+from tankline.llm.language_model import score_documents
 from tankline.llm.mixing import mix
 from tankline.llm.packing import pack_documents
 from tankline.llm.quality_rules import quality_rules
@@ -18,6 +21,14 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(documents(spark, sf_dir))
 
 
+def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(documents(spark, sf_dir))
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return quality_rules(documents(spark, sf_dir)).select("doc_id", *columns)
@@ -40,11 +51,26 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_fingerprints, op4_quality_rules, op5_jaccard_join, op6_mixing, op7_packing, op8_language_id, op10_toxicity)
+    for f in (
+        op1_fingerprints,
+        op2_katz_backoff,
+        op3_html_extraction,
+        op4_quality_rules,
+        op5_jaccard_join,
+        op6_mixing,
+        op7_packing,
+        op8_language_id,
+        op9_quality_classifier,
+        op10_toxicity,
+    )
 }
