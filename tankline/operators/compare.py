@@ -14,7 +14,7 @@ from .refuels import analyze_fuel
 def compare_methods(
     readings: DataFrame, shifts: DataFrame, requests: DataFrame, prune: bool = True
 ) -> DataFrame:
-    """One row per distinct request with a column per method.
+    """One row per distinct request with a column per method; NULL fields are values like others.
 
     Each method keeps its own rule for the interval.
     """
@@ -38,7 +38,9 @@ def compare_methods(
             readings, resolved(rules.NEXT_OR_LAST_READING, validate=True), prune=prune
         ).select(*keys, F.col("consumption").alias("confirmed_refills")),
     ]
-    joined = parts[0]
-    for part in parts[1:]:
-        joined = joined.join(part, keys)
+    joined = asked
+    for part in parts:
+        named = part.select(*[F.col(k).alias(f"{k}__") for k in keys], part.columns[-1])
+        alike = [F.col(k).eqNullSafe(F.col(f"{k}__")) for k in keys]
+        joined = joined.join(named, alike, "left").drop(*[f"{k}__" for k in keys])
     return joined

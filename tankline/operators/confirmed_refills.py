@@ -14,7 +14,7 @@ its first level minus its lowest. That needs counts and minima only:
    run and stretch open at its end;
 3. a fold over an interval's slot rows in time order joins what is open.
 
-All of 1 and 2 happens in the shuffle that made the slots.
+1 and 2 are done once for all intervals, but for the slots that an interval cuts.
 
 NULL levels: the changes on both sides are unknown, so they cut nothing. A level
 after a NULL can lower a stretch only while no rise is pending.
@@ -25,19 +25,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import DAY_MS, step
-from .slots import CROWDED_ROWS, SLOT, slotted
-from .spans import SPAN, answer, spans_of
+from ..functions import step
+from .slots import slot_summaries
+from .spans import HOUR_MS, SPAN, answer, spans_of
 
 
-def _runs(rows: DataFrame) -> DataFrame:
+def _runs(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """One row per (slot, run): rises, their sum, lowest calm level, level before the fall.
 
     A level is calm when the last change up to it, if any, was a fall: no rise of
     its run came before it.
     """
     so_far = (
-        Window.partitionBy(*SLOT)
+        Window.partitionBy(*keys)
         .orderBy("time_created", F.asc_nulls_first("liters"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
@@ -49,7 +49,7 @@ def _runs(rows: DataFrame) -> DataFrame:
             "calm": ~F.coalesce(risen, F.lit(False)),
         }
     )
-    return marked.groupBy(*SLOT, "run").agg(
+    return marked.groupBy(*keys, "run").agg(
         F.count_if(change > 0).alias("rises"),
         F.coalesce(F.sum(F.when(change > 0, change)), F.lit(0.0)).alias("climb"),
         F.min(F.when(F.col("calm"), F.col("liters"))).alias("low"),
@@ -59,9 +59,9 @@ def _runs(rows: DataFrame) -> DataFrame:
     )
 
 
-def _slot_rows(runs: DataFrame, threshold: float) -> DataFrame:
+def _slot_rows(runs: DataFrame, threshold: float, keys: tuple[str, ...]) -> DataFrame:
     """One row per slot, ready for the fold."""
-    in_slot = Window.partitionBy(*SLOT).orderBy("run")
+    in_slot = Window.partitionBy(*keys).orderBy("run")
     confirmed = (F.col("rises") >= 2) & (F.round("climb", 8) >= threshold)
     # Run 0 continues the slot before; the stretches counted here start at run 1.
     stretch = F.count_if(confirmed & (F.col("run") > 0)).over(
@@ -69,7 +69,7 @@ def _slot_rows(runs: DataFrame, threshold: float) -> DataFrame:
     )
     stretches = (
         runs.withColumn("stretch", F.coalesce(stretch, F.lit(0)))
-        .groupBy(*SLOT, F.when(F.col("run") > 0, F.col("stretch")).otherwise(-1).alias("stretch"))
+        .groupBy(*keys, F.when(F.col("run") > 0, F.col("stretch")).otherwise(-1).alias("stretch"))
         .agg(
             F.min("low").alias("low"),
             F.min_by("peak", "run").alias("peak"),
@@ -83,10 +83,10 @@ def _slot_rows(runs: DataFrame, threshold: float) -> DataFrame:
     piece = F.struct("stretch", "peak", "low", "rises", "climb")
     head, tail = F.col("stretch") == 0, F.col("stretch") == F.col("newest")
     closed = (F.col("stretch") > 0) & ~tail
-    newest = F.max("stretch").over(Window.partitionBy(*SLOT))
+    newest = F.max("stretch").over(Window.partitionBy(*keys))
     return (
         stretches.withColumn("newest", newest)
-        .groupBy(*SLOT)
+        .groupBy(*keys)
         .agg(
             F.min_by("first", "stretch").alias("first"),
             F.max_by("last", "stretch").alias("last"),
@@ -207,28 +207,23 @@ def fuel_between_confirmed_refills(
     readings: DataFrame,
     intervals: DataFrame,
     confirm_threshold: float = 100,
-    slot_ms: int = DAY_MS,
+    slot_ms: int = HOUR_MS,
     prune: bool = True,
-    crowded_rows: int = CROWDED_ROWS,
 ) -> DataFrame:
     """``consumption`` per request over the half-open interval; 0 where there is none.
 
     Confirmation is tested on the second consecutive rise and later, so a refuel
     seen in a single step is never confirmed, whatever its size.
     """
-    rows = slotted(
-        readings,
-        spans_of(intervals),
-        "left",
-        slot_ms=slot_ms,
-        prune=prune,
-        crowded_rows=crowded_rows,
-    )
-    slots = _slot_rows(_runs(rows), confirm_threshold)
-    # One row per slot or part: bounded by the interval's length, not its readings.
+
+    def summarize(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        return _slot_rows(_runs(rows, keys), confirm_threshold, keys)
+
+    slots = slot_summaries(readings, spans_of(intervals), "left", summarize, slot_ms=slot_ms, prune=prune)
+    # One row per slot: bounded by the interval's length, not its readings.
     ordered = slots.groupBy(*SPAN).agg(
         F.array_sort(
-            F.collect_list(F.struct("slot", "part", "first", "last", "entry", "head", "tail", "closed"))
+            F.collect_list(F.struct("slot", "first", "last", "entry", "head", "tail", "closed"))
         ).alias("slots")
     )
     merge, state_of = _fold(confirm_threshold)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import DAY_MS
 from ..sources.files import engine_hour_entries
 from .intervals import interval_of_seconds
-from .slots import CROWDED_ROWS, SLOT, slot_order, slotted
+from .slots import slot_order, slot_summaries
 from .spans import HOUR_MS, SPAN, answer, spans_of, unit_of
 
 # The statuses that count as idle, breakdown and waiting.
@@ -73,16 +73,13 @@ def idle_seconds(
 
 
 def _valid_entries(
-    entries: DataFrame, spans: DataFrame, slot_ms: int, prune: bool, crowded_rows: int
+    entries: DataFrame, spans: DataFrame, slot_ms: int, prune: bool
 ) -> DataFrame:
     """Per span: number, extremes and times of the believable meter entries.
 
     An entry is believable when the meter rose, and by no more than the hours
     since the entry before plus one. The comparison stays in whole milliseconds.
     """
-    rows = slotted(
-        engine_hour_entries(entries), spans, "both", "engrs", slot_ms, prune, crowded_rows
-    )
 
     def believable(value, before, at, at_before):
         gain = value - before
@@ -102,12 +99,17 @@ def _valid_entries(
         ]
 
     # Merged copies: only the first of them rose, so each row weighs one.
-    slots = rows.groupBy(*SLOT).agg(
-        *summary(good, F.col("engrs"), F.col("time_created"), F.lit(1)),
-        F.min_by("engrs", "n").alias("entry"),
-        F.min("time_created").alias("at"),
-        F.max_by("engrs", "n").alias("last_entry"),
-        F.max("time_created").alias("last_time"),
+    def summarize(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        return rows.groupBy(*keys).agg(
+            *summary(good, F.col("engrs"), F.col("time_created"), F.lit(1)),
+            F.min_by("engrs", "n").alias("entry"),
+            F.min("time_created").alias("at"),
+            F.max_by("engrs", "n").alias("last_entry"),
+            F.max("time_created").alias("last_time"),
+        )
+
+    slots = slot_summaries(
+        engine_hour_entries(entries), spans, "both", summarize, "engrs", slot_ms, prune
     )
     entry, at = F.col("entry"), F.col("at")
     good_first = believable(entry, F.col("before"), at, F.col("at_before"))
@@ -134,9 +136,8 @@ def engine_hours(
     requests: DataFrame,
     idle: DataFrame | None = None,
     literal: bool = False,
-    slot_ms: int = DAY_MS,
+    slot_ms: int = HOUR_MS,
     prune: bool = True,
-    crowded_rows: int = CROWDED_ROWS,
 ) -> DataFrame:
     """``engine_hours`` per request ``(eqmt, t0, t1)`` in epoch seconds.
 
@@ -152,7 +153,7 @@ def engine_hours(
             {c: F.lit(None).cast("bigint") for c in ("kept", "first_at", "last_at", "gain")}
         )
     else:
-        valid = _valid_entries(entries, spans, slot_ms, prune, crowded_rows)
+        valid = _valid_entries(entries, spans, slot_ms, prune)
         found = spans.join(valid, list(SPAN), "left").select(
             *SPAN, "kept", "first_at", "last_at", (F.col("high") - F.col("low")).alias("gain")
         )

@@ -85,7 +85,8 @@ def _calendar(shifts: DataFrame) -> DataFrame:
 def _next_by_number(requests: DataFrame, shifts: DataFrame) -> DataFrame:
     """For each (enddate, endshift) the start of the first later (date, shift).
 
-    The end shift itself need not be in the calendar.
+    The end shift itself need not be in the calendar. Without one, the first shift
+    of a later date counts.
     """
     marks = requests.select("enddate", "endshift").distinct().select(
         F.col("enddate").alias("d"),
@@ -96,11 +97,11 @@ def _next_by_number(requests: DataFrame, shifts: DataFrame) -> DataFrame:
     known = shifts.groupBy(F.col("shiftdate").alias("d"), F.col("shift").alias("s")).agg(
         F.min("shiftstart").alias("at"), F.lit(False).alias("mark")
     )
-    # A mark sorts after the calendar row of the same (date, shift).
-    later = Window.orderBy("d", "s", "mark").rowsBetween(1, Window.unboundedFollowing)
+    # A mark sorts after the calendar row of the same (date, shift), one without a shift after its date.
+    later = Window.orderBy("d", F.asc_nulls_last("s"), "mark").rowsBetween(1, Window.unboundedFollowing)
     return (
         known.unionByName(marks)
-        .filter(F.col("d").isNotNull() & F.col("s").isNotNull())
+        .filter(F.col("d").isNotNull() & (F.col("s").isNotNull() | F.col("mark")))
         .withColumn("end_next", F.first("at", ignorenulls=True).over(later))
         .filter("mark")
         .select(F.col("d").alias("enddate"), F.col("s").alias("endshift"), "end_next")
@@ -174,7 +175,9 @@ def resolve_interval(
             "left",
         )
         if rule == NEXT_BY_NUMBER:
-            df = df.join(_next_by_number(requests, shifts), ["enddate", "endshift"], "left")
+            found = _next_by_number(requests, shifts).withColumnsRenamed({"enddate": "d__", "endshift": "s__"})
+            same = (F.col("enddate") == F.col("d__")) & F.col("endshift").eqNullSafe(F.col("s__"))
+            df = df.join(found, same, "left").drop("d__", "s__")
         elif rule != ONE_SHIFT:
             df = df.join(
                 calendar.select(

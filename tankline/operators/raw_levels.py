@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import DAY_MS, step
-from .slots import CROWDED_ROWS, SLOT, slot_order, slotted
+from ..functions import step
+from .slots import slot_order, slot_summaries
 from .spans import HOUR_MS, SPAN, answer, needed_readings, spans_of, unit_of
 
 
@@ -66,22 +66,27 @@ def fuel_level_difference(
     ``status`` is ``ok``, the bounds' own problem, or ``no_level``. An unknown
     start shift gives 0, as a call with one does; every other problem gives NULL.
     """
-    spans = spans_of(intervals)
-    probes = spans.select("eqmt", F.explode(F.array("from_ms", "to_ms")).alias("at_ms"))
+    usable = (F.col("bounds_status") == "ok") & F.col("eqmt").isNotNull()
+    asked = intervals.filter(usable).select(*SPAN).distinct()
+    ends = F.array(
+        F.struct(F.col("from_ms").alias("at_ms"), F.lit("start_level").alias("end")),
+        F.struct(F.col("to_ms").alias("at_ms"), F.lit("end_level").alias("end")),
+    )
+    probes = asked.select(*SPAN, F.inline(ends))
     if prune:
-        readings = needed_readings(readings, spans, look_back=True)
-    levels = level_as_of(readings, probes, slot_ms)
-    found = intervals.join(
-        levels.select(
-            "eqmt", F.col("at_ms").alias("from_ms"), F.col("level").alias("start_level")
-        ),
-        ["eqmt", "from_ms"],
-        "left",
-    ).join(
-        levels.select("eqmt", F.col("at_ms").alias("to_ms"), F.col("level").alias("end_level")),
-        ["eqmt", "to_ms"],
-        "left",
+        # The later of both ends, since a request may be reversed.
+        later = asked.select(
+            "eqmt",
+            F.least("from_ms", "to_ms").alias("from_ms"),
+            F.greatest("from_ms", "to_ms").alias("to_ms"),
+        )
+        readings = needed_readings(readings, later, look_back=True)
+    levels = probes.join(level_as_of(readings, probes, slot_ms), ["eqmt", "at_ms"], "left")
+    both = levels.groupBy(*SPAN).agg(
+        *[F.max(F.when(F.col("end") == e, F.col("level"))).alias(e) for e in ("start_level", "end_level")]
     )
+    known = {e: F.when(F.col("bounds_status") == "ok", F.col(e)) for e in ("start_level", "end_level")}
+    found = answer(intervals, both).withColumns(known)
     difference = step(F.col("start_level"), F.col("end_level"))
     bounds = F.col("bounds_status")
     return found.withColumns(
@@ -97,9 +102,8 @@ def fuel_level_difference(
 def fuel_used_raw_drops(
     readings: DataFrame,
     intervals: DataFrame,
-    slot_ms: int = DAY_MS,
+    slot_ms: int = HOUR_MS,
     prune: bool = True,
-    crowded_rows: int = CROWDED_ROWS,
 ) -> DataFrame:
     """Sum of the falls between neighboring raw readings inside the interval.
 
@@ -107,20 +111,16 @@ def fuel_used_raw_drops(
     when there is no interval.
     """
     known = readings.filter(F.col("liters").isNotNull())
-    rows = slotted(
-        known,
-        spans_of(intervals),
-        "both",
-        slot_ms=slot_ms,
-        prune=prune,
-        crowded_rows=crowded_rows,
-    )
     fall = F.greatest(step(F.col("prev"), F.col("liters")), F.lit(0.0))
-    slots = rows.groupBy(*SLOT).agg(
-        F.sum(F.when(F.col("prev").isNotNull(), fall)).alias("inside"),
-        F.min_by("liters", "n").alias("first"),
-        F.max_by("liters", "n").alias("last"),
-    )
+
+    def summarize(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        return rows.groupBy(*keys).agg(
+            F.sum(F.when(F.col("prev").isNotNull(), fall)).alias("inside"),
+            F.min_by("liters", "n").alias("first"),
+            F.max_by("liters", "n").alias("last"),
+        )
+
+    slots = slot_summaries(known, spans_of(intervals), "both", summarize, slot_ms=slot_ms, prune=prune)
     across = step(F.lag("last").over(slot_order()), F.col("first"))
     used = (
         slots.withColumn("across", F.greatest(across, F.lit(0.0)))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import DAY_MS, step
-from .slots import CROWDED_ROWS, SLOT, slot_at, slot_order, slotted
-from .spans import SPAN, answer, spans_of
+from ..functions import step
+from .slots import slot_order, slot_summaries
+from .spans import HOUR_MS, SPAN, answer, spans_of
 
 
 def analyze_fuel(
@@ -15,9 +15,8 @@ def analyze_fuel(
     intervals: DataFrame,
     refill_sensitivity: float = 40,
     anomaly_threshold: float = 100,
-    slot_ms: int = DAY_MS,
+    slot_ms: int = HOUR_MS,
     prune: bool = True,
-    crowded_rows: int = CROWDED_ROWS,
 ) -> DataFrame:
     """Eight measures per request over the half-open interval.
 
@@ -35,26 +34,22 @@ def analyze_fuel(
     NULL levels count as points and hide the changes next to them. A NULL first
     level makes consumption NULL once a refuel comes, and 0 otherwise.
     """
-    rows = slotted(
-        readings,
-        spans_of(intervals),
-        "left",
-        slot_ms=slot_ms,
-        prune=prune,
-        crowded_rows=crowded_rows,
-    )
     change = step(F.col("liters"), F.col("prev"))
     refill = change > refill_sensitivity
     anomaly = change < -anomaly_threshold
-    slots = rows.groupBy(*SLOT).agg(
-        F.sum("copies").alias("points"),
-        F.sum(F.when(refill, change).otherwise(0.0)).alias("refilled"),
-        F.count_if(refill).alias("refills"),
-        F.count_if(anomaly).alias("anomalies"),
-        F.max_by("liters", F.when(refill, F.col("n"))).alias("top"),
-        F.min_by("liters", "n").alias("first"),
-        F.max_by("liters", "n").alias("last"),
-    )
+
+    def summarize(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        return rows.groupBy(*keys).agg(
+            F.sum("copies").alias("points"),
+            F.sum(F.when(refill, change).otherwise(0.0)).alias("refilled"),
+            F.count_if(refill).alias("refills"),
+            F.count_if(anomaly).alias("anomalies"),
+            F.max_by("liters", F.when(refill, F.col("n"))).alias("top"),
+            F.min_by("liters", "n").alias("first"),
+            F.max_by("liters", "n").alias("last"),
+        )
+
+    slots = slot_summaries(readings, spans_of(intervals), "left", summarize, slot_ms=slot_ms, prune=prune)
     # The change from the slot before, and the level after the newest refuel here.
     slots = slots.withColumn(
         "across", step(F.col("first"), F.lag("last").over(slot_order()))
@@ -68,9 +63,9 @@ def analyze_fuel(
         ),
         (F.sum("refills") + F.count_if(refill_across)).alias("refills"),
         (F.sum("anomalies") + F.count_if(F.col("across") < -anomaly_threshold)).alias("anomalies"),
-        F.max(F.when(top.isNotNull(), F.struct("slot", "part", top.alias("level")))).alias("top"),
-        F.min_by("first", slot_at()).alias("start_level"),
-        F.max_by("last", slot_at()).alias("end_level"),
+        F.max(F.when(top.isNotNull(), F.struct("slot", top.alias("level")))).alias("top"),
+        F.min_by("first", "slot").alias("start_level"),
+        F.max_by("last", "slot").alias("end_level"),
     )
     start, end = F.col("start_level"), F.col("end_level")
     top = F.col("top.level")

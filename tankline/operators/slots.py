@@ -1,14 +1,15 @@
-"""Order-dependent work on raw readings, in pieces of bounded size.
+"""Order-dependent work on raw readings, in pieces of bounded time.
 
 Comparing each reading with the one before it needs an order, and one machine
-may own a third of all readings. So no window ever spans a machine: an interval
-is cut into slots (a day unless told otherwise), the window runs inside a
-slot, each slot is reduced to one row, and the few slot rows of an interval
+may own a third of all readings. So no window ever spans a machine: time is cut
+into fixed short slots (an hour unless told otherwise), the window runs inside a
+slot, and each slot is reduced to one row. The few slot rows of an interval
 (bounded by its length in time) are then put together in order.
 
-A slot crowded with readings is cut further, into equal parts of its time, up to
-24 seconds short. The crowded slots are found by a count, the ten thousand
-largest at most, and are known to both sides of the join.
+A slot that lies wholly inside an interval gives the same row to every interval,
+so it is reduced once, however many intervals share it. Only the slots that an
+interval's ends cut are reduced for that interval alone, two at most. The work is
+readings plus intervals.
 
 Equal readings (same machine, millisecond and level) are first merged into one
 with a count. They are neighbors in the order, so no difference between them
@@ -18,106 +19,76 @@ millisecond are ordered by level, NULL first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions import DAY_MS
-from .spans import SPAN, is_inside, needed_readings, unit_of, units_in
+from .spans import HOUR_MS, SPAN, is_inside, needed_readings, unit_of, units_in
 
-SLOT = (*SPAN, "slot", "part")
+#: Keys of a slot row of one interval, and of a slot row that all intervals share.
+SLOT = (*SPAN, "slot")
+SHARED = ("eqmt", "slot")
 
-# A slot with more readings than this is cut into parts of no more, bursts apart.
-CROWDED_ROWS = 1_000_000
 
-# Fixed bounds: how many slots are cut, and into how many parts at most.
-MAX_CROWDED_SLOTS = 10_000
-MAX_PARTS = 3_600
+def merged_copies(rows: DataFrame, value: str) -> DataFrame:
+    return rows.groupBy("eqmt", "time_created", value).agg(F.count(F.lit(1)).alias("copies"))
 
-# Parts are made finer than the mean needs, since readings come in bursts.
-FINER = 16
 
+def _in_order(rows: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
+    """Adds ``n`` (the position in the slot), ``prev`` and ``prev_time``, NULL on a slot's first row."""
+    order = Window.partitionBy(*keys).orderBy("time_created", F.asc_nulls_first(value))
+    return rows.withColumns(
+        {
+            "n": F.row_number().over(order),
+            "prev": F.lag(value).over(order),
+            "prev_time": F.lag("time_created").over(order),
+        }
+    )
 
-def merged_copies(rows: DataFrame, value: str) -> DataFrame:
-    return rows.groupBy("eqmt", "time_created", value).agg(F.count(F.lit(1)).alias("copies"))
 
+def slot_units(spans: DataFrame, closed: str, slot_ms: int) -> DataFrame:
+    """Each span with each slot that it touches; ``whole`` where the slot lies inside it."""
+    begin = F.col("slot") * slot_ms
+    last = F.col("to_ms") if closed == "both" else F.col("to_ms") - 1
+    whole = (begin >= F.col("from_ms")) & (begin + (slot_ms - 1) <= last)
+    return units_in(spans, slot_ms, "slot").withColumn("whole", whole)
 
-def crowded_slots(rows: DataFrame, slot_ms: int, crowded_rows: int) -> DataFrame:
-    """``eqmt, slot, parts`` of the slots to cut, ``MAX_CROWDED_SLOTS`` rows at most.
 
-    Slots beyond that many stay whole, which changes no result: each of them
-    holds less than a ten-thousandth of all readings.
-    """
-    parts = F.ceil(F.col("n") / F.lit(crowded_rows)) * FINER
-    parts = F.least(parts, F.lit(MAX_PARTS)).cast("int")
-    return (
-        rows.groupBy("eqmt", unit_of(F.col("time_created"), slot_ms).alias("slot"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > crowded_rows)
-        .orderBy(F.desc("n"), "eqmt", "slot")
-        .limit(MAX_CROWDED_SLOTS)
-        .select("eqmt", "slot", parts.alias("parts"))
-    )
+def edge_rows(placed: DataFrame, units: DataFrame, closed: str) -> DataFrame:
+    """The readings in slots that an end of a span cuts, as far as they lie inside it."""
+    cut = units.filter(~F.col("whole")).drop("whole")
+    # Never broadcast: the cut spans may be far larger than Spark expects.
+    met = placed.join(cut.hint("merge"), list(SHARED))
+    return met.filter(is_inside(F.col("time_created"), closed))
 
 
-def slotted(
+def slot_summaries(
     rows: DataFrame,
     spans: DataFrame,
     closed: str,
+    summarize: Callable[[DataFrame, tuple[str, ...]], DataFrame],
     value: str = "liters",
-    slot_ms: int = DAY_MS,
+    slot_ms: int = HOUR_MS,
     prune: bool = True,
-    crowded_rows: int = CROWDED_ROWS,
 ) -> DataFrame:
-    """Distinct readings per span and slot with the previous one of the same slot.
+    """One row per span and slot with readings, made by ``summarize``.
 
-    Adds ``slot, part``, ``copies``, ``n`` (the position in the slot), ``prev`` and
-    ``prev_time``; the latter two are NULL on a slot's first row. The join and
-    every later step keyed by the slot share one shuffle. ``prune`` cuts the
+    ``summarize(rows, keys)`` gets distinct readings with ``copies``, ``n``, ``prev``
+    and ``prev_time`` and returns one row per ``keys``. ``prune`` cuts the
     rows to the spans' time and machines at the scan.
     """
     if prune:
         rows = needed_readings(rows, spans, look_back=False)
-    at = F.col("time_created")
-    # Broadcast: bounded by MAX_CROWDED_SLOTS.
-    crowded = F.broadcast(crowded_slots(rows, slot_ms, crowded_rows))
-    into = F.pmod(at, F.lit(slot_ms)) * F.col("parts")
-    part = F.call_function("div", into, F.lit(slot_ms)).cast("int")
-    placed = (
-        merged_copies(rows, value)
-        .withColumn("slot", unit_of(at, slot_ms))
-        .join(crowded, ["eqmt", "slot"], "left")
-        .withColumn("part", F.coalesce(part, F.lit(0)))
-        .drop("parts")
-    )
     kind = rows.schema["eqmt"].dataType
-    units = (
-        units_in(spans.withColumn("eqmt", F.col("eqmt").cast(kind)), slot_ms, "slot")
-        .join(crowded, ["eqmt", "slot"], "left")
-        .withColumn(
-            "part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - F.lit(1)))
-        )
-        .drop("parts")
-    )
-    order = Window.partitionBy(*SLOT).orderBy("time_created", F.asc_nulls_first(value))
-    # Never broadcast: the cut spans may be far larger than Spark expects.
-    return (
-        placed.join(units.hint("merge"), ["eqmt", "slot", "part"])
-        .filter(is_inside(at, closed))
-        .withColumns(
-            {
-                "n": F.row_number().over(order),
-                "prev": F.lag(value).over(order),
-                "prev_time": F.lag("time_created").over(order),
-            }
-        )
-    )
+    units = slot_units(spans.withColumn("eqmt", F.col("eqmt").cast(kind)), closed, slot_ms)
+    placed = merged_copies(rows, value).withColumn("slot", unit_of(F.col("time_created"), slot_ms))
+    shared = summarize(_in_order(placed, SHARED, value), SHARED)
+    whole = shared.join(units.filter("whole").drop("whole").hint("merge"), list(SHARED))
+    edges = summarize(_in_order(edge_rows(placed, units, closed), SLOT, value), SLOT)
+    return whole.unionByName(edges)
 
 
 def slot_order() -> WindowSpec:
     """Slots of one span in time order."""
-    return Window.partitionBy(*SPAN).orderBy("slot", "part")
-
-
-def slot_at():
-    """The position of a slot row, to compare within a span."""
-    return F.struct("slot", "part")
+    return Window.partitionBy(*SPAN).orderBy("slot")

@@ -65,7 +65,7 @@ levels AS (
 _REQUESTS = (
     "requests AS (SELECT eqmt, startdate, startshift, enddate, endshift"
     " FROM (SELECT DISTINCT eqmt FROM readings) CROSS JOIN (VALUES "
-    + ", ".join(f"(DATE '{a}', {b}, DATE '{c}', {d})" for a, b, c, d in WINDOWS)
+    + ", ".join(f"(DATE '{a}', {b}, DATE '{c}', {'NULL' if d is None else d})" for a, b, c, d in WINDOWS)
     + ") AS w(startdate, startshift, enddate, endshift))"
 )
 
@@ -460,12 +460,13 @@ GROUP BY i.eqmt, i.startdate, i.startshift, i.enddate, i.endshift, i.time_from,
         _with(_READINGS, _SHIFTS, _REQUESTS, _intervals("next_by_number")) + _LEVEL_DIFFERENCE
     )
     keys = "eqmt, startdate, startshift, enddate, endshift"
-    compare = f"""SELECT eqmt, startdate, startshift, enddate, endshift, level_difference, raw_drops,
+    same = lambda other: " AND ".join(f"a.{k} IS NOT DISTINCT FROM {other}.{k}" for k in keys.split(", "))
+    compare = f"""SELECT a.eqmt, a.startdate, a.startshift, a.enddate, a.endshift, level_difference, raw_drops,
   refuel_stretches, confirmed_refills
-FROM (SELECT {keys}, consumption AS level_difference FROM ({level_difference}))
-JOIN (SELECT {keys}, fuel_used AS raw_drops FROM ({_raw_drops()})) USING ({keys})
-JOIN (SELECT {keys}, total_consumption_liters AS refuel_stretches FROM ({_analysis()})) USING ({keys})
-JOIN (SELECT {keys}, consumption AS confirmed_refills FROM ({_confirmed_refills()})) USING ({keys})"""
+FROM (SELECT {keys}, consumption AS level_difference FROM ({level_difference})) a
+JOIN (SELECT {keys}, fuel_used AS raw_drops FROM ({_raw_drops()})) b ON {same("b")}
+JOIN (SELECT {keys}, total_consumption_liters AS refuel_stretches FROM ({_analysis()})) c ON {same("c")}
+JOIN (SELECT {keys}, consumption AS confirmed_refills FROM ({_confirmed_refills()})) d ON {same("d")}"""
     bucket_columns = ", ".join(f"{_bucket('time_created', n)} AS bucket_{n}" for n in (20, 10, 5, 25))
     at = "epoch_ms(time_created)"
 
@@ -518,7 +519,7 @@ JOIN (SELECT {keys}, consumption AS confirmed_refills FROM ({_confirmed_refills(
         + "SELECT *, t0 * 1000 AS from_ms, t1 * 1000 + 999 AS to_ms, epoch_ms(t0 * 1000) AS time_from,"
         " epoch_ms(t1 * 1000) AS time_to, 'ok' AS bounds_status FROM second_requests",
         "validate_interval": _with(_READINGS, _REQUESTS)
-        + "SELECT *, startdate > enddate OR (startdate = enddate AND startshift > endshift) AS invalid FROM requests",
+        + "SELECT *, coalesce(startdate > enddate OR (startdate = enddate AND startshift > endshift), false) AS invalid FROM requests",
         "fuel_usage_quality": _quality(20, MONTH),
         "fuel_usage_quality_by_shift": by_shift,
         "fuel_usage_quality_loose_20": _quality(20, MONTH, (50, 10, 0.5, 0.3)),

@@ -11,6 +11,7 @@ from .. import operators as ops
 from ..functions import epoch_ms_to_ts, time_bucket, time_bucket_modulo
 from ..operators import intervals as rules
 from ..operators import profile, traces
+from .. import sources
 from ..sources import (
     calendar_of,
     materialize_levels,
@@ -19,7 +20,6 @@ from ..sources import (
     read_readings,
     write_level_csv,
 )
-from ..sources.files import engine_hour_entries
 from . import tables as t
 from .tables import MONTH, TEN_DAYS
 
@@ -33,8 +33,10 @@ FROM_TIME, TO_TIME = "2024-01-05 08:45:00", "2024-01-25 20:45:00"
 
 def query(fn: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        # The given tables hold zoneless times, read as UTC by both engines.
+        # The given tables hold zoneless times, read as UTC by both engines. A session
+        # in another zone is left alone.
         if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+            spark = spark.newSession()
             spark.conf.set("spark.sql.session.timeZone", "UTC")
         return t.plain(fn(spark, sf_dir))
 
@@ -60,19 +62,26 @@ def readings_of_events(spark, sf_dir):
     return t.readings(spark, sf_dir)
 
 
+def stored(spark, df):
+    """Writes a derived table to the shared folder; returns its path."""
+    path = t.run_folder(spark)
+    df.write.parquet(path)
+    return path
+
+
 @query
 def read_shifts(spark, sf_dir):
-    return t.shifts(spark, sf_dir)
+    return sources.read_shifts(spark, stored(spark, t.shifts(spark, sf_dir)))
 
 
 @query
 def read_shifts_wide(spark, sf_dir):
-    return t.shifts_wide(spark, sf_dir)
+    return sources.read_shifts(spark, stored(spark, t.shifts_wide(spark, sf_dir)))
 
 
 @query
 def read_engine_hours(spark, sf_dir):
-    return engine_hour_entries(t.engine_entries(spark, sf_dir), *TEN_DAYS)
+    return sources.read_engine_hours(spark, stored(spark, t.engine_entries(spark, sf_dir)), *TEN_DAYS)
 
 
 @query
@@ -120,12 +129,12 @@ def time_buckets_modulo(spark, sf_dir):
 
 @query
 def range_filter(spark, sf_dir):
-    return ops.range_filter(t.readings(spark, sf_dir), *TEN_DAYS)
+    return ops.range_filter(t.readings(spark, sf_dir, TEN_DAYS), *TEN_DAYS)
 
 
 @query
 def resample_avg_20(spark, sf_dir):
-    return ops.resample_avg(t.readings(spark, sf_dir), 20, MONTH)
+    return ops.resample_avg(t.readings(spark, sf_dir, MONTH), 20, MONTH)
 
 
 @query

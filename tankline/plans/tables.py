@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DecimalType, DoubleType, TimestampType
@@ -23,6 +24,8 @@ WINDOWS = (
     ("2024-01-20", 1, "2024-01-31", 2),
     ("2024-01-18", 1, "2024-03-05", 2),
     ("2024-03-01", 1, "2024-03-02", 2),
+    ("2024-01-25", 1, "2024-01-05", 2),
+    ("2024-01-06", 2, "2024-01-11", None),
 )
 
 # Epoch seconds: all of January 2024 and ten days inside it.
@@ -40,8 +43,13 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
 
 
-def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).select(
+def readings(spark: SparkSession, sf_dir: str, within: tuple[int, int] | None = None) -> DataFrame:
+    """``within`` (epoch seconds) bounds the stored time itself, so that the scan can skip the rest."""
+    stored = events(spark, sf_dir)
+    if within is not None:
+        at = [F.lit(datetime.fromtimestamp(s, timezone.utc).replace(tzinfo=None)).cast("timestamp_ntz") for s in (within[0], within[1] + 1)]
+        stored = stored.filter((F.col("ts") >= at[0]) & (F.col("ts") <= at[1]))
+    return stored.select(
         F.unix_millis(F.col("ts").cast("timestamp")).alias("time_created"),
         F.col("user_id").cast("int").alias("eqmt"),
         F.col("props").alias("raw"),
@@ -89,7 +97,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.lit(a).cast("date").alias("startdate"),
                 F.lit(b).alias("startshift"),
                 F.lit(c).cast("date").alias("enddate"),
-                F.lit(d).alias("endshift"),
+                F.lit(d).cast("int").alias("endshift"),
             )
             for a, b, c, d in WINDOWS
         ]
@@ -110,11 +118,8 @@ def second_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_folder(spark: SparkSession) -> str:
-    """A new folder in the shared one that the cluster names, else a local one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.conf.get("spark.master", "local").startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    base = shared or tempfile.mkdtemp(prefix="tankline-")
+    """A new folder in the shared one that the cluster names, else in the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
 
 

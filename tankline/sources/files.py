@@ -31,10 +31,14 @@ def read_readings(
 def read_shifts(
     spark: SparkSession, path: str, columns: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """Shift calendar; the wider form is kept when the file has ``length``."""
-    df = spark.read.parquet(path)
-    wide = {"length", "shiftstart_epoch"} <= set(df.columns)
-    return _mapped(df, schema.SHIFTS_WIDE if wide else schema.SHIFTS, columns)
+    """Shift calendar; ``length`` and ``shiftstart_epoch`` are kept where the file has them."""
+    df, names = spark.read.parquet(path), columns or {}
+    kept = [
+        f
+        for f in schema.SHIFTS_WIDE
+        if f.name in schema.SHIFTS.names or names.get(f.name, f.name) in df.columns
+    ]
+    return _mapped(df, StructType(kept), columns)
 
 
 def read_engine_hours(

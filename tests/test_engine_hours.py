@@ -69,7 +69,7 @@ def loop(entries):
     return len(kept), gain + (432_000 - kept[-1][0]) / 3600 + kept[0][0] / 3600
 
 
-@pytest.mark.parametrize("setting", [{}, {"slot_ms": 3_600_000}, {"crowded_rows": 2, "prune": False}], ids=str)
+@pytest.mark.parametrize("setting", [{}, {"slot_ms": 3_600_000}, {"slot_ms": 86_400_000, "prune": False}], ids=str)
 def test_against_a_loop(spark, setting):
     machines = {}
     for e in range(120):

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tankline import operators as ops
 
@@ -96,8 +97,8 @@ def loop_confirmed(levels, threshold=100):
 
 
 MACHINES = {e: machine(e) for e in range(400)}
-# Slots of a day, of ten minutes, and cut into parts above two readings.
-SETTINGS = [{}, {"slot_ms": 600_000, "prune": False}, {"crowded_rows": 2}]
+# Slots of an hour, of ten minutes, and of a day.
+SETTINGS = [{}, {"slot_ms": 600_000, "prune": False}, {"slot_ms": 86_400_000}]
 
 
 @pytest.fixture(scope="module")
@@ -185,21 +186,38 @@ def test_as_of_looks_back_without_limit(spark):
     assert got == {1: (20.0, "ok"), 2: (None, "no_level")}
 
 
-def test_a_crowded_machine_is_cut(spark):
-    """One machine with most readings, many of them copies: same answer, no large slot."""
-    from tankline.operators.slots import SLOT, slotted
-    from tankline.operators.spans import spans_of
+def test_overlapping_requests_share_slot_rows(spark):
+    """Fifty requests on one crowded machine: only the cut slots of each meet raw rows."""
+    from tankline.operators.slots import edge_rows, merged_copies, slot_units
+    from tankline.operators.spans import spans_of, unit_of
 
-    t = ms(START)
-    seq = [(t + (i % 3000) * 7, float(1000 - i % 3000)) for i in range(12_000)]
+    t = ms("2024-01-01 00:00:00")
+    seq = [(t + i * 60_000, float(5000 - i // 2)) for i in range(2_000) for _ in range(3)]
     readings = readings_of(spark, [(1, *r) for r in seq] + [(2, t + 5, 9.0), (2, t + 9, 4.0)])
-    windows = windows_of(spark, [(1, *WINDOW), (2, *WINDOW)])
-    got = ops.fuel_used_raw_drops(readings, windows, crowded_rows=100).collect()
-    assert {r.eqmt: r.fuel_used for r in got} == {1: 2999.0, 2: 5.0}
-    rows = slotted(readings, spans_of(windows), "both", crowded_rows=100)
-    sizes = [r["count"] for r in rows.groupBy(*SLOT).count().collect()]
-    assert sum(sizes) == 3002
-    # All of it lies within 21 seconds of the day; parts are about 45 seconds.
-    assert max(sizes) <= 3000
-    hour = slotted(readings, spans_of(windows), "both", slot_ms=HOUR, crowded_rows=100)
-    assert max(r["count"] for r in hour.groupBy(*SLOT).count().collect()) < 400
+    day = "2024-01-0{} {:02}:{:02}:00"
+    times = [(1, day.format(1, 0, i), day.format(2, 6, i)) for i in range(50)]
+    windows = windows_of(spark, times)
+    got = {(r.time_from.minute, r.fuel_used) for r in ops.fuel_used_raw_drops(readings, windows).collect()}
+    inside = lambda i: [x for at, x in seq if t + i * 60_000 <= at <= t + (30 * 60 + i) * 60_000]
+    assert got == {(i, inside(i)[0] - inside(i)[-1]) for i in range(50)}
+    placed = merged_copies(readings, "liters").withColumn("slot", unit_of(F.col("time_created"), HOUR))
+    met = edge_rows(placed, slot_units(spans_of(windows), "both", HOUR), "both").count()
+    assert met <= 50 * 2 * 60 < 50 * 1_800
+
+
+def test_reversed_requests_get_the_same_answer_alone_and_in_a_batch(spark):
+    readings = readings_of(spark, [(1, "2024-01-01 00:00:00", 300), (1, "2024-01-10 00:00:00", 100)])
+    back = (1, "2024-01-12 00:00:00", "2024-01-05 00:00:00")
+    others = [(1, "2024-01-05 00:00:00", "2024-01-12 00:00:00"), (1, "2024-01-05 00:00:00", "2024-01-06 00:00:00")]
+    for asked in ([back], [back, *others]):
+        rows = ops.fuel_level_difference(readings, windows_of(spark, asked)).collect()
+        assert [(r.consumption, r.status) for r in rows if r.time_from > r.time_to] == [(-200.0, "ok")]
+
+
+def test_compared_methods_keep_every_request(spark):
+    from .conftest import requests_of, shifts_of
+
+    readings = readings_of(spark, [(1, "2024-01-01 09:00:00", 300), (1, "2024-01-03 09:00:00", 100)])
+    rows = [(1, "2024-01-01", 1, "2024-01-02", 2), (1, "2024-01-01", 1, "2024-01-02", None), (2, "2024-01-01", None, "2024-01-02", 1)]
+    got = ops.compare_methods(readings, shifts_of(spark, days=5), requests_of(spark, rows)).collect()
+    assert sorted(str((r.eqmt, r.startshift, r.endshift)) for r in got) == sorted(str((e, s, n)) for e, _, s, _, n in rows)

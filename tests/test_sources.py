@@ -18,7 +18,7 @@ from tankline.sources import (
 
 from .conftest import ms, readings_of, shifts_of
 
-ROWS = [(25, "2024-01-01 08:45:00", 1589), (25, "2024-01-01 08:50:00", 1583.1),
+ROWS = [(31, "2024-01-01 09:10:00", 742), (31, "2024-01-01 09:15:00", 737.25),
         (7, "2024-01-02 23:59:59.999", 10.5)]
 
 
@@ -37,6 +37,13 @@ def test_both_calendar_shapes(spark, tmp_path):
     assert (wide.length, wide.shiftstart_epoch) == (43_200, ms("2023-12-31 20:45:00") // 1000)
 
 
+def test_optional_calendar_columns_are_kept_on_their_own(spark, tmp_path):
+    short = shifts_of(spark).withColumn("seconds", F.lit(28_800))
+    short.write.parquet(f"{tmp_path}/short")
+    read = read_shifts(spark, f"{tmp_path}/short", {"length": "seconds"})
+    assert read.columns[-1] == "length" and {r.length for r in wide_calendar(read).collect()} == {28_800}
+
+
 def test_calendar_labels(spark):
     shifts = calendar_of(readings_of(spark, ROWS)).orderBy("shiftstart").collect()
     assert shifts[0].shiftstart == datetime(2023, 12, 31, 20, 45)
@@ -54,12 +61,12 @@ def test_engine_hours_source(spark, tmp_path):
 
 
 def test_level_csv(spark, tmp_path):
-    text = '"timecreated","eqmt","liters","liters_prev"\n2024-03-20 08:45:00.000 +0500,"25",1589.000,1600.300\n'
+    text = '"timecreated","eqmt","liters","liters_prev"\n2024-07-04 16:05:00.000 +0500,"31",742.000,748.125\n'
     (tmp_path / "levels.csv").write_text(text)
     row = read_level_csv(spark, str(tmp_path / "levels.csv")).first()
-    assert (row.eqmt, str(row.liters), str(row.liters_prev)) == ("25", "1589.000", "1600.300")
+    assert (row.eqmt, str(row.liters), str(row.liters_prev)) == ("31", "742.000", "748.125")
     zoneless = read_level_csv(spark, str(tmp_path / "levels.csv")).select(F.col("timecreated").cast("timestamp_ntz"))
-    assert zoneless.first()[0] == datetime(2024, 3, 20, 3, 45)
+    assert zoneless.first()[0] == datetime(2024, 7, 4, 11, 5)
     levels = ops.levels_5min(readings_of(spark, ROWS))
     write_level_csv(levels, f"{tmp_path}/out")
     back = read_level_csv(spark, f"{tmp_path}/out")
@@ -80,18 +87,18 @@ def test_checks(spark):
     df = readings_of(spark, ROWS + [(7, "2024-01-02 00:00:00", None)])
     levels = ops.levels_5min(df)
     assert profile.bucket_count(df).first()[0] == 3
-    assert profile.max_level(df).first()[0] == 1589
-    assert dict(profile.max_level_per_equipment(df).collect()) == {25: 1589, 7: 10.5}
-    assert [r.liters for r in profile.distinct_levels(df).collect()] == [1589, 1583.1, 10.5, None]
-    assert [r.eqmt for r in profile.distinct_equipment(df).collect()] == [7, 25]
+    assert profile.max_level(df).first()[0] == 742
+    assert dict(profile.max_level_per_equipment(df).collect()) == {31: 742, 7: 10.5}
+    assert [r.liters for r in profile.distinct_levels(df).collect()] == [742, 737.25, 10.5, None]
+    assert [r.eqmt for r in profile.distinct_equipment(df).collect()] == [7, 31]
     assert profile.distinct_raw(df).count() == 1
     days = {r.eqmt: (r.first_day.day, r.last_day.day) for r in profile.day_span_of_readings(df).collect()}
-    assert days == {25: (1, 1), 7: (2, 2)}
-    assert {r.eqmt: r.last_day.day for r in profile.day_span_of_levels(levels).collect()} == {"25": 1, "7": 2}
+    assert days == {31: (1, 1), 7: (2, 2)}
+    assert {r.eqmt: r.last_day.day for r in profile.day_span_of_levels(levels).collect()} == {"31": 1, "7": 2}
     assert profile.time_span_of_levels(levels).first().row_count == 4
     assert profile.reading_count(df).first()[0] == 4
-    window = ("2024-01-01 08:45:00", "2024-01-01 08:50:00")
-    assert [r.eqmt for r in profile.levels_between(levels, *window, eqmt=25).collect()] == ["25", "25"]
+    window = ("2024-01-01 09:10:00", "2024-01-01 09:15:00")
+    assert [r.eqmt for r in profile.levels_between(levels, *window, eqmt=31).collect()] == ["31", "31"]
     assert profile.levels_between(levels, *window, limit=1).count() == 1
     low, high = ms("2024-01-01 00:00:00") // 1000, ms("2024-01-03 00:00:00") // 1000
     assert profile.readings_between(df, low, high, eqmt=7).count() == 2
