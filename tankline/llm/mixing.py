@@ -177,17 +177,18 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     A cut text holds the words of its spans, joined by single spaces, and its own ``n_chars``.
     """
-    df = mix(docs, keep=tuple(docs.columns), **options)
+    document = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document")
+    df = mix(docs.select(document, "doc_id", "source", "text"), keep=("document",), **options)
+    text = F.col("document.text")
     whole = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"]) == F.col("size")
     times = F.col("passes") + (whole & (F.col("size") > 0)).cast("long")
     cut = ~whole & (F.size("spans") > 0)
-    words = words_of(F.col("text"))
+    words = words_of(text)
     pieces = F.flatten(F.transform("spans", lambda s: F.slice(words, (s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int"))))
-    short = F.array_join(pieces, " ")
     copies = F.concat(
-        F.array_repeat(F.col("text"), times.cast("int")),
-        F.when(cut, F.array(short)).otherwise(F.array().cast("array<string>")),
+        F.array_repeat(text, times.cast("int")),
+        F.when(cut, F.array(F.array_join(pieces, " "))).otherwise(F.array().cast("array<string>")),
     )
-    df = df.withColumn("_copy", F.explode(copies))
-    fixed = {"text": F.col("_copy"), "n_chars": F.length("_copy").cast("long")}
-    return df.select(*[fixed.get(c, F.col(c)).alias(c) for c in docs.columns])
+    df = df.select("document", F.explode(copies).alias("copy"))
+    fixed = {"text": F.col("copy"), "n_chars": F.length("copy").cast("long")}
+    return df.select(*[fixed.get(c, F.col(f"document.`{c}`")).alias(c) for c in docs.columns])

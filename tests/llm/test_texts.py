@@ -188,7 +188,7 @@ def labelled(spark, n=600):
     for i in range(n):
         w, toxic = words(i, 50), i % 5 == 0
         if toxic:
-            w[10:10] = [BAD[i % 3], BAD[(i + 1) % 5], BAD[(i + 3) % 5]]
+            w[10:10] = [BAD[i // 5 % 5], BAD[(i // 5 + 2) % 5]]
         rows.append((i, " ".join(w)))
         labels.append((i, 1, int(toxic), 0.0))
     return rows, spark.createDataFrame(labels, "doc_id long, quality int, toxic int, score double")
