@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import DAY_MS, share_percent, wall_clock_ms
 from ..sources.calendar import wide_calendar
+from .intervals import interval_of_seconds
 from .resample import resampled
-from .spans import unit_of
+from .slots import SHARED, SLOT, edge_rows, slot_units
+from .spans import SPAN, needed_readings, spans_of, unit_of
 
 
 @dataclass(frozen=True)
@@ -26,10 +28,14 @@ DEFAULT_LIMITS = QualityLimits()
 LOOSE_LIMITS = QualityLimits(50, 10, 0.5, 0.3)
 
 
+def _limit(value: float | Column) -> Column:
+    return value if isinstance(value, Column) else F.lit(float(value))
+
+
 def _measures(limits: QualityLimits) -> list[Column]:
     fall = F.col("fuel_prev") - F.col("fuel")
-    top = F.lit(float(limits.max_fuel_diff))
-    jump = (fall > top) | ((fall < -top) & (fall > -F.lit(float(limits.min_fueling_level))))
+    top = _limit(limits.max_fuel_diff)
+    jump = (fall > top) | ((fall < -top) & (fall > -_limit(limits.min_fueling_level)))
     return [
         F.sum(F.when((fall > 0) & (fall < top), fall).otherwise(0.0)).alias("fuel_use"),
         F.sum(F.when(fall == 0, 1).otherwise(0)).alias("same"),
@@ -39,8 +45,8 @@ def _measures(limits: QualityLimits) -> list[Column]:
 
 
 def _verdict(limits: QualityLimits) -> list[Column]:
-    flat = F.col("same") / F.col("points") > F.lit(float(limits.perc_no_data))
-    jumpy = F.col("jumps") / F.col("points") > F.lit(float(limits.perc_need_cab))
+    flat = F.col("same") / F.col("points") > _limit(limits.perc_no_data)
+    jumpy = F.col("jumps") / F.col("points") > _limit(limits.perc_need_cab)
     return [
         F.when(~(flat | jumpy), F.col("fuel_use")).alias("fuel_used"),
         F.when(flat, "no_data").when(jumpy, "need calibration").otherwise("Ok").alias("status"),
@@ -76,6 +82,48 @@ def fuel_usage_quality(
     )
 
 
+def fuel_usage_quality_requests(
+    readings: DataFrame,
+    requests: DataFrame,
+    minutes: int = 20,
+    limits: QualityLimits = DEFAULT_LIMITS,
+    prune: bool = True,
+) -> DataFrame:
+    """``fuel_used, status, accuracy`` of each request ``(eqmt, t0, t1)`` in epoch seconds.
+
+    The range is cut before the previous level is taken, so the first bucket of each request
+    has none. Requests may carry columns named as the fields of ``QualityLimits``;
+    those replace ``limits`` row by row. Without a usable level the status is ``no_levels``.
+
+    A bucket that lies inside a request has one mean for all requests; only the buckets at
+    a request's ends are averaged for it alone. Buckets are cut in epoch time.
+    """
+    if 60 % minutes:
+        raise ValueError("minutes must divide 60")
+    names = [f.name for f in fields(QualityLimits)]
+    rowwise = {n: F.col(n).cast("double") if n in requests.columns else _limit(getattr(limits, n)) for n in names}
+    intervals = interval_of_seconds(requests).withColumns(rowwise)
+    spans, slot_ms = spans_of(intervals), minutes * 60_000
+    if prune:
+        readings = needed_readings(readings, spans, look_back=False)
+    kind = readings.schema["eqmt"].dataType
+    units = slot_units(spans.withColumn("eqmt", F.col("eqmt").cast(kind)), "both", slot_ms)
+    placed = readings.withColumn("slot", unit_of(F.col("time_created"), slot_ms))
+    mean = F.round(F.avg("liters"), 9).alias("fuel")
+    shared = placed.groupBy(*SHARED).agg(mean)
+    whole = shared.join(units.filter("whole").drop("whole").hint("merge"), list(SHARED))
+    levels = whole.unionByName(edge_rows(placed, units, "both").groupBy(*SLOT).agg(mean))
+    order = Window.partitionBy(*SPAN).orderBy("slot")
+    levels = _positive_levels(levels.withColumn("fuel_prev", F.lag("fuel").over(order)))
+    asked = intervals.select(*SPAN, *names).distinct()
+    own = QualityLimits(*map(F.col, names))
+    levels = levels.withColumn("eqmt", F.col("eqmt").cast(intervals.schema["eqmt"].dataType))
+    found = levels.join(asked, list(SPAN)).groupBy(*SPAN, *names).agg(*_measures(own)).select(*SPAN, *names, *_verdict(own))
+    kept = [c for c in intervals.columns if c not in ("time_from", "time_to", "from_ms", "to_ms", "bounds_status")]
+    joined = intervals.join(found, [*SPAN, *names], "left")
+    return joined.select(*kept, "fuel_used", F.coalesce("status", F.lit("no_levels")).alias("status"), "accuracy")
+
+
 def fuel_usage_quality_by_shift(
     readings: DataFrame,
     shifts: DataFrame,
@@ -83,6 +131,7 @@ def fuel_usage_quality_by_shift(
     end: int,
     minutes: int = 10,
     limits: QualityLimits = DEFAULT_LIMITS,
+    eqmt: int | None = None,
 ) -> DataFrame:
     """The same per machine and shift: adds ``shiftstart_epoch``.
 
@@ -90,6 +139,8 @@ def fuel_usage_quality_by_shift(
     its ends, so a bucket on the edge of two shifts counts in both; buckets in
     no shift form a group of their own with a NULL shift.
     """
+    if eqmt is not None:
+        readings = readings.filter(F.col("eqmt") == eqmt)
     calendar = wide_calendar(shifts)
     first = wall_clock_ms(F.col("shiftstart"))
     last = first + F.col("length").cast("long") * 1000

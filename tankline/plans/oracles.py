@@ -186,6 +186,10 @@ def _quality(minutes: int, bounds: tuple[int, int], limits=(70, 250, 0.8, 0.1))
     )
 
 
+_LIMITS = ("max_fuel_diff", "min_fueling_level", "perc_no_data", "perc_need_cab")
+_ASKED = "eqmt, t0, t1, " + ", ".join(_LIMITS)
+
+
 def _verdict(source: str, names: str, keys: str, limits=(70, 250, 0.8, 0.1)) -> str:
     """One label per group first; what is shown follows from the label."""
     top, fueling, no_data, need_cab = limits
@@ -522,6 +526,19 @@ JOIN (SELECT {keys}, consumption AS confirmed_refills FROM ({_confirmed_refills(
         + "SELECT *, coalesce(startdate > enddate OR (startdate = enddate AND startshift > endshift), false) AS invalid FROM requests",
         "fuel_usage_quality": _quality(20, MONTH),
         "fuel_usage_quality_by_shift": by_shift,
+        "fuel_usage_quality_requests": _with(
+            _READINGS,
+            _SECOND_REQUESTS,
+            f"""asked AS (SELECT *, CASE t0 WHEN {TEN_DAYS[0]} THEN 50.0::DOUBLE ELSE 70.0::DOUBLE END AS max_fuel_diff,
+  250.0::DOUBLE AS min_fueling_level, 0.8::DOUBLE AS perc_no_data,
+  CASE t0 WHEN {TEN_DAYS[0]} THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END AS perc_need_cab FROM second_requests)""",
+            f"""means AS (SELECT a.*, h.time_created // 1200000 AS tm, round(avg(h.liters), 9) AS fuel FROM asked a JOIN readings h
+  ON h.eqmt = a.eqmt AND h.time_created // 1000 BETWEEN a.t0 AND a.t1 GROUP BY ALL)""",
+            "main AS (SELECT *, lag(fuel) OVER (PARTITION BY eqmt, t0, t1 ORDER BY tm) AS fuel_prev FROM means)",
+        )
+        + f"""SELECT a.eqmt, a.t0, a.t1, a.max_fuel_diff, a.min_fueling_level, a.perc_no_data, a.perc_need_cab, v.fuel_used,
+  coalesce(v.status, 'no_levels') AS status, v.accuracy
+FROM asked a LEFT JOIN ({_verdict("main", _ASKED, _ASKED, _LIMITS)}) v ON v.eqmt = a.eqmt AND v.t0 = a.t0 AND v.t1 = a.t1""",
         "fuel_usage_quality_loose_20": _quality(20, MONTH, (50, 10, 0.5, 0.3)),
         "fuel_usage_quality_loose_10": _quality(10, TEN_DAYS, (50, 10, 0.5, 0.3)),
         "fuel_used_first_last": _with(_READINGS, _SHIFTS, _REQUESTS, _intervals("plus_12h"))

@@ -283,6 +283,18 @@ def fuel_usage_quality(spark, sf_dir):
     return ops.fuel_usage_quality(t.readings(spark, sf_dir), *MONTH)
 
 
+@query
+def fuel_usage_quality_requests(spark, sf_dir):
+    strict = F.col("t0") == TEN_DAYS[0]
+    asked = t.second_requests(spark, sf_dir).withColumns(
+        {
+            "max_fuel_diff": F.when(strict, 50.0).otherwise(70.0),
+            "perc_need_cab": F.when(strict, 0.3).otherwise(0.1),
+        }
+    )
+    return ops.fuel_usage_quality_requests(t.readings(spark, sf_dir), asked)
+
+
 @query
 def fuel_usage_quality_by_shift(spark, sf_dir):
     readings = t.readings(spark, sf_dir)

@@ -221,3 +221,16 @@ def test_compared_methods_keep_every_request(spark):
     rows = [(1, "2024-01-01", 1, "2024-01-02", 2), (1, "2024-01-01", 1, "2024-01-02", None), (2, "2024-01-01", None, "2024-01-02", 1)]
     got = ops.compare_methods(readings, shifts_of(spark, days=5), requests_of(spark, rows)).collect()
     assert sorted(str((r.eqmt, r.startshift, r.endshift)) for r in got) == sorted(str((e, s, n)) for e, _, s, _, n in rows)
+
+
+def test_quality_of_requests_equals_the_single_range(spark, data):
+    from tankline.operators.quality import LOOSE_LIMITS
+
+    readings, _ = data
+    t0, t1 = ms("2024-01-01 00:10:07") // 1000, ms("2024-01-01 05:03:01") // 1000
+    asked = spark.createDataFrame([(e, t0 + k, t1) for e in MACHINES for k in (0, 1800)], "eqmt int, t0 long, t1 long")
+    got = {(r.eqmt, r.t0): (r.fuel_used, r.status, r.accuracy) for r in ops.fuel_usage_quality_requests(readings, asked, limits=LOOSE_LIMITS).collect()}
+    for k in (0, 1800):
+        want = {int(r.eqmtid): (r.fuel_used, r.status, r.accuracy) for r in ops.fuel_usage_quality(readings, t0 + k, t1, limits=LOOSE_LIMITS).collect()}
+        for e in MACHINES:
+            assert got[e, t0 + k] == pytest.approx(want.get(e, (None, "no_levels", None)))
