@@ -5,6 +5,16 @@ from __future__ import annotations
 
 from .tables import MONTH, TEN_DAYS, WINDOWS
 
+#: Queries that are also put to readings with unknown levels, copies and ties.
+EDGE_QUERIES = (
+    "fuel_usage_quality",
+    "fuel_used_first_last",
+    "fuel_level_difference",
+    "fuel_used_raw_drops",
+    "analyze_fuel",
+    "fuel_between_confirmed_refills",
+)
+
 FROM_TIME, TO_TIME = "2024-01-05 08:45:00", "2024-01-25 20:45:00"
 
 
@@ -27,6 +37,11 @@ _READINGS = """readings AS (
   SELECT epoch_us(ts) // 1000 AS time_created, CAST(user_id AS INTEGER) AS eqmt, props AS raw, value AS liters
   FROM events)"""
 
+_EDGE_READINGS = """readings AS (
+  SELECT CASE WHEN event_id % 11 < 5 THEN epoch_us(ts) // 1000 - epoch_us(ts) // 1000 % 14400000 ELSE epoch_us(ts) // 1000 END AS time_created,
+    CAST(user_id AS INTEGER) AS eqmt, props AS raw, CASE WHEN event_id % 17 <> 0 THEN value END AS liters
+  FROM (SELECT *, unnest(range(CASE WHEN event_id % 13 = 0 THEN 3 WHEN event_id % 7 = 0 THEN 2 ELSE 1 END)) FROM events))"""
+
 _SHIFTS = f"""edges AS (SELECT epoch_ms(min(time_created)) AS a, epoch_ms(max(time_created)) AS b FROM readings),
 starts AS (
   SELECT unnest(generate_series({_floor("a")} - INTERVAL 12 HOUR, {_floor("b")} + INTERVAL 12 HOUR,
@@ -257,8 +272,9 @@ def _segments(tail: str) -> str:
 
 def _level_at(edge: str) -> str:
     return (
-        f"(SELECT arg_max(h.liters, (h.time_created, h.liters)) FROM readings h"
-        f" WHERE h.eqmt = i.eqmt AND h.time_created <= i.{edge})"
+        # A level in a struct: arg_max passes over a bare NULL, but the newest reading counts as it is.
+        f"(SELECT arg_max(struct_pack(x := h.liters), (h.time_created, h.liters IS NOT NULL, coalesce(h.liters, 0))).x"
+        f" FROM readings h WHERE h.eqmt = i.eqmt AND h.time_created <= i.{edge})"
     )
 
 
@@ -544,7 +560,8 @@ FROM asked a LEFT JOIN ({_verdict("main", _ASKED, _ASKED, _LIMITS)}) v ON v.eqmt
         "fuel_used_first_last": _with(_READINGS, _SHIFTS, _REQUESTS, _intervals("plus_12h"))
         + f"""SELECT {_I}, {_r6("u.fuel_used")} AS fuel_used
 FROM intervals i LEFT JOIN (
-  SELECT eqmt, from_ms, to_ms, arg_min(mean, m10) - arg_max(mean, m10) AS fuel_used
+  SELECT eqmt, from_ms, to_ms,
+    arg_min(struct_pack(x := mean), m10).x - arg_max(struct_pack(x := mean), m10).x AS fuel_used
   FROM (SELECT k.eqmt, k.from_ms, k.to_ms, avg(h.liters) AS mean,
           h.time_created // 600000 AS m10
         FROM (SELECT DISTINCT eqmt, from_ms, to_ms FROM intervals) k
@@ -618,4 +635,6 @@ FROM intervals i LEFT JOIN (SELECT eqmt, from_ms, to_ms, sum(seg_consumption) AS
         out[f"interval_{rule}"] = _interval_query(rule, validate=rule == "next_or_last_reading")
     for rule in ("calendar_days", "calendar_days_full"):
         out[f"interval_{rule}"] = _interval_query(rule)
+    for name in EDGE_QUERIES:
+        out[f"edge_{name}"] = out[name].replace(_READINGS, _EDGE_READINGS)
     return out

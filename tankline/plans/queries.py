@@ -423,6 +423,51 @@ def fuel_between_confirmed_refills(spark, sf_dir):
     )(spark, sf_dir)
 
 
+def _over_edges(method, rule: str, validate: bool = False, tz: str | None = None):
+    """The same over readings with unknown levels, copies and ties."""
+
+    def run(spark, sf_dir):
+        readings = t.edge_readings(spark, sf_dir)
+        intervals = rules.resolve_interval(
+            t.requests(spark, sf_dir), calendar_of(readings), rule, readings=readings, validate=validate, tz=tz
+        )
+        return method(readings, intervals, prune=False)
+
+    return run
+
+
+@query
+def edge_fuel_usage_quality(spark, sf_dir):
+    return ops.fuel_usage_quality(t.edge_readings(spark, sf_dir), *MONTH)
+
+
+@query
+def edge_fuel_used_first_last(spark, sf_dir):
+    return _over_edges(ops.fuel_used_first_last, rules.PLUS_12H)(spark, sf_dir)
+
+
+@query
+def edge_fuel_level_difference(spark, sf_dir):
+    return _over_edges(ops.fuel_level_difference, rules.NEXT_BY_NUMBER, tz="UTC")(spark, sf_dir)
+
+
+@query
+def edge_fuel_used_raw_drops(spark, sf_dir):
+    return _over_edges(ops.fuel_used_raw_drops, rules.NEXT_ONLY)(spark, sf_dir)
+
+
+@query
+def edge_analyze_fuel(spark, sf_dir):
+    return _over_edges(ops.analyze_fuel, rules.NEXT_OR_12H)(spark, sf_dir)
+
+
+@query
+def edge_fuel_between_confirmed_refills(spark, sf_dir):
+    return _over_edges(
+        ops.fuel_between_confirmed_refills, rules.NEXT_OR_LAST_READING, validate=True
+    )(spark, sf_dir)
+
+
 @query
 def engine_hours(spark, sf_dir):
     return ops.engine_hours(

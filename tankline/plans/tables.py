@@ -57,6 +57,20 @@ def readings(spark: SparkSession, sf_dir: str, within: tuple[int, int] | None =
     )
 
 
+def edge_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readings with unknown levels, copies and tied times among them."""
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    number = F.col("event_id")
+    copies = F.when(number % 13 == 0, 3).when(number % 7 == 0, 2).otherwise(1)
+    return events(spark, sf_dir).select(
+        F.when(number % 11 < 5, at - F.pmod(at, F.lit(14_400_000))).otherwise(at).alias("time_created"),
+        F.col("user_id").cast("int").alias("eqmt"),
+        F.col("props").alias("raw"),
+        F.when(number % 17 != 0, F.col("value")).alias("liters"),
+        F.explode(F.sequence(F.lit(1), copies)).alias("copy"),
+    ).drop("copy")
+
+
 def shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calendar_of(readings(spark, sf_dir))
 
