@@ -38,7 +38,7 @@ GROUP = 8192
 #: How many of a group's emptiest sequences the search tries to empty before it gives up.
 TRIES = 16
 #: Entries of a worker's table of encoded words; when it is full, it starts anew.
-KNOWN = 400_000
+KNOWN = 1_200_000
 ROWS = 512
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
