@@ -9,8 +9,8 @@ sum of the coordinates' minima, which bounds their overlap from above, for point
    n - ceil(t n) + 1 in that order. Classes that share such a shingle form a bucket, which is streamed,
    cut into tiles of ``TILE`` classes (each with the bucket's first one) and kept once if several
    shingles give the same classes. Shingles frequent in a sample come last in the order.
-3. An R-tree over each tile finds, for every class, the most promising earlier class whose bound
-   admits a link. These pairs are verified on whole sets; the links give components.
+3. An R-tree over each tile finds, for every class, the class with the smallest id whose bound admits
+   a link. These pairs are verified on whole sets; the links give components.
 4. Buckets that still hold several components are searched once more, all tiles against each other,
    and now every admissible pair between two components is verified.
 
@@ -41,10 +41,12 @@ from tankline.llm.components import components
 WIDTH = 5
 #: The similarity asked for, as a fraction.
 OVER, UNDER = 75, 100
-GROUPS = 128
+GROUPS = 1024
 TILE = 256
 LEAF = 16
 ROWS = 512
+#: Size of the bitmap that picks the texts to read again: 2^18 rows of 64 bits.
+BITS = 1 << 24
 #: Documents whose shingles are counted to put frequent ones last, and the share of them from which one is frequent.
 SAMPLE, FREQUENT = 20_000, 0.001
 
@@ -58,27 +60,37 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _folded(codes: np.ndarray, n: int, width: int) -> np.ndarray:
+    """Hashes of the ``width`` codes from each of ``n`` places on."""
+    h = np.full(n, width, dtype=np.uint64)
+    for k in range(width):
+        h = _mixed(h * MULTIPLIER + codes[k : k + n])
+    return h
+
+
 def shingle_sets(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    hashes: dict[bytes, int] = {}
-    found = []
-    for text in texts:
-        words = (text or "").encode().lower().split()
-        for w in words:
-            if w not in hashes:
-                hashes[w] = xxhash.xxh3_64_intdigest(w)
-        codes = np.array([hashes[w] for w in words], dtype=np.uint64)
-        if not len(words):
-            found.append(codes)
-            continue
-        n = max(1, len(words) - width + 1)
-        h = np.full(n, min(len(words), width), dtype=np.uint64)
-        for k in range(min(len(words), width)):
-            h = _mixed(h * MULTIPLIER + codes[k : k + n])
-        found.append(np.unique(h))
+    split = [(t or "").encode().lower().split() for t in texts]
+    hashes = {w: xxhash.xxh3_64_intdigest(w) for w in set().union(*split)}
+    codes = np.array([hashes[w] for words in split for w in words], dtype=np.uint64)
+    windows = _folded(codes, max(0, len(codes) - width + 1), width)  # also those across two texts, left out below
+    found, start = [], 0
+    for words in split:
+        n = len(words)
+        if n < width:
+            own = _folded(codes[start : start + n], min(n, 1), n)
+        else:
+            own = windows[start : start + n - width + 1]
+        found.append(np.unique(own))
+        start += n
     return found
 
 
+def node_of(shingles: np.ndarray) -> int:
+    """A hash of the whole set; with its size it names the set's class."""
+    return int.from_bytes(xxhash.xxh3_64_digest(shingles.tobytes()), "little", signed=True)
+
+
 def point(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     return np.bincount((shingles % np.uint64(groups)).astype(np.int64), minlength=groups)
 
@@ -97,7 +109,8 @@ def prefix(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     if not n:
         return shingles
     size = n - -(-OVER * n // UNDER) + 1
-    late = np.isin(shingles, frequent)
+    at = np.minimum(np.searchsorted(frequent, shingles), max(0, len(frequent) - 1))
+    late = frequent[at] == shingles if len(frequent) else np.zeros(n, dtype=bool)
     return np.concatenate([shingles[~late], shingles[late]])[:size]
 
 
@@ -138,10 +151,10 @@ def admissible(points: np.ndarray, sizes: np.ndarray, leaf: int = LEAF) -> Itera
     todo = [(root, root)]
     while todo:
         a, b = todo.pop()
-        if np.minimum(a.top, b.top).sum() < need(a.least, b.least):
+        if np.minimum(a.top, b.top).sum(dtype=np.int64) < need(a.least, b.least):
             continue
         if a.items is not None and b.items is not None:
-            bound = np.minimum(points[a.items][:, None, :], points[b.items][None, :, :]).sum(axis=2)
+            bound = np.minimum(points[a.items][:, None, :], points[b.items][None, :, :]).sum(axis=2, dtype=np.int64)
             fits = bound >= need(sizes[a.items][:, None], sizes[b.items][None, :])
             if a is b:
                 fits = np.triu(fits, 1)
@@ -157,16 +170,15 @@ def admissible(points: np.ndarray, sizes: np.ndarray, leaf: int = LEAF) -> Itera
             todo += [(a, x) for x in b.below]
 
 
-def _nearest(points: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int]]:
-    """For each item the earlier one with the greatest share of overlap that its bound admits."""
-    best: dict[int, tuple[float, int]] = {}
-    for i, j, bound in admissible(points, sizes):
-        i, j = np.minimum(i, j), np.maximum(i, j)
-        share = bound / (sizes[i] + sizes[j])
-        for a, b, s in zip(i.tolist(), j.tolist(), share.tolist(), strict=True):
-            if b not in best or (-s, a) < best[b]:
-                best[b] = (-s, a)
-    return ((a, b) for b, (_, a) in best.items())
+def _first(points: np.ndarray, sizes: np.ndarray, rep: np.ndarray) -> Iterator[tuple[int, int]]:
+    """For each item the one with the smallest id that its bound admits, if that is smaller than its own."""
+    best = np.full(len(rep), -1)
+    for i, j, _ in admissible(points, sizes):
+        low, high = np.where(rep[i] < rep[j], i, j), np.where(rep[i] < rep[j], j, i)
+        for a, b in zip(low.tolist(), high.tolist(), strict=True):
+            if best[b] < 0 or rep[a] < rep[best[b]]:
+                best[b] = a
+    return ((int(a), b) for b, a in enumerate(best) if a >= 0)
 
 
 def _between(points: np.ndarray, sizes: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -210,7 +222,7 @@ def _sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 part = batch.slice(at, ROWS)
                 rows = []
                 for s in shingle_sets(part.column(1).to_pylist()):
-                    node = int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "little", signed=True)
+                    node = node_of(s)
                     keys = [] if node in seen else prefix(s, shared.value).view(np.int64)
                     seen.add(node)
                     rows.append((len(s), node, _packed(point(s)), keys))
@@ -288,10 +300,10 @@ def _searched(tiles: DataFrame, keys: list[str], everything: bool) -> DataFrame:
     """Pairs ``a`` < ``b`` of classes that a tree over each tile finds; ``tiles`` has ``rep``, ``n``, ``point``, ``part``."""
 
     def search(rows: dict) -> tuple[list[int], list[int]]:
-        points = np.stack([_unpacked(p) for p in rows["point"]]).astype(np.int32)
+        points = np.stack([_unpacked(p) for p in rows["point"]])
         sizes = np.array(rows["n"], dtype=np.int64)
-        found = _between(points, sizes, np.array(rows["part"])) if everything else _nearest(points, sizes)
         rep = rows["rep"]
+        found = _between(points, sizes, np.array(rows["part"])) if everything else _first(points, sizes, np.array(rep))
         pairs = {(min(rep[i], rep[j]), max(rep[i], rep[j])) for i, j in found}
         return [a for a, _ in pairs], [b for _, b in pairs]
 
@@ -329,32 +341,39 @@ def _searched(tiles: DataFrame, keys: list[str], everything: bool) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def _needed(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Documents whose id may be in ``reps``; drops most others before anything is shuffled.
+
+    Each id sets one of ``BITS`` bits. The words of that bitmap, 64 bits each, are the rows of the
+    broadcast table, so it has ``BITS`` / 64 rows at most, however many ids there are.
+    """
+    bit = lambda name: F.pmod(F.xxhash64(F.col(name)), F.lit(BITS))
+    words = reps.groupBy(F.floor(bit("rep") / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit("rep") % 64).cast("int"))).alias("mask"))
+    near = docs.withColumn("word", F.floor(bit("doc_id") / 64)).join(F.broadcast(words), "word")
+    return near.filter(F.call_function("shiftright", F.col("mask"), (bit("doc_id") % 64).cast("int")).bitwiseAND(F.lit(1)) == 1).drop("word", "mask")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs whose whole sets link. Only texts of classes in some pair are read again."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(nodes, "doc_id")
+    reps = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(classes.select("rep", "node"), "rep")
+    own = _needed(docs.select("doc_id", "text"), reps).join(reps, F.col("doc_id") == F.col("rep")).select("rep", "node", "text")
 
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                data = [s.tobytes() for s in shingle_sets(part.column(1).to_pylist())]
-                marks = [int.from_bytes(xxhash.xxh3_64_digest(d), "little", signed=True) for d in data]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(marks, pa.int64()), pa.array(data, pa.binary())], ["rep", "node", "data"])
-
-    own = texts.mapInArrow(sets, "rep long, node long, data binary").join(classes.select("rep", "node"), ["rep", "node"]).dropDuplicates(["rep"]).select("rep", "data")
-
-    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fits = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                fits.append(linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
-            yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
-
-    left = pairs.join(own.select(F.col("rep").alias("a"), F.col("data").alias("x")), "a")
-    both = left.join(own.select(F.col("rep").alias("b"), F.col("data").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+                a, b, x_node, y_node, x_text, y_text = (c.to_pylist() for c in part.columns)
+                texts = list(dict.fromkeys([*x_text, *y_text]))
+                sets = dict(zip(texts, shingle_sets(texts), strict=True))
+                fits = []
+                for m, n, x, y in zip(x_node, y_node, (sets[t] for t in x_text), (sets[t] for t in y_text), strict=True):
+                    same = node_of(x) == m and node_of(y) == n  # an id may be repeated with another text
+                    fits.append(same and linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
+                yield part.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
+
+    left = pairs.join(own.select(F.col("rep").alias("a"), F.col("node").alias("m"), F.col("text").alias("x")), "a")
+    both = left.join(own.select(F.col("rep").alias("b"), F.col("node").alias("n"), F.col("text").alias("y")), "b")
+    return both.select("a", "b", "m", "n", "x", "y").mapInArrow(check, "a long, b long").distinct()
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
