@@ -47,18 +47,22 @@ def spans_of(intervals: DataFrame) -> DataFrame:
     return intervals.filter(usable & F.col("eqmt").isNotNull()).select(*SPAN).distinct()
 
 
-def _bound(spans: DataFrame, name: str, largest: bool) -> Column:
-    """Least or largest value of a span column, as a scalar subquery."""
+def _bound(spans: DataFrame, name: str, largest: bool, as_time: bool = False) -> Column:
+    """Least or largest value of a span column, as a scalar subquery; milliseconds as a time if asked for."""
     # Sort-and-take instead of min and max: Spark merges several aggregates into
     # one struct, whose fields it does not hand to the Parquet reader.
     order = F.desc(name) if largest else F.asc(name)
-    return spans.select(name).orderBy(order).limit(1).scalar()
+    value = F.timestamp_millis(name).alias(name) if as_time else F.col(name)
+    return spans.select(value).orderBy(order).limit(1).scalar()
 
 
 def needed_levels(levels: DataFrame, spans: DataFrame) -> DataFrame:
-    """Levels within the time of all spans: each carries its previous level."""
-    at = F.unix_millis("timecreated")
-    first, last = _bound(spans, "from_ms", False), _bound(spans, "to_ms", True)
+    """Levels within the time of all spans: each carries its previous level.
+
+    The stored time itself is compared, so that the bounds reach Parquet.
+    """
+    at = F.col("timecreated")
+    first, last = _bound(spans, "from_ms", False, True), _bound(spans, "to_ms", True, True)
     return levels.filter((at >= first) & (at <= last))
 
 
