@@ -38,7 +38,7 @@ from tankline.llm.common import held_out, shared_folder, stored
 #: Counts above this are not discounted.
 TRUSTED = 5
 #: Tokens of a block, about; a longer document is a block of its own.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 #: Pairs after a word are spread over all ranges if its share of the tokens is above this part of a range's.
 SPREAD = 0.5
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\n end", b"\n start"))
@@ -163,7 +163,7 @@ class Pairs:
     def of(cls, block: Block, ids: np.ndarray, counts: np.ndarray, start: int, ranges: int, total: int) -> Pairs:
         keys, token = np.unique(block.histories(start) * len(ids) + block.codes, return_inverse=True)
         history, word = np.divmod(keys, len(ids))
-        home = ids[history] >> 32
+        home = ids[history] % ranges
         spread = counts[history] * ranges > SPREAD * total
         place = np.where(spread, (ids[word] * 0x9E3779B1 >> 7) % ranges, home)
         order = np.argsort(place, kind="stable")
@@ -236,8 +236,8 @@ def _ask_words(blocks: DataFrame, ranges: int) -> DataFrame:
     return blocks.select("block", "held", "lengths", "codes", "words").mapInArrow(run, FIELDS)
 
 
-def _answer_words(table: pa.Table) -> Iterator[tuple]:
-    """Ids and counts of the words of a range; an id is the range and the word's place in it."""
+def _answer_words(table: pa.Table, ranges: int) -> Iterator[tuple]:
+    """Ids and counts of the words of a range; an id holds the range and the word's place in it."""
     place, rows = table["range"][0].as_py(), list(range(table.num_rows))
     keys, counts = _columns(table, "a", rows), _columns(table, "c", rows)
     words, at = np.unique(np.concatenate(keys).view(np.uint64), return_inverse=True)
@@ -246,7 +246,7 @@ def _answer_words(table: pa.Table) -> Iterator[tuple]:
     for i, k in zip(rows, keys, strict=True):
         own = at[begin : begin + len(k)]
         begin += len(k)
-        yield _row(ANSWER, place, table["block"][i].as_py(), a=(place << 32) + own, c=total[own])
+        yield _row(ANSWER, place, table["block"][i].as_py(), a=own * ranges + place, c=total[own])
     real = (total > 0) & (words != START)
     yield _row(TABLE, place, -1, a=words[real].view(np.int64), b=total[real])
     few = np.bincount(np.minimum(total[real], TRUSTED + 2), minlength=TRUSTED + 3)
@@ -254,26 +254,29 @@ def _answer_words(table: pa.Table) -> Iterator[tuple]:
 
 
 def _ask_pairs(blocks: DataFrame, ranges: int, total: int) -> DataFrame:
+    def ask(batch: pa.RecordBatch, i: int) -> pa.RecordBatch:
+        block = Block.of(batch, i)
+        ids, counts = _joined(batch, "known", "a", i), _joined(batch, "known", "c", i)
+        start = int(np.searchsorted(_array(batch, "words", i).view(np.uint64), START))
+        pairs = Pairs.of(block, ids, counts, start, ranges, total)
+        n = np.bincount(pairs.token[block.learned], minlength=len(pairs.word))
+        rows = []
+        for p, x, y in _slices(pairs.range):
+            history, word = pairs.history[x:y], pairs.word[x:y]
+            first = np.append([0], np.flatnonzero(np.diff(history)) + 1)
+            size = np.diff(np.append(first, len(history))).astype(np.int32)
+            rows.append(_row(ASK, p, batch.column("block")[i].as_py(), a=ids[history[first]], b=ids[word], c=np.concatenate([counts[word], n[x:y]]), d=size))
+        return _batch(rows)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                block = Block.of(batch, i)
-                ids, counts = _joined(batch, "known", "a", i), _joined(batch, "known", "c", i)
-                start = int(np.searchsorted(_array(batch, "words", i).view(np.uint64), START))
-                pairs = Pairs.of(block, ids, counts, start, ranges, total)
-                n = np.bincount(pairs.token[block.learned], minlength=len(pairs.word))
-                rows = []
-                for p, x, y in _slices(pairs.range):
-                    runs = [(ids[h], b - a) for h, a, b in _slices(pairs.history[x:y])]
-                    h, size = zip(*runs, strict=True)
-                    word = pairs.word[x:y]
-                    rows.append(_row(ASK, p, batch.column("block")[i].as_py(), a=h, b=ids[word], c=np.column_stack([counts[word], n[x:y]]).T.ravel(), d=size))
-                yield _batch(rows)
+                yield ask(batch, i)
 
     return blocks.mapInArrow(run, FIELDS)
 
 
-def _answer_pairs(unigrams: Unigrams):
+def _answer_pairs(unigrams: Unigrams, ranges: int):
     def answer(table: pa.Table) -> Iterator[tuple]:
         place, rows = table["range"][0].as_py(), list(range(table.num_rows))
         sizes = _columns(table, "d", rows)
@@ -304,7 +307,7 @@ def _answer_pairs(unigrams: Unigrams):
         parts = [np.add.reduceat((c == r).astype(np.int64), starts) for r in range(1, TRUSTED + 1)]
         parts.append(np.add.reduceat(np.where(c > TRUSTED, c, 0), starts))
         table_of, sums = np.stack(parts), np.add.reduceat(share, starts)
-        home = h[starts] >> 32
+        home = h[starts] % ranges
         by_home = np.argsort(home, kind="stable")
         for p, x, y in _slices(home[by_home]):
             own = by_home[x:y]
@@ -346,32 +349,36 @@ OUTPUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def _score(blocks: DataFrame, ranges: int, train_tokens: int, unigrams: Unigrams, factors: np.ndarray) -> DataFrame:
+    names = [f.split()[0] for f in OUTPUT.split(", ")]
+
+    def score(batch: pa.RecordBatch, i: int) -> pa.RecordBatch:
+        block = Block.of(batch, i)
+        ids, counts = _joined(batch, "known", "a", i), _joined(batch, "known", "c", i).astype(np.int64)
+        start = int(np.searchsorted(_array(batch, "words", i).view(np.uint64), START))
+        pairs = Pairs.of(block, ids, counts, start, ranges, train_tokens)
+        n, weights = _joined(batch, "pairs", "c", i).astype(np.int64), _joined(batch, "weights", "s", i)
+        plain = unigrams.probability(counts)
+        of_history = counts[pairs.history] + (weights[pairs.history] < 0)
+        bigram = factors[np.minimum(n, TRUSTED + 1)] * n / np.maximum(of_history, 1)
+        backed = np.abs(weights[pairs.history]) * plain[pairs.word]
+        logs = np.log10(np.where(n > 0, bigram, backed))
+        base = np.log10((counts + 1) / (train_tokens + unigrams.words + 1))
+        at = block.starts
+        columns = [
+            batch.column("doc_ids")[i].values,
+            pa.array(block.held),
+            pa.array(block.lengths),
+            pa.array(np.add.reduceat((counts > 0).astype(np.int64)[block.codes], at)),
+            pa.array(np.full(len(at), train_tokens, dtype=np.int64)),
+            pa.array(np.add.reduceat(base[block.codes], at)),
+            pa.array(np.add.reduceat(logs[pairs.token], at)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                block = Block.of(batch, i)
-                ids, counts = _joined(batch, "known", "a", i), _joined(batch, "known", "c", i).astype(np.int64)
-                start = int(np.searchsorted(_array(batch, "words", i).view(np.uint64), START))
-                pairs = Pairs.of(block, ids, counts, start, ranges, train_tokens)
-                n, weights = _joined(batch, "pairs", "c", i).astype(np.int64), _joined(batch, "weights", "s", i)
-                plain = unigrams.probability(counts)
-                of_history = counts[pairs.history] + (weights[pairs.history] < 0)
-                bigram = factors[np.minimum(n, TRUSTED + 1)] * n / np.maximum(of_history, 1)
-                backed = np.abs(weights[pairs.history]) * plain[pairs.word]
-                logs = np.log10(np.where(n > 0, bigram, backed))
-                own = counts[block.codes]
-                base = np.log10((own + 1) / (train_tokens + unigrams.words + 1))
-                at = block.starts
-                columns = [
-                    batch.column("doc_ids")[i].values,
-                    pa.array(block.held),
-                    pa.array(block.lengths),
-                    pa.array(np.add.reduceat((own > 0).astype(np.int64), at)),
-                    pa.array(np.full(len(at), train_tokens, dtype=np.int64)),
-                    pa.array(np.add.reduceat(base, at)),
-                    pa.array(np.add.reduceat(logs[pairs.token], at)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in OUTPUT.split(", ")])
+                yield score(batch, i)
 
     return blocks.mapInArrow(run, OUTPUT)
 
@@ -393,19 +400,19 @@ def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, block
     ranges, folder = int(spark.conf.get("spark.sql.shuffle.partitions")), shared_folder(spark)
     name = f"blocks_{uuid.uuid4().hex}"
     encoded = _encode(docs, ~held_out(F.col("doc_id"), modulus, remainder), block)
-    encoded.write.option("compression", "zstd").bucketBy(ranges, "block").saveAsTable(name)
+    encoded.write.option("compression", "zstd").bucketBy(2 * ranges, "block").saveAsTable(name)
     blocks = spark.table(name)
 
-    answers = stored(_at_ranges(_ask_words(blocks, ranges), _answer_words), folder, "unigrams", "kind")
+    answers = stored(_at_ranges(_ask_words(blocks, ranges), lambda t: _answer_words(t, ranges)), folder, "unigrams", "kind")
     few, words, total = _counts(answers)
     unigrams = unigrams_of(few, total, words)
     told = answers.filter(F.col("kind") == ANSWER)
     known = _for_blocks(told, "known", "a", "c")
     asked = _ask_pairs(blocks.join(known, "block"), ranges, total)
 
-    found = stored(_at_ranges(asked, _answer_pairs(unigrams)), folder, "pairs", "kind")
+    found = stored(_at_ranges(asked, _answer_pairs(unigrams, ranges)), folder, "pairs", "kind")
     factors = discounts(_counts(found)[0])
-    histories = found.filter(F.col("kind") == HISTORY).unionByName(told)
+    histories = found.filter(F.col("kind") == HISTORY).unionByName(told.withColumn("c", F.lit(None).cast("array<bigint>")))
     weights = stored(_at_ranges(histories, _answer_weights(factors)), folder, "weights", "kind")
 
     ready = blocks.join(known, "block")
