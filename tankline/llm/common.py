@@ -57,7 +57,7 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, folder: str, name: str, *partition_by: str) -> DataFrame:
     """Writes a table below the shared folder and reads it back, which also cuts the lineage."""
     path = f"{folder}/{name}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
