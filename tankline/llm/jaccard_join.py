@@ -231,28 +231,47 @@ def _sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, point binary, keys array<bigint>")
 
 
+def _may_link(a: tuple[int, int, int], b: tuple[int, int, int]) -> bool:
+    """Whether two classes (node, n, place of the key in its order) may link if this key is the first that they share.
+
+    Neither has anything in common with the other before it. Two sets that link do have a first
+    shared key, so a pair need not be looked at in other buckets.
+    """
+    rest = min(a[1] - a[2], b[1] - b[2])
+    return (OVER + UNDER) * rest >= OVER * (a[1] + b[1])
+
+
+def _partnered(held: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The classes of a bucket, ordered by size, that may link with another one of it."""
+    if len(held) <= 8:
+        return [a for i, a in enumerate(held) if any(_may_link(a, b) for k, b in enumerate(held) if k != i)]
+    close = [UNDER * a[1] >= OVER * b[1] for a, b in zip(held, held[1:], strict=False)]
+    return [x for k, x in enumerate(held) if (k and close[k - 1]) or (k < len(close) and close[k])]
+
+
 def _buckets(keys: DataFrame) -> DataFrame:
-    """``key``, ``tile``, ``node``, ``n``: the classes that share a key, where there are two or more."""
+    """``key``, ``tile``, ``node``, ``n``: the classes that share a key, where two or more may link."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         out: list[tuple[int, int, int, int]] = []
-        held: list[tuple[int, int]] = []  # (node, n) of the open tile
+        held: list[tuple[int, int, int]] = []  # (node, n, place of the key) of the open tile
         key, tile = None, 0
 
         def close(whole: bool = True) -> None:
-            if len(held) < 2:
+            members = _partnered(held) if whole and not tile else held
+            if len(members) < 2:
                 return
             if whole and not tile:
-                mark = xxhash.xxh3_128_digest(np.array([x for x, _ in held], dtype=np.int64).tobytes())
+                mark = xxhash.xxh3_128_digest(np.array([x for x, *_ in members], dtype=np.int64).tobytes())
                 if mark in seen:
                     return
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(mark)
-            out.extend((key, tile, *x) for x in held)
+            out.extend((key, tile, node, n) for node, n, _ in members)
 
-        last = np.empty((0, 3), dtype=np.int64)  # the row before, whose key may go on
+        last = np.empty((0, 4), dtype=np.int64)  # the row before, whose key may go on
         for batch in batches:
             rows = np.concatenate([last, np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])])
             last = rows[-1:]
@@ -261,33 +280,33 @@ def _buckets(keys: DataFrame) -> DataFrame:
             before = np.append([False], rows[1:, 0] == rows[:-1, 0]) if len(rows) else np.empty(0, dtype=bool)
             if len(rows) and key is not None:
                 before[0] = rows[0, 0] == key
-            for k, n, node in rows[follows | before].tolist():
-                key, tile, held = _add(k, n, node, key, tile, held, close)
+            for k, n, node, at in rows[follows | before].tolist():
+                key, tile, held = _add(k, (node, n, at), key, tile, held, close)
             if out:
                 yield _bucket_rows(out)
                 out.clear()
-        for k, n, node in last.tolist():
+        for k, n, node, at in last.tolist():
             if k == key:
-                key, tile, held = _add(k, n, node, key, tile, held, close)
+                key, tile, held = _add(k, (node, n, at), key, tile, held, close)
         close()
         if out:
             yield _bucket_rows(out)
 
     order = keys.repartition(F.col("key")).sortWithinPartitions("key", "n", "node")
-    return order.select("key", "n", "node").mapInArrow(run, "key long, tile int, node long, n long")
+    return order.select("key", "n", "node", "place").mapInArrow(run, "key long, tile int, node long, n long")
 
 
-def _add(k, n, node, key, tile, held, close):
+def _add(k, row, key, tile, held, close):
     """The open tile after one more row."""
     if k != key:
         close()
-        return k, 0, [(node, n)]
-    if held[-1][0] == node or held[0][0] == node:
+        return k, 0, [row]
+    if held[-1][0] == row[0] or held[0][0] == row[0]:
         return key, tile, held
     if len(held) > TILE:
         close(whole=False)
-        return key, tile + 1, [held[0], (node, n)]
-    held.append((node, n))
+        return key, tile + 1, [held[0], row]
+    held.append(row)
     return key, tile, held
 
 
@@ -382,7 +401,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     sets = stored(_sets(docs, _frequent(docs)), folder, "sets")
     classes = sets.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("node", "n")
     classes = stored(classes.agg(F.min("doc_id").alias("rep"), F.first("point").alias("point")), folder, "classes")
-    keys = sets.filter(F.col("doc_id").isNotNull()).select(F.explode("keys").alias("key"), "n", "node")
+    keys = sets.filter(F.col("doc_id").isNotNull()).select(F.posexplode("keys").alias("place", "key"), "n", "node")
     buckets = stored(_buckets(keys), folder, "buckets")
 
     tiles = buckets.join(classes, ["node", "n"]).withColumn("part", F.col("rep"))
