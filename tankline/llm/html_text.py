@@ -2,7 +2,9 @@
 
 A small tree builder reads the markup: it closes what the language closes by itself (paragraphs before
 blocks, list items, table parts), ignores end tags without a start, and keeps script, style and
-title as raw text. Elements that are not shown are left out: the head, scripts, templates, ``hidden``,
+title as raw text. The tags of html, head and body open nothing: both ends of a head may be left out, all that may
+stand in it is unseen by itself, and anything else belongs to the body. Elements that are not shown are left out:
+titles, scripts, templates, ``hidden``,
 ``display: none`` and ``visibility: hidden``, closed details and dialogs. The rest is rendered into lines:
 blocks stand on their own lines with blank lines where browsers put margins, list items get bullets
 or numbers and indented continuations, table cells are padded to columns, and preformatted text
@@ -32,7 +34,7 @@ SPAN = 1000
 # Names of elements, as the language defines them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template title meta link base noembed noframes iframe datalist param source track area".split())
+UNSEEN = frozenset("script style template title meta link base noembed noframes iframe datalist param source track area".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol optgroup option p pre search section summary table ul "
@@ -121,11 +123,10 @@ class Builder:
             self._close_to(depth)
 
     def start(self, name: str, attributes: dict[str, str], closed: bool) -> None:
-        if name in ("html", "body"):
+        if name in ("html", "head", "body"):
             return
         if name in CLOSES_PARAGRAPH:
             self._imply(("p",), ("table", "td", "th", "caption", "button"))
-            self._imply(("head",), ())
         if name in IMPLIED:
             self._imply(*IMPLIED[name])
         element = Element(name, attributes)

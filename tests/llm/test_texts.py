@@ -244,6 +244,15 @@ def test_page_layout():
     ]
 
 
+def test_a_head_ends_where_the_body_begins():
+    page = "<head><title>T</title><style>no</style><body>Intro <a>link</a><br>more text<p>block"
+    assert visible_text(page).split("\n") == ["Intro link", "more text", "", "block"]
+    assert visible_text("<html><head><meta x><title>T</title><script>no</script><body>only <b>inline</b> text") == "only inline text"
+    assert visible_text("<head><title>T</title>bare text <i>and</i> more") == "bare text and more"
+    assert visible_text("<title>T</title><a>no head</a><head><body>at all") == "no headat all"
+    assert visible_text("<head><template><div>no</div>no</template><title>T</title></head><body>x") == "x"
+
+
 def test_table_spans():
     page = "<table><tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e<tr><td colspan=2>wide one<td>f</table>"
     assert visible_text(page).split("\n") == ["a  b  c", "   d  e", "wide one  f"]
