@@ -1,8 +1,8 @@
 """All visible text of web pages, laid out as a reader sees it.
 
 A small tree builder reads the markup: it closes what the language closes by itself (paragraphs before
-blocks, list items, table parts), ignores end tags without a start, and keeps script, style and
-title as raw text. The tags of html, head and body open nothing: both ends of a head may be left out, all that may
+blocks, list items, table parts), opens rows for cells without one, moves what may not stand in a table
+before it, ignores end tags without a start, and keeps script, style and title as raw text. The tags of html, head and body open nothing: both ends of a head may be left out, all that may
 stand in it is unseen by itself, and anything else belongs to the body. Elements that are not shown are left out:
 titles, scripts, templates, ``hidden``,
 ``display: none`` and ``visibility: hidden``, closed details and dialogs. The rest is rendered into lines:
@@ -50,13 +50,18 @@ IMPLIED = {
     "dd": (("dt", "dd"), ("dl",)),
     "option": (("option",), ("select", "datalist")),
     "optgroup": (("option", "optgroup"), ("select",)),
-    "tr": (("tr", "td", "th", "caption", "colgroup"), ("table",)),
-    "td": (("td", "th"), ("tr", "table")),
-    "th": (("td", "th"), ("tr", "table")),
-    "thead": (("thead", "tbody", "tfoot", "caption", "colgroup"), ("table",)),
-    "tbody": (("thead", "tbody", "tfoot", "caption", "colgroup"), ("table",)),
-    "tfoot": (("thead", "tbody", "tfoot", "caption", "colgroup"), ("table",)),
+    "tr": (("tr", "td", "th", "caption", "colgroup"), ("table", "template")),
+    "td": (("td", "th"), ("tr", "table", "template")),
+    "th": (("td", "th"), ("tr", "table", "template")),
+    "thead": (("thead", "tbody", "tfoot", "caption", "colgroup"), ("table", "template")),
+    "tbody": (("thead", "tbody", "tfoot", "caption", "colgroup"), ("table", "template")),
+    "tfoot": (("thead", "tbody", "tfoot", "caption", "colgroup"), ("table", "template")),
 }
+SECTIONS = ("thead", "tbody", "tfoot")
+#: Within a table, what each of its parts may stand in, from the outermost on.
+WITHIN = {"td": (SECTIONS, ("tr",)), "th": (SECTIONS, ("tr",)), "tr": (SECTIONS,), "col": (("colgroup",),), **dict.fromkeys(("caption", "colgroup", *SECTIONS), ())}
+#: What holds only parts of a table; anything else that stands in it is shown before the table.
+FRAME = frozenset(("table", "tr", "colgroup", *SECTIONS))
 #: An end tag does not reach beyond these.
 SCOPES = frozenset("table td th caption template html".split())
 
@@ -105,9 +110,38 @@ class Builder:
         self.open = [self.root]
 
     def text(self, text: str) -> None:
-        if text:
+        if text and self.open[-1].name in FRAME and not GAPS.fullmatch(text):
+            self._stray(text)
+        elif text:
             self.open[-1].children.append(text)
 
+    def _last(self, *names: str) -> int:
+        """The place of the innermost open element of ``names``, else 0."""
+        return next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i].name in names), 0)
+
+    def _table(self) -> int:
+        """The place of the innermost open table, 0 if there is none or a template is nearer."""
+        table = self._last("table", "template")
+        return table if self.open[table].name == "table" else 0
+
+    def _stray(self, node: Element | str) -> None:
+        """Puts what may not stand in the open part of a table before the table."""
+        table = self._table()
+        if table:
+            self.open[table - 1].children.insert(-1, node)  # an open table is the last child
+        else:
+            self.open[-1].children.append(node)
+
+    def _part(self, name: str, table: int) -> None:
+        """Closes what cannot hold this part of a table; a cell gets the row that it lacks."""
+        depth = table + 1
+        for names in WITHIN[name]:
+            if depth < len(self.open) and self.open[depth].name in names:
+                depth += 1
+        self._close_to(depth)
+        if name in ("td", "th") and self.open[-1].name != "tr":
+            self.start("tr", {}, False)
+
     def _close_to(self, depth: int) -> None:
         del self.open[max(depth, 1) :]
 
@@ -127,10 +161,20 @@ class Builder:
             return
         if name in CLOSES_PARAGRAPH:
             self._imply(("p",), ("table", "td", "th", "caption", "button"))
-        if name in IMPLIED:
+        table = self._table() if name in WITHIN or name == "table" or self.open[-1].name in FRAME else 0
+        if table and name in WITHIN:
+            self._part(name, table)
+        elif table and name == "table" and self._last("td", "th", "caption") < table:
+            self._close_to(table)
+        elif table and name == "form" and self.open[-1].name in FRAME:
+            return  # its cells stay in their row
+        elif name in IMPLIED:
             self._imply(*IMPLIED[name])
         element = Element(name, attributes)
-        self.open[-1].children.append(element)
+        if self.open[-1].name in FRAME and name not in WITHIN:
+            self._stray(element)
+        else:
+            self.open[-1].children.append(element)
         if name not in VOID and not closed and len(self.open) < DEPTH:
             self.open.append(element)
 
@@ -141,7 +185,7 @@ class Builder:
             if self.open[i].name == name:
                 self._close_to(i)
                 return
-            if self.open[i].name in SCOPES and name not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot"):
+            if self.open[i].name in SCOPES and (self.open[i].name == "template" or name not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot")):
                 return
 
 
@@ -255,14 +299,14 @@ def _rows(table: Element) -> Iterator[Element]:
         if isinstance(child, Element) and child.shown:
             if child.name == "tr":
                 yield child
-            elif child.name in ("thead", "tbody", "tfoot"):
+            elif child.name in SECTIONS:
                 yield from _rows(child)
 
 
 def _table(table: Element, out: Lines) -> None:
-    """Captions and stray content first, then the rows; a cell over several columns or rows fills its first place."""
+    """Captions first, then the rows; a cell over several columns or rows fills its first place."""
     for child in table.children:
-        if not (isinstance(child, Element) and child.name in ("tr", "thead", "tbody", "tfoot", "colgroup", "col")):
+        if isinstance(child, Element) and child.name == "caption":
             _render(child, out)
     grid: list[dict[int, tuple[list[str], int]]] = []
     taken: dict[int, int] = {}  # rows that a cell above still covers, by column

@@ -258,6 +258,18 @@ def test_table_spans():
     assert visible_text(page).split("\n") == ["a  b  c", "   d  e", "wide one  f"]
 
 
+def test_tables_with_misplaced_parts_lose_nothing():
+    lines = lambda page: [x for x in visible_text(page).split("\n") if x]
+    assert lines("<table><tbody><td>x<td>y</tbody><td>z</table>") == ["x  y", "z"]
+    assert lines("<table><tr><form><td>x</td><td>y</td></form></tr></table>end") == ["x  y", "end"]
+    assert lines("<table><tbody><form action=a><tr><td>x<tr><td>y</form></table>") == ["x", "y"]
+    assert lines("<table><tr>text<a>link</a><div>block</div><td>x</tr>more<tbody><p>para<tr><td>y</table>") == ["textlink", "block", "more", "para", "x", "y"]
+    assert lines("<table><colgroup><col><b>bold</b><tr><div><td>x<td>y</table>") == ["bold", "x  y"]
+    assert lines("<table><tr style='display:none'><td>no</td><i>shown</i></tr><tr><td>x</table>") == ["shown", "x"]
+    assert lines("<table><tr><td>a<template><tr><td>no</td></tr>no</template>b<td>c</table>") == ["ab  c"]
+    assert lines("<table><tr><td>a<table><td>b</table>c</table>") == ["a", "b", "c"]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<b", "<table>", "<tr>", "<td>", "</table>", "<ul>", "<li>", "</ul>", "<pre>", "<!--", "-->", "<script>", "</script>", "<a x='", "x", " ", "&amp;", ">", "\n"]), max_size=40))
 def test_broken_pages_never_fail(parts):
