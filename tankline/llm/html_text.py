@@ -10,15 +10,17 @@ blocks stand on their own lines with blank lines where browsers put margins, lis
 or numbers and indented continuations, table cells are padded to columns, and preformatted text
 keeps its white space. Nothing visible is dropped, boilerplate included.
 
-Edge cases: NULL and empty pages have the text ``""``; broken markup never fails; elements nested
-deeper than ``DEPTH`` join the deepest open one; repeated rows are rendered one by one; an empty
+Edge cases: NULL and empty pages have the text ``""``; broken markup never fails; nesting has
+no limit, since nothing recurses; repeated rows are rendered one by one; an empty
 table gives an empty result; columns other than those named are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Generator, Iterable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -26,7 +28,6 @@ from pyspark.sql import DataFrame
 
 from tankline.llm.common import map_rows
 
-DEPTH = 150
 #: Blanks between the columns of a table.
 GUTTER = "  "
 SPAN = 1000
@@ -62,7 +63,8 @@ SECTIONS = ("thead", "tbody", "tfoot")
 WITHIN = {"td": (SECTIONS, ("tr",)), "th": (SECTIONS, ("tr",)), "tr": (SECTIONS,), "col": (("colgroup",),), **dict.fromkeys(("caption", "colgroup", *SECTIONS), ())}
 #: What holds only parts of a table; anything else that stands in it is shown before the table.
 FRAME = frozenset(("table", "tr", "colgroup", *SECTIONS))
-#: An end tag does not reach beyond these.
+TABLE = frozenset(("table", "tr", "td", "th", *SECTIONS))
+#: An end tag does not reach beyond these; one of ``TABLE`` only not beyond a template.
 SCOPES = frozenset("table td th caption template html".split())
 
 #: A comment, a tag (up to the first > outside quotes, or, if quotes do not match, the first one), another declaration.
@@ -108,6 +110,7 @@ class Builder:
     def __init__(self) -> None:
         self.root = Element("html")
         self.open = [self.root]
+        self.places: dict[str, list[int]] = defaultdict(list)  # of the open elements, by name, without the root
 
     def text(self, text: str) -> None:
         if text and self.open[-1].name in FRAME and not GAPS.fullmatch(text):
@@ -117,7 +120,7 @@ class Builder:
 
     def _last(self, *names: str) -> int:
         """The place of the innermost open element of ``names``, else 0."""
-        return next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i].name in names), 0)
+        return max((self.places[name][-1] for name in names if self.places.get(name)), default=0)
 
     def _table(self) -> int:
         """The place of the innermost open table, 0 if there is none or a template is nearer."""
@@ -143,18 +146,15 @@ class Builder:
             self.start("tr", {}, False)
 
     def _close_to(self, depth: int) -> None:
-        del self.open[max(depth, 1) :]
+        while len(self.open) > max(depth, 1):
+            self.places[self.open.pop().name].pop()
 
     def _imply(self, names: tuple[str, ...], stops: tuple[str, ...]) -> None:
         """Closes the outermost open element of ``names`` within the nearest of ``stops``."""
-        depth = None
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].name in stops:
-                break
-            if self.open[i].name in names:
-                depth = i
-        if depth is not None:
-            self._close_to(depth)
+        stop = self._last(*stops)
+        found = [places[k] for name in names if (places := self.places.get(name)) and (k := bisect_right(places, stop)) < len(places)]
+        if found:
+            self._close_to(min(found))
 
     def start(self, name: str, attributes: dict[str, str], closed: bool) -> None:
         if name in ("html", "head", "body"):
@@ -175,18 +175,16 @@ class Builder:
             self._stray(element)
         else:
             self.open[-1].children.append(element)
-        if name not in VOID and not closed and len(self.open) < DEPTH:
+        if name not in VOID and not closed:
+            self.places[name].append(len(self.open))
             self.open.append(element)
 
     def end(self, name: str) -> None:
         if name == "br":
             self.start("br", {}, True)
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].name == name:
-                self._close_to(i)
-                return
-            if self.open[i].name in SCOPES and (self.open[i].name == "template" or name not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot")):
-                return
+        place = self._last(name)
+        if place and place >= self._last(*(("template",) if name in TABLE else SCOPES)):
+            self._close_to(place)
 
 
 def parse(html: str) -> Element:
@@ -215,16 +213,23 @@ def parse(html: str) -> Element:
             builder.end(name)
 
 
+#: A line, or a marker and the lines behind it.
+Line = str | tuple[str, list]
+
+
 class Lines:
-    """Lines under construction: an open line of running text and the finished ones."""
+    """Lines under construction: an open line of running text and the finished ones.
+
+    Lines that stand behind a marker are kept with it, and get it and their indentation when all are done.
+    """
 
     def __init__(self) -> None:
-        self.done: list[str] = []
+        self.done: list[Line] = []
         self.words: list[str] = []
         self.gap = False
         self.margin = 0
 
-    def _put(self, line: str) -> None:
+    def _put(self, line: Line) -> None:
         if self.done:
             self.done.extend([""] * self.margin)
         self.margin = 0
@@ -263,35 +268,71 @@ class Lines:
         for line in lines:
             self._put(line)
 
-    def finished(self) -> list[str]:
+    def marked(self, marker: str, lines: list[Line]) -> None:
+        self.flush()
+        if lines:
+            self._put((marker, lines))
+
+    def finished(self) -> list[Line]:
         self.flush()
         while self.done and not self.done[-1]:
             self.done.pop()
         return self.done
 
 
-def _rendered(element: Element) -> list[str]:
-    out = Lines()
-    for child in element.children:
-        _render(child, out)
-    return out.finished()
+def _flat(lines: list[Line]) -> list[str]:
+    out: list[str] = []
+    todo: list[tuple[Iterator[Line], str, str]] = [(iter(lines), "", "")]  # what stands before the next line and before later ones
+    while todo:
+        rest, first, pad = todo.pop()
+        for line in rest:
+            if isinstance(line, str):
+                out.append((first + line).rstrip() if first else line)
+                first = pad
+            else:
+                todo.append((rest, pad, pad))
+                todo.append((iter(line[1]), first + line[0], pad + " " * len(line[0])))
+                break
+    while out and not out[-1]:
+        out.pop()
+    return out
 
 
-def _indented(marker: str, lines: list[str]) -> list[str]:
-    pad = " " * len(marker)
-    return [((marker if i == 0 else pad) + line).rstrip() for i, line in enumerate(lines or [""])]
+def _rendered(element: Element) -> list[str]:
+    """The lines of an element's content. Parts with lines of their own are rendered on a stack, not by recursion."""
+    open_parts, lines = [_flow(element.children)], None
+    while open_parts:
+        try:
+            part = open_parts[-1].send(lines)
+        except StopIteration as end:
+            open_parts.pop()
+            lines = end.value
+        else:
+            open_parts.append(_flow(part.children))
+            lines = None
+    return _flat(lines)
 
 
-def _list(element: Element, out: Lines) -> None:
+def _items(element: Element) -> Iterator[Element | str | tuple[str, Element]]:
+    """The children of a list, its items with their markers."""
     number = element.number("start", 1, 10**9)
     for child in element.children:
         if isinstance(child, Element) and child.name == "li":
             if child.shown:
                 number = child.number("value", number, 10**9)
-                out.block(_indented(f"{number}. " if element.name == "ol" else "- ", _rendered(child)))
+                yield f"{number}. " if element.name == "ol" else "- ", child
                 number += 1
         else:
-            _render(child, out)
+            yield child
+
+
+@dataclass
+class Grid:
+    table: Element
+
+
+#: Asks for the lines of elements and gets them sent.
+Part = Generator[Element, list[Line], list[Line] | None]
 
 
 def _rows(table: Element) -> Iterator[Element]:
@@ -303,11 +344,8 @@ def _rows(table: Element) -> Iterator[Element]:
                 yield from _rows(child)
 
 
-def _table(table: Element, out: Lines) -> None:
-    """Captions first, then the rows; a cell over several columns or rows fills its first place."""
-    for child in table.children:
-        if isinstance(child, Element) and child.name == "caption":
-            _render(child, out)
+def _grid(table: Element, out: Lines) -> Part:
+    """The rows of a table; a cell over several columns or rows fills its first place."""
     grid: list[dict[int, tuple[list[str], int]]] = []
     taken: dict[int, int] = {}  # rows that a cell above still covers, by column
     for row in _rows(table):
@@ -319,7 +357,7 @@ def _table(table: Element, out: Lines) -> None:
             while taken.get(column):
                 column += 1
             wide, high = max(1, cell.number("colspan", 1)), max(1, cell.number("rowspan", 1))
-            cells[column] = (_rendered(cell), wide)
+            cells[column] = (_flat((yield cell)), wide)
             if high > 1:
                 below.update((c, high - 1) for c in range(column, column + wide))
             column += wide
@@ -344,61 +382,65 @@ def _table(table: Element, out: Lines) -> None:
             out.block([line.rstrip()])
 
 
-def _render(node: Element | str, out: Lines) -> None:
-    if isinstance(node, str):
-        out.text(node)
-        return
-    if not node.shown:
-        return
-    name = node.name
-    if name == "br":
-        out.new_line()
-        return
-    if name == "input":
-        if node.attributes.get("type", "").lower() in ("submit", "button", "reset"):
-            out.text(f" {node.attributes.get('value', '')} ")
-        return
-    if name not in BLOCKS:
-        if name in ("td", "th"):
-            out.gap = True
-        for child in node.children:
-            _render(child, out)
-        return
-    margin = int(name in MARGINS)
-    out.space(margin)
-    if name in LISTS:
-        _list(node, out)
-    elif name == "table":
-        _table(node, out)
-    elif name == "pre":
-        out.block(_preformatted(node))
-    elif name == "hr":
-        out.block(["---"])
-    elif name in ("blockquote", "dd"):
-        out.block([("    " + line).rstrip() for line in _rendered(node)])
-    elif name == "li":
-        out.block(_indented("- ", _rendered(node)))
-    elif name == "details" and "open" not in node.attributes:
-        for child in node.children:
-            if isinstance(child, Element) and child.name == "summary":
-                _render(child, out)
-    else:
-        for child in node.children:
-            _render(child, out)
-    out.space(margin)
+def _flow(nodes: Iterable[Element | str]) -> Part:
+    """Renders nodes one below the other."""
+    out = Lines()
+    todo: list = [iter(nodes)]  # nodes still to come; a number is the margin after an element, a pair an item of a list, a grid the rows of a table
+    while todo:
+        node = next(todo[-1], None)
+        if node is None:
+            todo.pop()
+        elif isinstance(node, str):
+            out.text(node)
+        elif isinstance(node, int):
+            out.space(node)
+        elif isinstance(node, Grid):
+            yield from _grid(node.table, out)
+        elif isinstance(node, tuple):
+            out.marked(node[0], (yield node[1]) or [""])
+        elif not node.shown:
+            continue
+        elif node.name == "br":
+            out.new_line()
+        elif node.name == "input":
+            if node.attributes.get("type", "").lower() in ("submit", "button", "reset"):
+                out.text(f" {node.attributes.get('value', '')} ")
+        elif node.name not in BLOCKS:
+            todo.append(iter(node.children))
+        else:
+            name, margin = node.name, int(node.name in MARGINS)
+            out.space(margin)
+            todo.append(iter((margin,)))
+            if name in LISTS:
+                todo.append(_items(node))
+            elif name == "table":
+                todo += iter((Grid(node),)), iter([x for x in node.children if isinstance(x, Element) and x.name == "caption"])
+            elif name == "pre":
+                out.block(_preformatted(node))
+            elif name == "hr":
+                out.block(["---"])
+            elif name in ("blockquote", "dd"):
+                out.marked("    ", (yield node))
+            elif name == "li":
+                out.marked("- ", (yield node) or [""])
+            elif name == "details" and "open" not in node.attributes:
+                todo.append(x for x in node.children if isinstance(x, Element) and x.name == "summary")
+            else:
+                todo.append(iter(node.children))
+    return out.finished()
 
 
 def _preformatted(node: Element) -> list[str]:
-    def pieces(x: Element | str) -> Iterator[str]:
+    pieces, todo = [], [node]
+    while todo:
+        x = todo.pop()
         if isinstance(x, str):
-            yield x
+            pieces.append(x)
         elif x.name == "br":
-            yield "\n"
+            pieces.append("\n")
         elif x.shown:
-            for child in x.children:
-                yield from pieces(child)
-
-    text = "".join(pieces(node)).replace("\r\n", "\n").replace("\r", "\n")
+            todo += reversed(x.children)
+    text = "".join(pieces).replace("\r\n", "\n").replace("\r", "\n")
     return [line.rstrip() for line in text.removeprefix("\n").rstrip("\n").split("\n")] if text.strip() else []
 
 

@@ -270,6 +270,15 @@ def test_tables_with_misplaced_parts_lose_nothing():
     assert lines("<table><tr><td>a<table><td>b</table>c</table>") == ["a", "b", "c"]
 
 
+@pytest.mark.parametrize("outer", ["<div>", "<b>", "<li>", "<blockquote>", "<ul><li>", "<table><tr><td>"])
+@pytest.mark.parametrize("depth", [10, 200, 3000])
+def test_deep_elements_are_still_elements(outer, depth):
+    inside = "<script>no</script><template><p>no</template><p hidden>no</p><i>a</i><div style='display:none'><b>no</b></div>"
+    inside += "<ol><li>b<li>c</ol><table><tr><td>d<td>e<tr><td>long<td>f</table><pre>g  h</pre>"
+    lines = [x.lstrip("- ") for x in visible_text(outer * depth + inside + "</div>" * depth + "end").split("\n")]
+    assert [x for x in lines if x] == ["a", "1. b", "2. c", "d     e", "long  f", "g  h", "end"]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<b", "<table>", "<tr>", "<td>", "</table>", "<ul>", "<li>", "</ul>", "<pre>", "<!--", "-->", "<script>", "</script>", "<a x='", "x", " ", "&amp;", ">", "\n"]), max_size=40))
 def test_broken_pages_never_fail(parts):
