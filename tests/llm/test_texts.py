@@ -13,7 +13,7 @@ from tankline.llm import fingerprints as fp
 from tankline.llm import packing as pk
 from tankline.llm.html_text import extract_text, visible_text
 from tankline.llm.language_id import language_id
-from tankline.llm.toxicity import CharacterModel, restore, toxicity
+from tankline.llm.toxicity import CharacterModel, Restorer, restore, toxicity
 from tests.llm.data import SYLLABLES, edge_rows, rows_of, table, text, words
 
 # --- fingerprints
@@ -220,6 +220,28 @@ def test_lattice_search():
     assert [restore(x, model) for x in ("m0r0n", "1d10t", "tr@sh", "l.o.s.e.r", "moroooon", "$cum")] == ["moron", "idiot", "trash", "loser", "moron", "scum"]
 
 
+def test_disguises_may_be_combined():
+    grams = {}
+    for w in [*BAD, "shit", "ass", "kill"] * 20 + words(5, 300):
+        marked = f"^^{w}$"
+        for i in range(len(marked) - 2):
+            grams[marked[i : i + 3]] = grams.get(marked[i : i + 3], 0) + 1
+    restorer = Restorer(CharacterModel(grams))
+    hidden = {
+        "shit": ["s h ! t", "s.h.!.t", "$ h 1 t", "s  h   i\t t", "s h * t", "(s h ! t)", "s s h h ! t", "s h i t, then"],
+        "ass": ["@ s s", "@ $ $", "@$$", "455", "a line\na s s", "\ta.s.s", "* s s", "a - s - s"],
+        "kill": ["k . i . l . l", "k i l l! now", "k..1..l..l", "kkiilll"],
+        "moron": ["mooron", "m 0 0 r 0 n", "m * r * n"],
+        "idiot": ["idiiot", "! d ! 0 t", "1 d | o t", "ends here\ni d i o t"],
+        "trash": ["t r @ s h", "t~r~@~s~h", "t r 4 a s h"],
+    }
+    for word, texts in hidden.items():
+        for t in texts:
+            assert word in restorer.words(t), (word, t, restorer.words(t))
+    assert {"letter", "2024"} <= restorer.words("letter 2024")
+    assert not {w for w in restorer.words("| a | b | a few words, x and y - no * list * at all") if w in hidden}
+
+
 def test_toxicity_edges(spark):
     rows, labels = labelled(spark, 60)
     got = rows_of(toxicity(table(spark, edge_rows()), labels))
