@@ -211,7 +211,7 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``doc_id``, size ``n``, ``node`` (a hash of the set), its ``point`` and, once per set and task, its prefix ``keys``."""
+    """``doc_id``, size ``n``, ``node`` (a hash of the set), its ``point`` and, once per set and task, in a row with an id, its prefix ``keys``."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("point", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
@@ -221,10 +221,12 @@ def _sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 rows = []
-                for s in shingle_sets(part.column(1).to_pylist()):
+                named = part.column(0).is_valid().to_pylist()
+                for s, has_id in zip(shingle_sets(part.column(1).to_pylist()), named, strict=True):
                     node = node_of(s)
-                    keys = [] if node in seen else prefix(s, shared.value).view(np.int64)
-                    seen.add(node)
+                    keys = prefix(s, shared.value).view(np.int64) if has_id and node not in seen else []
+                    if has_id:
+                        seen.add(node)
                     rows.append((len(s), node, _packed(point(s)), keys))
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[1:], strict=True)]], schema=schema)
 

@@ -107,6 +107,14 @@ def test_component_rounds(spark, tmp_path):
     assert rows_of(components(spark.createDataFrame([], "a long, b long"), str(tmp_path / "e"), "t")) == []
 
 
+def test_a_copy_without_id_takes_no_links_from_its_class(spark):
+    one, other = near_copies(77, 2, 1)
+    rows = [(None, one), (5, one), (6, other)]
+    got = rows_of(jj.jaccard_classes(table(spark, rows).coalesce(1)))
+    assert sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in got) == plain_components(rows)
+    assert {r["component_id"] for r in got} == {5}
+
+
 def test_join_of_an_empty_table(spark):
     assert rows_of(jj.jaccard_classes(table(spark, edge_rows()).limit(0))) == []
 
