@@ -184,11 +184,12 @@ def _sampled(df: DataFrame, name: str, share: float) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model:
-    """Learns from about ``labelled`` labelled documents and a pool of about ``pool`` others."""
+    """Learns from about ``labelled`` labelled documents and a pool of at most about ``pool`` others, none of them among those."""
     labels = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     drawn = _sampled(labels, "quality sample", labelled / max(1, labels.count()))
     known = docs.select("doc_id", *COLUMNS).join(F.broadcast(drawn), "doc_id")
-    others = _sampled(docs.select("doc_id", *COLUMNS), "quality pool", pool / max(1, docs.count())).withColumn("quality", F.lit(None).cast("int"))
+    others = _sampled(docs.select("doc_id", *COLUMNS), "quality pool", pool / max(1, docs.count()))
+    others = others.join(F.broadcast(drawn.select("doc_id")), "doc_id", "left_anti").withColumn("quality", F.lit(None).cast("int"))
     names = [f"x{i}" for i in range(len(text_view(None)))] + [f"m{i}" for i in range(len(metadata_view(None, None, None)))]
 
     def numbers(ids: list, text: list, source: list, lang: list, n_chars: list, quality: list) -> tuple[list, ...]:

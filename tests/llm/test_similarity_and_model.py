@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from tankline.llm import co_training as ct
 from tankline.llm import jaccard_join as jj
 from tankline.llm import language_model as lm
 from tankline.llm.co_training import quality_scores, surest
@@ -209,6 +210,14 @@ def test_co_training_on_held_out_documents(spark):
     assert all(0 <= r[c] <= 1 for r in got for c in ("score", "text_score", "metadata_score"))
 
 
+def test_the_pool_has_no_labelled_documents(spark, monkeypatch):
+    rows, labels = judged(spark, 200)
+    sizes = []
+    monkeypatch.setattr(ct, "co_train", lambda x, m, y, pool_x, pool_m: sizes.append((len(x), len(pool_x))))
+    ct.fit(table(spark, [*rows, (None, "no id")]), labels)
+    assert sizes == [(150, 51)]
+
+
 def test_surest_rows_keep_the_proportion_of_the_classes():
     scores, free = np.array([0.99, 0.95, 0.5, 0.01, 0.02, 0.92]), np.array([True, True, True, True, True, False])
     rows, labels = surest(scores, free, good=0.5, most=4)
