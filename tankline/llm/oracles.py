@@ -101,5 +101,60 @@ FROM d LEFT JOIN n USING (r) JOIN reach USING (r) JOIN d o ON o.r = c GROUP BY d
 """
 
 
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _crc32(text: str) -> str:
+    byte = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
+    bytes_ = f"list_prepend(4294967295, list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT)))"
+    return f"xor(list_reduce({bytes_}, lambda a, b: {byte}), 4294967295)"
+
+
+def merkle_manifest(modulus: int = 7) -> str:
+    leaf = lambda n: f"sha256({_field('doc_id')} || {_field('source')} || {_field('lang')} || {_field(n)} || {_field('text')})"
+
+    def tree(name: str, leaves: str) -> str:
+        return f"""{name} AS (SELECT k, 0 AS lvl, i, h, c FROM {leaves} UNION ALL
+  SELECT k, lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(c) + 1) // 2 FROM {name} WHERE c > 1 GROUP BY k, lvl, i // 2)"""
+
+    def fold(name: str, start: str, nodes: str) -> str:
+        both = "CASE WHEN f.i % 2 = 0 THEN f.cur || coalesce(s.h, '') ELSE s.h || f.cur END"
+        return f"""{name} AS (SELECT r, k, 0 AS lvl, i, c, cur, proof FROM {start} UNION ALL
+  SELECT f.r, f.k, f.lvl + 1, f.i // 2, (f.c + 1) // 2, sha256({both}), f.proof || coalesce(s.h, '')
+  FROM {name} f LEFT JOIN {nodes} s ON s.k = f.k AND s.lvl = f.lvl AND s.i = f.i + 1 - 2 * (f.i % 2) WHERE f.c > 1)"""
+
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS k, {leaf("n_chars")} AS h,
+             CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % {modulus} = 0 THEN {leaf("(CAST(n_chars AS HUGEINT) + 1)")} ELSE {leaf("n_chars")} END AS cur FROM documents),
+l AS (SELECT r, doc_id, k, h, cur, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, h, r) - 1 AS i, count(*) OVER (PARTITION BY k) AS c FROM d),
+{tree("t", "l")},
+top AS (SELECT k AS name, h FROM t WHERE c = 1),
+g AS (SELECT '' AS k, name, h, row_number() OVER (ORDER BY name) - 1 AS i, count(*) OVER () AS c FROM top),
+{tree("u", "g")},
+a AS (SELECT r, k, i, c, cur, '' AS proof FROM l),
+{fold("f", "a", "t")},
+b AS (SELECT f.r, g.k, g.i, g.c, f.cur, f.proof FROM f JOIN g ON g.name = f.k WHERE f.c = 1),
+{fold("z", "b", "u")}
+SELECT l.doc_id, l.h AS leaf, top.h AS subroot, u.h AS root, sha256(z.proof) AS proof_sha256, z.cur AS folded_root, z.cur = u.h AS verified
+FROM l JOIN top ON top.name = l.k JOIN z ON z.r = l.r AND z.c = 1 JOIN u ON u.c = 1
+"""
+
+
+def exact_dedup() -> str:
+    return r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \t\n\x0b\f\r]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t)
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op4_quality_rules": quality_rules(), "op5_jaccard_join": jaccard_join(), "op6_mixing": mixing()}
+    return {
+        "op4_quality_rules": quality_rules(),
+        "op5_jaccard_join": jaccard_join(),
+        "op6_mixing": mixing(),
+        "op11_merkle_manifest": merkle_manifest(),
+        "op12_exact_dedup": exact_dedup(),
+    }

@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tankline.llm.co_training import quality_scores
 from tankline.llm.common import documents, table
+from tankline.llm.exact_dedup import exact_duplicates
 from tankline.llm.fingerprints import compare_with_edits
 from tankline.llm.html_text import extract_text
 from tankline.llm.jaccard_join import jaccard_classes
 from tankline.llm.language_id import language_id
 from tankline.llm.language_model import score_documents
+from tankline.llm.merkle import verify_tampered
 from tankline.llm.mixing import mix
 from tankline.llm.packing import pack_documents
 from tankline.llm.quality_rules import quality_rules
 from tankline.llm.toxicity import toxicity
+from tankline.llm.whitening import whiten
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +62,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify_tampered(documents(spark, sf_dir))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(documents(spark, sf_dir))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -72,5 +87,8 @@ QUERIES = {
         op8_language_id,
         op9_quality_classifier,
         op10_toxicity,
+        op11_merkle_manifest,
+        op12_exact_dedup,
+        op13_whitening,
     )
 }
