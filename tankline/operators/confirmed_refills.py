@@ -9,12 +9,11 @@ an interval into runs, and a run is confirmed when it has two rises or more and
 their sum reaches the threshold. Each stretch between confirmed runs consumes
 its first level minus its lowest. That needs counts and minima only:
 
-1. inside a slot: change, run number, then one row per run;
-2. one row per slot: the run open at its start, its closed stretches, and the
-   run and stretch open at its end;
-3. a fold over an interval's slot rows in time order joins what is open.
-
-1 and 2 are done once for all intervals, but for the slots that an interval cuts.
+1. inside a unit of time: change, run number, then one row per run;
+2. the unit's state: the run open at its start, the first stretch that starts in it, the sum of
+   those that start and end in it, and the run and stretch open at its end;
+3. states of neighbours compose: the runs that meet are one run, or a fall lies between them. Composed states
+   are stored in a tower (see ``folds``), so an interval takes few of them.
 
 NULL levels: the changes on both sides are unknown, so they cut nothing. A level
 after a NULL can lower a stretch only while no rise is pending.
@@ -26,8 +25,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import step
-from .slots import slot_summaries
-from .spans import HOUR_MS, SPAN, answer, spans_of
+from .folds import states_in_spans
+from .spans import SPAN, answer, spans_of
+from .sweeps import UNIT_MS
 
 
 def _runs(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -59,21 +59,18 @@ def _runs(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     )
 
 
-def _slot_rows(runs: DataFrame, threshold: float, keys: tuple[str, ...]) -> DataFrame:
-    """One row per slot, ready for the fold."""
-    in_slot = Window.partitionBy(*keys).orderBy("run")
-    confirmed = (F.col("rises") >= 2) & (F.round("climb", 8) >= threshold)
-    # Run 0 continues the slot before; the stretches counted here start at run 1.
-    stretch = F.count_if(confirmed & (F.col("run") > 0)).over(
-        in_slot.rowsBetween(Window.unboundedPreceding, -1)
-    )
+def _states(runs: DataFrame, threshold: float, keys: tuple[str, ...]) -> DataFrame:
+    """The state of the rows of each ``keys``, from their runs."""
+    in_unit = Window.partitionBy(*keys).orderBy("run")
+    # Run 0 continues what comes before; the stretches counted here start at run 1.
+    ends = _is_confirmed(F.col("rises"), F.col("climb"), threshold) & (F.col("run") > 0)
+    stretch = F.count_if(ends).over(in_unit.rowsBetween(Window.unboundedPreceding, -1))
     stretches = (
         runs.withColumn("stretch", F.coalesce(stretch, F.lit(0)))
         .groupBy(*keys, F.when(F.col("run") > 0, F.col("stretch")).otherwise(-1).alias("stretch"))
         .agg(
             F.min("low").alias("low"),
             F.min_by("peak", "run").alias("peak"),
-            F.max("run").alias("run"),
             F.max_by("rises", "run").alias("rises"),
             F.max_by("climb", "run").alias("climb"),
             F.min_by("first", "run").alias("first"),
@@ -82,132 +79,128 @@ def _slot_rows(runs: DataFrame, threshold: float, keys: tuple[str, ...]) -> Data
     )
     piece = F.struct("stretch", "peak", "low", "rises", "climb")
     head, tail = F.col("stretch") == 0, F.col("stretch") == F.col("newest")
-    closed = (F.col("stretch") > 0) & ~tail
+    between = (F.col("stretch") > 0) & ~tail
     newest = F.max("stretch").over(Window.partitionBy(*keys))
-    return (
-        stretches.withColumn("newest", newest)
-        .groupBy(*keys)
-        .agg(
-            F.min_by("first", "stretch").alias("first"),
-            F.max_by("last", "stretch").alias("last"),
-            F.max(F.when(F.col("stretch") == -1, piece)).alias("entry"),
-            F.max(F.when(head, piece)).alias("head"),
-            F.max(F.when((F.col("stretch") >= 0) & tail, piece)).alias("tail"),
-            F.coalesce(
-                F.sum(F.when(closed, F.greatest(F.col("peak") - F.col("low"), F.lit(0.0)))),
-                F.lit(0.0),
-            ).alias("closed"),
-        )
+    entry, first, last = F.col("entry"), F.col("head"), F.col("tail")
+    parts = stretches.withColumn("newest", newest).groupBy(*keys).agg(
+        F.min_by("first", "stretch").alias("first"),
+        F.max_by("last", "stretch").alias("last"),
+        F.max(F.when(F.col("stretch") == -1, piece)).alias("entry"),
+        F.max(F.when(head, piece)).alias("head"),
+        F.max(F.when((F.col("stretch") >= 0) & tail, piece)).alias("tail"),
+        F.coalesce(F.sum(F.when(between, _positive(F.col("peak"), F.col("low")))), F.lit(0.0)).alias("closed"),
     )
+    state = _state(
+        first=F.col("first"),
+        last=F.col("last"),
+        low0=entry["low"],
+        rises0=entry["rises"],
+        climb0=entry["climb"],
+        falls=first.isNotNull(),
+        head_peak=first["peak"],
+        head_low=first["low"],
+        several=F.coalesce(last["stretch"] > 0, F.lit(False)),
+        closed=F.col("closed"),
+        peak=last["peak"],
+        low=last["low"],
+        rises=F.coalesce(last["rises"], entry["rises"]),
+        climb=F.coalesce(last["climb"], entry["climb"]),
+    )
+    return parts.select(*keys, state.alias("state"))
 
 
-def _positive(a: Column, b: Column) -> Column:
-    """a - b when positive; 0 otherwise and when either is unknown."""
-    return F.when(a > b, a - b).otherwise(0.0)
-
-
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, so that steps do not nest."""
-    return F.transform(F.array(value), use)[0]
-
+#: First and last level; the run open at the start (lowest calm level, rises, climb); whether there is a fall; the first
+#: stretch that starts here; whether it also ends here, and the sum of those that do so after it; the stretch and the
+#: run open at the end.
+_STATE = {
+    "first": "double", "last": "double",
+    "low0": "double", "rises0": "bigint", "climb0": "double",
+    "falls": "boolean", "head_peak": "double", "head_low": "double",
+    "several": "boolean", "closed": "double",
+    "peak": "double", "low": "double", "rises": "bigint", "climb": "double",
+}
 
-def _fold(threshold: float):
-    """Fold step over slot rows: (state, slot) -> state.
 
-    State: consumed so far, the open stretch's first and lowest level, the open
-    run's rises and climb, the last level.
-    """
+def _state(**fields: Column) -> Column:
+    return F.struct(*[fields[name].cast(kind).alias(name) for name, kind in _STATE.items()])
 
-    def is_confirmed(state: Column) -> Column:
-        return (state["rises"] >= 2) & (F.round(state["climb"], 8) >= threshold)
-
-    def state_of(total, start, low, rises, climb, last) -> Column:
-        return F.struct(
-            total.cast("double").alias("total"),
-            start.cast("double").alias("start"),
-            low.cast("double").alias("low"),
-            rises.cast("bigint").alias("rises"),
-            climb.cast("double").alias("climb"),
-            last.cast("double").alias("last"),
-        )
 
-    def fall_to(state: Column, peak: Column, low: Column) -> Column:
-        """A fall from ``peak``: ends the open run, and the stretch if it was confirmed."""
-        done = is_confirmed(state)
-        return state_of(
-            state["total"] + F.when(done, _positive(state["start"], state["low"])).otherwise(0.0),
-            F.when(done, peak).otherwise(state["start"]),
-            F.when(done, low).otherwise(F.least(state["low"], low)),
-            F.lit(0),
-            F.lit(0.0),
-            state["last"],
-        )
-
-    def enter(state: Column, slot: Column) -> Column:
-        """The change from the last slot's level to this slot's first."""
-        change = step(slot["first"], state["last"])
-        risen = state_of(
-            state["total"],
-            state["start"],
-            state["low"],
-            state["rises"] + 1,
-            state["climb"] + change,
-            state["last"],
-        )
-        return (
-            F.when(change < 0, fall_to(state, state["last"], slot["first"]))
-            .when(change > 0, risen)
-            .otherwise(state)
-        )
+def _positive(a: Column, b: Column) -> Column:
+    """a - b when positive; 0 otherwise and when either is unknown."""
+    return F.when(a > b, a - b).otherwise(0.0)
 
-    def open_run(state: Column, slot: Column) -> Column:
-        """The rows before this slot's first fall continue the open run."""
-        entry = slot["entry"]
-        return state_of(
-            state["total"],
-            state["start"],
-            F.when(state["rises"] == 0, F.least(state["low"], entry["low"])).otherwise(
-                state["low"]
-            ),
-            state["rises"] + entry["rises"],
-            state["climb"] + entry["climb"],
-            slot["last"],
-        )
 
-    def falls_inside(state: Column, slot: Column) -> Column:
-        head, tail = slot["head"], slot["tail"]
-        several = tail["stretch"] > 0
+def _is_confirmed(rises: Column, climb: Column, threshold: float) -> Column:
+    return (rises >= 2) & (F.round(climb, 8) >= threshold)
 
-        def close(joined: Column) -> Column:
-            ended = _positive(joined["start"], joined["low"]) + slot["closed"]
-            return state_of(
-                joined["total"] + F.when(several, ended).otherwise(0.0),
-                F.when(several, tail["peak"]).otherwise(joined["start"]),
-                F.when(several, tail["low"]).otherwise(joined["low"]),
-                tail["rises"],
-                tail["climb"],
-                slot["last"],
-            )
 
-        return _let(fall_to(state, head["peak"], head["low"]), close)
+def _combine(threshold: float) -> str:
+    """The state of two neighbouring stretches of rows ``a`` and ``b`` from theirs, as SQL."""
 
-    def merge(state: Column, slot: Column) -> Column:
-        def after_entry(entered: Column) -> Column:
-            return _let(open_run(entered, slot), finish)
+    def state(s: str, **fields: str) -> str:
+        return "named_struct(" + ", ".join(f"'{name}', {fields.get(name, f'{s}.{name}')}" for name in _STATE) + ")"
 
-        def finish(started: Column) -> Column:
-            return F.when(slot["head"].isNull(), started).otherwise(falls_inside(started, slot))
+    def positive(a: str, b: str) -> str:
+        return f"CASE WHEN {a} > {b} THEN {a} - {b} ELSE 0D END"
 
-        return _let(enter(state, slot), after_entry)
+    def fall(s: str, peak: str, low: str, rises: str, climb: str) -> str:
+        """A fall from ``peak`` ends the open run, and the stretch if that run was confirmed; then a new run starts."""
+        done = f"({s}.falls AND {s}.rises >= 2 AND round({s}.climb, 8) >= {float(threshold)}D)"
+        starts = f"(NOT {s}.falls OR {done})"
+        return state(
+            s,
+            falls="true",
+            head_peak=f"CASE WHEN {s}.falls THEN {s}.head_peak ELSE {peak} END",
+            head_low=f"CASE WHEN NOT {s}.falls THEN {low} WHEN NOT {s}.several AND NOT {done} THEN least({s}.head_low, {low}) ELSE {s}.head_low END",
+            several=f"{s}.several OR {done}",
+            closed=f"{s}.closed + CASE WHEN {done} AND {s}.several THEN {positive(f'{s}.peak', f'{s}.low')} ELSE 0D END",
+            peak=f"CASE WHEN {starts} THEN {peak} ELSE {s}.peak END",
+            low=f"CASE WHEN {starts} THEN {low} ELSE least({s}.low, {low}) END",
+            rises=rises,
+            climb=climb,
+        )
 
-    return merge, state_of
+    # No fall between: the run open at the start of ``b`` is the one open at the end of ``a``. Its levels count as
+    # calm only while nothing has risen.
+    calm = "CASE WHEN a.rises = 0 AND NOT coalesce(c > 0, false) THEN b.low0 END"
+    rises = "a.rises + CASE WHEN c > 0 THEN 1 ELSE 0 END + b.rises0"
+    climb = "a.climb + CASE WHEN c > 0 THEN c ELSE 0D END + b.climb0"
+    go_on = state(
+        "a",
+        low0=f"CASE WHEN a.falls THEN a.low0 ELSE least(a.low0, {calm}) END",
+        rises0=f"CASE WHEN a.falls THEN a.rises0 ELSE {rises} END",
+        climb0=f"CASE WHEN a.falls THEN a.climb0 ELSE {climb} END",
+        head_low=f"CASE WHEN a.falls AND NOT a.several THEN least(a.head_low, {calm}) ELSE a.head_low END",
+        low=f"CASE WHEN a.falls THEN least(a.low, {calm}) ELSE a.low END",
+        rises=rises,
+        climb=climb,
+    )
+    apart = fall("a", "a.last", "b.low0", "b.rises0", "b.climb0")
+    met = f"transform(array(round(b.first - a.last, 8)), c -> CASE WHEN c < 0 THEN {apart} ELSE {go_on} END)[0]"
+    # The falls of ``b``: its first stretch goes on with the open one or starts, and may end.
+    more = f"CASE WHEN x.several THEN {positive('x.peak', 'x.low')} ELSE 0D END"
+    ended = state("x", several="true", closed=f"x.closed + {more} + b.closed", peak="b.peak", low="b.low")
+    begun = fall("s", "b.head_peak", "b.head_low", "b.rises", "b.climb")
+    falls = f"transform(array({begun}), x -> CASE WHEN b.several THEN {ended} ELSE x END)[0]"
+    joined = f"transform(array({met}), s -> CASE WHEN b.falls THEN {falls} ELSE s END)"
+    return f"transform({joined}, s -> {state('s', last='b.last')})[0]"
+
+
+def _consumed(s: Column, threshold: float) -> Column:
+    """What an interval with this state consumed: its first stretch starts at the first level."""
+    ended = _is_confirmed(s["rises0"], s["climb0"], threshold)
+    own = _positive(s["first"], s["low0"])
+    start = F.when(ended, s["head_peak"]).otherwise(s["first"])
+    low = F.when(ended, s["head_low"]).otherwise(F.least(s["low0"], s["head_low"]))
+    later = F.when(s["several"], s["closed"] + _positive(s["peak"], s["low"])).otherwise(0.0)
+    return F.when(s["falls"], F.when(ended, own).otherwise(0.0) + _positive(start, low) + later).otherwise(own)
 
 
 def fuel_between_confirmed_refills(
     readings: DataFrame,
     intervals: DataFrame,
     confirm_threshold: float = 100,
-    slot_ms: int = HOUR_MS,
+    slot_ms: int = UNIT_MS,
     prune: bool = True,
 ) -> DataFrame:
     """``consumption`` per request over the half-open interval; 0 where there is none.
@@ -217,23 +210,14 @@ def fuel_between_confirmed_refills(
     """
 
     def summarize(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-        return _slot_rows(_runs(rows, keys), confirm_threshold, keys)
-
-    slots = slot_summaries(readings, spans_of(intervals), "left", summarize, slot_ms=slot_ms, prune=prune)
-    # One row per slot: bounded by the interval's length, not its readings.
-    ordered = slots.groupBy(*SPAN).agg(
-        F.array_sort(
-            F.collect_list(F.struct("slot", "first", "last", "entry", "head", "tail", "closed"))
-        ).alias("slots")
-    )
-    merge, state_of = _fold(confirm_threshold)
-    first = F.col("slots")[0]["first"]
-    nothing = state_of(F.lit(0.0), first, first, F.lit(0), F.lit(0.0), F.lit(None))
-    total = F.aggregate(
-        "slots", nothing, merge, lambda s: s["total"] + _positive(s["start"], s["low"])
+        return _states(_runs(rows, keys), confirm_threshold, keys)
+
+    combine = _combine(confirm_threshold)
+    states = states_in_spans(
+        readings, spans_of(intervals), "left", summarize, combine, unit_ms=slot_ms, prune=prune
     )
-    folded = ordered.select(*SPAN, F.round(total, 8).alias("consumption"))
-    return answer(intervals, folded).withColumn(
+    consumed = F.round(_consumed(F.col("state"), confirm_threshold), 8).alias("consumption")
+    return answer(intervals, states.select(*SPAN, consumed)).withColumn(
         "consumption",
         F.when(F.col("bounds_status") == "invalid_interval", None).otherwise(
             F.coalesce("consumption", F.lit(0.0))

@@ -12,17 +12,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import epoch_ms_to_ts, time_bucket_modulo
+from ..functions import time_bucket_modulo
 from .resample import is_levels, levels_5min
+from .slots import merged_copies
 from .spans import (
     SPAN,
     answer,
     needed_levels,
     needed_readings,
-    rows_in_spans,
     spans_of,
     totals_in_spans,
 )
+from .sweeps import both_ends, end_marks, read_at, totals_at
 
 
 def levels_for(source: DataFrame, spans: DataFrame, prune: bool) -> DataFrame:
@@ -76,25 +77,51 @@ def refuel_segments(
 ) -> DataFrame:
     """Consumption between refuels: ``eqmt, from_ms, to_ms, seg_no, seg_consumption``.
 
-    A rise above ``refuel_threshold`` opens a segment. The running count orders
-    one machine's 5-minute levels within one interval, a number bounded by time.
+    A rise above ``refuel_threshold`` opens a segment. Segments are numbered and summed once per machine, by running totals over
+    its levels. A request has the segments between the numbers at its two ends; the
+    first and the last are cut out by difference.
     """
     fall = F.col("liters_prev") - F.col("liters")
-    order = (
-        Window.partitionBy(*SPAN)
-        .orderBy("timecreated")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    refuel = F.when(-fall > refuel_threshold, 1).otherwise(0)
+    counted = (fall > 0) & (fall < max_step_drop)
+    measures = {
+        "rows": F.lit(1),
+        "refuels": F.when(-fall > refuel_threshold, 1).otherwise(0),
+        "falls": F.when(counted, 1).otherwise(0),
+        "total": F.when(counted, fall).otherwise(0).cast("decimal(28,3)"),
+    }
     spans = spans_of(intervals)
     levels = levels_for(readings, spans, prune)
-    return (
-        rows_in_spans(levels, spans, F.unix_millis("timecreated"), "both")
-        .withColumn("seg_no", F.sum(refuel).over(order))
-        .groupBy(*SPAN, "seg_no")
-        .agg(
-            F.sum(F.when((fall > 0) & (fall < max_step_drop), fall)).alias("seg_consumption")
-        )
+    rows = levels.select(
+        "eqmt", F.unix_millis("timecreated").alias("at"), *[m.alias(name) for name, m in measures.items()]
+    )
+    read = totals_at(rows, end_marks(spans, "both"), [*measures])
+    ends = both_ends(read).withColumn("eqmt", F.col("eqmt").cast(rows.schema["eqmt"].dataType))
+    start, end = F.col("at_from"), F.col("at_to")
+
+    # The machine's own segments, with the totals up to their ends.
+    so_far = (
+        Window.partitionBy("eqmt")
+        .orderBy("at")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    sums = ("rows", "falls", "total")
+    running = rows.withColumns({name: F.sum(name).over(so_far) for name in measures})
+    own = running.groupBy("eqmt", F.col("refuels").alias("segment")).agg(*[F.max(s).alias(f"{s}_end") for s in sums])
+    in_turn = Window.partitionBy("eqmt").orderBy("segment")
+    own = own.withColumns({f"{s}_start": F.lag(f"{s}_end", 1, 0).over(in_turn) for s in sums})
+
+    cut = ends.withColumn("segment", F.explode(F.sequence(start["refuels"], end["refuels"])))
+    found = cut.join(own, ["eqmt", "segment"], "left")
+
+    def inside(name: str) -> Column:
+        last = F.when(F.col("segment") == end["refuels"], end[name]).otherwise(F.col(f"{name}_end"))
+        first = F.when(F.col("segment") == start["refuels"], start[name]).otherwise(F.col(f"{name}_start"))
+        return last - first
+
+    return found.filter(inside("rows") > 0).select(
+        *SPAN,
+        (F.col("segment") - start["refuels"]).alias("seg_no"),
+        F.when(inside("falls") > 0, inside("total")).cast("decimal(28,3)").alias("seg_consumption"),
     )
 
 
@@ -170,17 +197,46 @@ def fuel_used_first_last(
 
     May be negative; NULL without readings. The range is exact to the
     millisecond, so an edge bucket averages only the readings inside.
+
+    Buckets have sums that all requests share. A request looks up the nearest bucket with readings at both its ends;
+    where an end cuts a bucket, the sums up to there are taken off.
     """
     spans = spans_of(intervals)
     if prune:
         readings = needed_readings(readings, spans, look_back=False)
-    bucket = time_bucket_modulo(epoch_ms_to_ts("time_created"), 10)
-    means = (
-        rows_in_spans(readings, spans, F.col("time_created"), "both")
-        .groupBy(*SPAN, bucket.alias("m10"))
-        .agg(F.round(F.avg("liters"), 9).alias("mean"))
+    liters = F.col("liters").try_cast("decimal(28,12)")
+    copies = F.col("copies").cast("decimal(10,0)")
+    sums = {
+        "rows": F.col("copies"),
+        "known": F.when(liters.isNotNull(), F.col("copies")),
+        "total": (liters * copies).cast("decimal(38,12)"),
+    }
+    bucket = lambda at: F.unix_millis(time_bucket_modulo(F.timestamp_millis(at), 10))
+    marks = end_marks(spans, "both")
+    read = read_at(merged_copies(readings, "liters"), marks, "liters", lambda: sums, unit=bucket, by_unit=True)
+    start, end = F.col("at_from"), F.col("at_to")
+
+    def part(of: Column, kind: str) -> Column:
+        return F.struct(*[of[f"{kind}_{name}"].alias(name) for name in sums])
+
+    rest, begun = part(start, "rest"), part(end, "unit")
+    within = F.struct(*[(start[f"rest_{name}"] - end[f"rest_{name}"]).alias(name) for name in sums])
+    one = start["unit"] == end["unit"]
+    first = (
+        F.when(one, within)
+        .when(rest["rows"] > 0, rest)
+        .when(start["later_unit"] < end["unit"], part(start, "later"))
+        .when(start["later_unit"] == end["unit"], begun)
     )
-    used = means.groupBy(*SPAN).agg(
-        (F.min_by("mean", "m10") - F.max_by("mean", "m10")).alias("fuel_used")
+    last = (
+        F.when(one, within)
+        .when(begun["rows"] > 0, begun)
+        .when(end["earlier_unit"] > start["unit"], part(end, "earlier"))
+        .when(end["earlier_unit"] == start["unit"], rest)
     )
-    return answer(intervals, used)
+
+    def mean(of: Column) -> Column:
+        return F.when(of["known"] > 0, F.round(of["total"].cast("double") / of["known"], 9))
+
+    used = both_ends(read).select(*SPAN, first.alias("first"), last.alias("last"))
+    return answer(intervals, used.select(*SPAN, (mean(F.col("first")) - mean(F.col("last"))).alias("fuel_used")))

@@ -10,46 +10,33 @@ from pyspark.sql import functions as F
 from ..functions import DAY_MS
 from ..sources.files import engine_hour_entries
 from .intervals import interval_of_seconds
-from .slots import slot_order, slot_summaries
-from .spans import HOUR_MS, SPAN, answer, spans_of, unit_of
+from .folds import states_in_spans
+from .spans import HOUR_MS, SPAN, answer, spans_of
+from .sweeps import AFTER, UNIT_MS, totals_at
 
 # The statuses that count as idle, breakdown and waiting.
 IDLE_STATUSES = (1, 3)
 
 
-def _day_pieces(df: DataFrame, low: str, high: str) -> DataFrame:
-    """Cut each [low, high) into its days; the pieces of one row do not overlap.
+def _idle_until(asked: DataFrame, idle: DataFrame, statuses: Sequence[int], moments: Sequence[str]) -> DataFrame:
+    """``asked(eqmt, ...)`` with each of its ``moments`` (ms) replaced by the idle milliseconds up to it.
 
-    A row with an empty or unknown range stays, without a day.
+    An idle interval [c, d) has lasted t - c milliseconds at t while it is open, and d - c afterwards. So the sum over all of a
+    machine is t times the number of open ones, less the sum of their starts, plus that of the ended ones' lengths:
+    running totals over starts and ends, read once per moment. No moment meets an interval.
     """
-    first, last = unit_of(F.col(low), DAY_MS), unit_of(F.col(high) - 1, DAY_MS)
-    days = F.when(F.col(low) < F.col(high), F.sequence(first, last))
-    start, stop = F.col("day__") * DAY_MS, (F.col("day__") + 1) * DAY_MS
-    return df.select("*", F.explode_outer(days).alias("day__")).withColumns(
-        {low: F.greatest(F.col(low), start), high: F.least(F.col(high), stop)}
-    )
-
-
-def _with_idle(windows: DataFrame, idle: DataFrame, statuses: Sequence[int]) -> DataFrame:
-    """Days of ``windows(eqmt, a, b, ...)`` in ms, each with the idle pieces it meets.
-
-    Windows and idle intervals are cut into days and joined on (machine, day), so
-    a long one spreads over its days. Adds ``idle_ms``; a window may come in many
-    rows, at least one.
-    """
-    spent = _day_pieces(
-        idle.filter(F.col("status").isin(list(statuses))).select(
-            "eqmt", F.unix_millis("t0").alias("c"), F.unix_millis("t1").alias("d")
-        ),
-        "c",
-        "d",
-    )
-    overlap = F.least("b", "d") - F.greatest("a", "c")
-    return (
-        _day_pieces(windows, "a", "b")
-        .join(spent.hint("merge"), ["eqmt", "day__"], "left")
-        .withColumn("idle_ms", F.when(F.col("c").isNotNull() & (overlap > 0), overlap))
-    )
+    c, d = F.unix_millis("t0"), F.unix_millis("t1")
+    side = F.array(*[F.struct(at.alias("at"), F.lit(n).alias("net")) for at, n in ((c, 1), (d, -1))])
+    counted = F.col("status").isin(list(statuses)) & (c < d) & F.col("eqmt").isNotNull()
+    ends = idle.filter(counted).select("eqmt", F.inline(side)).groupBy("eqmt", "at").agg(F.sum("net").alias("open"))
+    ends = ends.withColumn("started", F.col("open").cast("decimal(19,0)") * F.col("at").cast("decimal(19,0)"))
+    marks = asked.select("*", F.inline(F.array(*[F.struct(F.lit(m).alias("moment"), F.col(m).alias("at")) for m in moments])))
+    read = totals_at(ends, marks.withColumn("side", F.lit(AFTER)), ["open", "started"], DAY_MS)
+    lasted = F.col("asked_at") * F.col("open") - F.col("started").cast("decimal(38,0)")
+    found = read.withColumn("asked_at", F.coalesce(*[F.when(F.col("moment") == m, F.col(m)) for m in moments]).cast("decimal(19,0)"))
+    keys = [c for c in asked.columns if c not in moments]
+    sums = [F.max(F.when(F.col("moment") == m, lasted)).cast("bigint").alias(m) for m in moments]
+    return found.groupBy(*keys).agg(*sums)
 
 
 def idle_seconds(
@@ -64,11 +51,9 @@ def idle_seconds(
     asked = windows.select("eqmt", "t0", "t1").distinct().withColumns(
         {"a": F.col("t0").cast("long") * 1000, "b": F.col("t1").cast("long") * 1000}
     )
-    seconds = F.coalesce(F.sum("idle_ms"), F.lit(0)) / 1000.0
-    return (
-        _with_idle(asked, idle, statuses)
-        .groupBy("eqmt", "t0", "t1")
-        .agg(seconds.alias("idle_seconds"))
+    spent = F.when(F.col("t0") < F.col("t1"), F.col("b") - F.col("a"))
+    return _idle_until(asked, idle, statuses, ("a", "b")).select(
+        "eqmt", "t0", "t1", (F.coalesce(spent, F.lit(0)) / 1000.0).alias("idle_seconds")
     )
 
 
@@ -89,46 +74,32 @@ def _valid_entries(
         F.col("engrs"), F.col("prev"), F.col("time_created"), F.col("prev_time")
     )
 
-    def summary(good, value, at, weight):
-        return [
-            F.coalesce(F.sum(F.when(good, weight)), F.lit(0)).alias("kept"),
-            F.min(F.when(good, value)).alias("low"),
-            F.max(F.when(good, value)).alias("high"),
-            F.min(F.when(good, at)).alias("first_at"),
-            F.max(F.when(good, at)).alias("last_at"),
-        ]
-
     # Merged copies: only the first of them rose, so each row weighs one.
     def summarize(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-        return rows.groupBy(*keys).agg(
-            *summary(good, F.col("engrs"), F.col("time_created"), F.lit(1)),
+        state = F.struct(
+            F.count_if(good).alias("kept"),
+            F.min(F.when(good, F.col("engrs"))).alias("low"),
+            F.max(F.when(good, F.col("engrs"))).alias("high"),
+            F.min(F.when(good, F.col("time_created"))).alias("first_at"),
+            F.max(F.when(good, F.col("time_created"))).alias("last_at"),
             F.min_by("engrs", "n").alias("entry"),
             F.min("time_created").alias("at"),
             F.max_by("engrs", "n").alias("last_entry"),
             F.max("time_created").alias("last_time"),
         )
+        return rows.groupBy(*keys).agg(state.alias("state"))
 
-    slots = slot_summaries(
-        engine_hour_entries(entries), spans, "both", summarize, "engrs", slot_ms, prune
-    )
-    entry, at = F.col("entry"), F.col("at")
-    good_first = believable(entry, F.col("before"), at, F.col("at_before"))
-    return (
-        slots.withColumns(
-            {
-                "before": F.lag("last_entry").over(slot_order()),
-                "at_before": F.lag("last_time").over(slot_order()),
-            }
-        )
-        .groupBy(*SPAN)
-        .agg(
-            (F.sum("kept") + F.count_if(good_first)).alias("kept"),
-            F.least(F.min("low"), F.min(F.when(good_first, entry))).alias("low"),
-            F.greatest(F.max("high"), F.max(F.when(good_first, entry))).alias("high"),
-            F.least(F.min("first_at"), F.min(F.when(good_first, at))).alias("first_at"),
-            F.greatest(F.max("last_at"), F.max(F.when(good_first, at))).alias("last_at"),
-        )
-    )
+    # The first entry of ``b`` is believable or not by the last one of ``a``.
+    gain = "(b.entry - a.last_entry)"
+    met = f"({gain} > 0 AND CAST({gain} - 1 AS bigint) * {HOUR_MS} <= b.at - a.last_time)"
+    entry, at = (f"CASE WHEN {met} THEN b.{c} END" for c in ("entry", "at"))
+    combine = f"""named_struct('kept', a.kept + b.kept + CASE WHEN {met} THEN 1 ELSE 0 END,
+        'low', least(a.low, b.low, {entry}), 'high', greatest(a.high, b.high, {entry}),
+        'first_at', least(a.first_at, b.first_at, {at}), 'last_at', greatest(a.last_at, b.last_at, {at}),
+        'entry', a.entry, 'at', a.at, 'last_entry', b.last_entry, 'last_time', b.last_time)"""
+    entries = engine_hour_entries(entries)
+    states = states_in_spans(entries, spans, "both", summarize, combine, "engrs", slot_ms, prune)
+    return states.select(*SPAN, *[F.col("state")[c].alias(c) for c in ("kept", "low", "high", "first_at", "last_at")])
 
 
 def engine_hours(
@@ -136,7 +107,7 @@ def engine_hours(
     requests: DataFrame,
     idle: DataFrame | None = None,
     literal: bool = False,
-    slot_ms: int = HOUR_MS,
+    slot_ms: int = UNIT_MS,
     prune: bool = True,
 ) -> DataFrame:
     """``engine_hours`` per request ``(eqmt, t0, t1)`` in epoch seconds.
@@ -170,18 +141,10 @@ def engine_hours(
     if idle is None:
         found = found.withColumns({part: F.lit(0) for part in parts})
     else:
-        cuts = F.array(
-            *[
-                F.struct(F.lit(part).alias("part"), F.col(a).alias("a"), F.col(b).alias("b"))
-                for part, (a, b) in parts.items()
-            ]
-        )
-        sums = [
-            F.coalesce(F.sum(F.when(F.col("part") == part, F.col("idle_ms"))), F.lit(0)).alias(part)
-            for part in parts
-        ]
-        met = _with_idle(found.select("*", F.inline(cuts)), idle, IDLE_STATUSES)
-        found = met.groupBy(*found.columns).agg(*sums)
+        moments = {f"idle_{c}": F.col(c) for c in ("from_ms", "end_ms", "first_at", "last_at")}
+        found = _idle_until(found.withColumns(moments), idle, IDLE_STATUSES, tuple(moments))
+        spent = {part: F.when(F.col(a) < F.col(b), F.col(f"idle_{b}") - F.col(f"idle_{a}")) for part, (a, b) in parts.items()}
+        found = found.withColumns({part: F.coalesce(ms, F.lit(0)) for part, ms in spent.items()})
     metered_ms = (
         F.col("gain").cast("long") * HOUR_MS
         + (F.col("end_ms") - F.col("last_at") - F.col("idle_tail"))

@@ -111,7 +111,7 @@ def fuel_usage_quality_requests(
     placed = readings.withColumn("slot", unit_of(F.col("time_created"), slot_ms))
     mean = F.round(F.avg("liters"), 9).alias("fuel")
     shared = placed.groupBy(*SHARED).agg(mean)
-    whole = shared.join(units.filter("whole").drop("whole").hint("merge"), list(SHARED))
+    whole = shared.join(units.filter("whole").drop("whole").repartition(*SHARED), list(SHARED))
     levels = whole.unionByName(edge_rows(placed, units, "both").groupBy(*SLOT).agg(mean))
     order = Window.partitionBy(*SPAN).orderBy("slot")
     levels = _positive_levels(levels.withColumn("fuel_prev", F.lag("fuel").over(order)))

@@ -2,77 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import step
-from .slots import slot_order, slot_summaries
-from .spans import HOUR_MS, SPAN, answer, needed_readings, spans_of, unit_of
+from .slots import merged_copies
+from .spans import SPAN, answer, needed_readings, spans_of
+from .sweeps import AFTER, UNIT_MS, both_ends, end_marks, exact, read_at
 
 
-def level_as_of(
-    readings: DataFrame, probes: DataFrame, slot_ms: int = HOUR_MS
-) -> DataFrame:
+def level_as_of(readings: DataFrame, probes: DataFrame, slot_ms: int = UNIT_MS) -> DataFrame:
     """The last level at or before each ``probes(eqmt, at_ms)``: adds ``level``.
 
     No limit on how far back. The newest reading wins even when its level is
-    NULL; of one millisecond's readings the highest level does. Every slot of a
-    machine is reduced to its last reading by a partial aggregate; a probe looks
-    into its own slot, else takes the last slot before, found among slot rows.
+    NULL; of one millisecond's readings the highest level does.
     """
-    last = F.max(F.struct("time_created", "liters"))
-    probes = probes.select("eqmt", "at_ms").distinct()
-    slot_of = unit_of(F.col("time_created"), slot_ms)
-    in_slot = (
-        readings.withColumn("slot", slot_of)
-        .join(
-            probes.withColumn("slot", unit_of(F.col("at_ms"), slot_ms)), ["eqmt", "slot"]
-        )
-        .filter(F.col("time_created") <= F.col("at_ms"))
-        .groupBy("eqmt", "at_ms")
-        .agg(last.alias("here"))
-    )
-    slots = readings.groupBy("eqmt", slot_of.alias("slot")).agg(last.alias("last"))
-    # Slots and probes of one machine in order: both bounded by time, not readings.
-    before = (
-        Window.partitionBy("eqmt")
-        .orderBy("slot")
-        .rangeBetween(Window.unboundedPreceding, -1)
-    )
-    earlier = (
-        slots.select("eqmt", "slot", "last", F.lit(None).cast("long").alias("at_ms"))
-        .unionByName(
-            probes.select(
-                "eqmt",
-                unit_of(F.col("at_ms"), slot_ms).alias("slot"),
-                F.lit(None).cast(slots.schema["last"].dataType).alias("last"),
-                "at_ms",
-            )
-        )
-        .withColumn("earlier", F.last("last", ignorenulls=True).over(before))
-        .filter(F.col("at_ms").isNotNull())
-        .select("eqmt", "at_ms", "earlier")
-    )
-    return earlier.join(in_slot, ["eqmt", "at_ms"], "left").select(
-        "eqmt", "at_ms", F.coalesce("here", "earlier")["liters"].alias("level")
-    )
+    marks = probes.select("eqmt", "at_ms").distinct().select("*", F.col("at_ms").alias("at"), F.lit(AFTER).alias("side"))
+    rows = readings.select("eqmt", "time_created", "liters")
+    return read_at(rows, marks, "liters", unit_ms=slot_ms).select("eqmt", "at_ms", F.col("before.value").alias("level"))
 
 
 def fuel_level_difference(
-    readings: DataFrame, intervals: DataFrame, slot_ms: int = HOUR_MS, prune: bool = True
+    readings: DataFrame, intervals: DataFrame, slot_ms: int = UNIT_MS, prune: bool = True
 ) -> DataFrame:
     """Level as of the start minus level as of the end; may be negative.
 
-    ``status`` is ``ok``, the bounds' own problem, or ``no_level``. An unknown
-    start shift gives 0, as a call with one does; every other problem gives NULL.
+    Readings and both moments of every request are sorted together, once. ``status`` is
+    ``ok``, the bounds' own problem, or ``no_level``. An unknown start shift gives 0,
+    as a call with one does; every other problem gives NULL.
     """
     usable = (F.col("bounds_status") == "ok") & F.col("eqmt").isNotNull()
     asked = intervals.filter(usable).select(*SPAN).distinct()
-    ends = F.array(
-        F.struct(F.col("from_ms").alias("at_ms"), F.lit("start_level").alias("end")),
-        F.struct(F.col("to_ms").alias("at_ms"), F.lit("end_level").alias("end")),
-    )
-    probes = asked.select(*SPAN, F.inline(ends))
     if prune:
         # The later of both ends, since a request may be reversed.
         later = asked.select(
@@ -81,9 +41,12 @@ def fuel_level_difference(
             F.greatest("from_ms", "to_ms").alias("to_ms"),
         )
         readings = needed_readings(readings, later, look_back=True)
-    levels = probes.join(level_as_of(readings, probes, slot_ms), ["eqmt", "at_ms"], "left")
-    both = levels.groupBy(*SPAN).agg(
-        *[F.max(F.when(F.col("end") == e, F.col("level"))).alias(e) for e in ("start_level", "end_level")]
+    marks = end_marks(asked, "both").withColumn("side", F.lit(AFTER))
+    read = read_at(readings.select("eqmt", "time_created", "liters"), marks, "liters", unit_ms=slot_ms)
+    both = both_ends(read.select(*SPAN, "end", "before")).select(
+        *SPAN,
+        F.col("at_from.before.value").alias("start_level"),
+        F.col("at_to.before.value").alias("end_level"),
     )
     known = {e: F.when(F.col("bounds_status") == "ok", F.col(e)) for e in ("start_level", "end_level")}
     found = answer(intervals, both).withColumns(known)
@@ -99,38 +62,29 @@ def fuel_level_difference(
     )
 
 
+def _fall(before: Column, now: Column) -> dict[str, Column]:
+    return {"fall": exact(F.greatest(step(before["value"], now["value"]), F.lit(0.0)))}
+
+
 def fuel_used_raw_drops(
     readings: DataFrame,
     intervals: DataFrame,
-    slot_ms: int = HOUR_MS,
+    slot_ms: int = UNIT_MS,
     prune: bool = True,
 ) -> DataFrame:
     """Sum of the falls between neighboring raw readings inside the interval.
 
     Both ends included; NULL levels are skipped over; 0 when nothing fell and
-    when there is no interval.
+    when there is no interval. The machine's running total of falls is read at both ends; the
+    fall into the interval's first reading does not count.
     """
     known = readings.filter(F.col("liters").isNotNull())
-    fall = F.greatest(step(F.col("prev"), F.col("liters")), F.lit(0.0))
-
-    def summarize(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-        return rows.groupBy(*keys).agg(
-            F.sum(F.when(F.col("prev").isNotNull(), fall)).alias("inside"),
-            F.min_by("liters", "n").alias("first"),
-            F.max_by("liters", "n").alias("last"),
-        )
-
-    slots = slot_summaries(known, spans_of(intervals), "both", summarize, slot_ms=slot_ms, prune=prune)
-    across = step(F.lag("last").over(slot_order()), F.col("first"))
-    used = (
-        slots.withColumn("across", F.greatest(across, F.lit(0.0)))
-        .groupBy(*SPAN)
-        .agg(
-            (
-                F.coalesce(F.sum("inside"), F.lit(0.0)) + F.coalesce(F.sum("across"), F.lit(0.0))
-            ).alias("fuel_used")
-        )
-    )
-    return answer(intervals, used).withColumn(
-        "fuel_used", F.coalesce("fuel_used", F.lit(0.0))
-    )
+    spans = spans_of(intervals)
+    if prune:
+        known = needed_readings(known, spans, look_back=False)
+    read = read_at(merged_copies(known, "liters"), end_marks(spans, "both"), "liters", pairs=_fall, unit_ms=slot_ms)
+    start, end = F.col("at_from"), F.col("at_to")
+    into = F.coalesce(_fall(start["before"], start["after"])["fall"], F.lit(0))
+    inside = start["after"]["at"] <= F.col("to_ms")
+    used = both_ends(read).select(*SPAN, F.when(inside, (end["fall"] - start["fall"] - into).cast("double")).alias("fuel_used"))
+    return answer(intervals, used).withColumn("fuel_used", F.coalesce("fuel_used", F.lit(0.0)))

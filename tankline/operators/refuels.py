@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import step
-from .slots import slot_order, slot_summaries
-from .spans import HOUR_MS, SPAN, answer, spans_of
+from .slots import merged_copies
+from .spans import SPAN, answer, needed_readings, spans_of
+from .sweeps import UNIT_MS, both_ends, end_marks, exact, read_at
 
 
 def analyze_fuel(
@@ -15,7 +16,7 @@ def analyze_fuel(
     intervals: DataFrame,
     refill_sensitivity: float = 40,
     anomaly_threshold: float = 100,
-    slot_ms: int = HOUR_MS,
+    slot_ms: int = UNIT_MS,
     prune: bool = True,
 ) -> DataFrame:
     """Eight measures per request over the half-open interval.
@@ -31,44 +32,49 @@ def analyze_fuel(
 
         first + refilled - top + max(top - last, 0)
 
+    All of these are running totals of the machine, or the nearest reading or refuel, read at both ends.
+
     NULL levels count as points and hide the changes next to them. A NULL first
     level makes consumption NULL once a refuel comes, and 0 otherwise.
     """
-    change = step(F.col("liters"), F.col("prev"))
-    refill = change > refill_sensitivity
-    anomaly = change < -anomaly_threshold
 
-    def summarize(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-        return rows.groupBy(*keys).agg(
-            F.sum("copies").alias("points"),
-            F.sum(F.when(refill, change).otherwise(0.0)).alias("refilled"),
-            F.count_if(refill).alias("refills"),
-            F.count_if(anomaly).alias("anomalies"),
-            F.max_by("liters", F.when(refill, F.col("n"))).alias("top"),
-            F.min_by("liters", "n").alias("first"),
-            F.max_by("liters", "n").alias("last"),
-        )
+    def changes(before: Column, now: Column) -> dict[str, Column]:
+        change = step(now["value"], before["value"])
+        refill = change > refill_sensitivity
+        return {
+            "refilled": F.when(refill, exact(change)),
+            "refills": F.when(refill, 1),
+            "anomalies": F.when(change < -anomaly_threshold, 1),
+        }
+
+    def refilled_to(before: Column, now: Column) -> Column:
+        return F.when(changes(before, now)["refills"] == 1, now["value"])
 
-    slots = slot_summaries(readings, spans_of(intervals), "left", summarize, slot_ms=slot_ms, prune=prune)
-    # The change from the slot before, and the level after the newest refuel here.
-    slots = slots.withColumn(
-        "across", step(F.col("first"), F.lag("last").over(slot_order()))
+    spans = spans_of(intervals)
+    if prune:
+        readings = needed_readings(readings, spans, look_back=False)
+    read = read_at(
+        merged_copies(readings, "liters"),
+        end_marks(spans, "left"),
+        "liters",
+        own=lambda: {"points": F.col("copies")},
+        pairs=changes,
+        latest=refilled_to,
+        unit_ms=slot_ms,
     )
-    refill_across = F.col("across") > refill_sensitivity
-    top = F.coalesce(F.col("top"), F.when(refill_across, F.col("first")))
-    sums = slots.groupBy(*SPAN).agg(
-        F.sum("points").alias("points"),
-        F.sum(F.col("refilled") + F.when(refill_across, F.col("across")).otherwise(0.0)).alias(
-            "refilled"
-        ),
-        (F.sum("refills") + F.count_if(refill_across)).alias("refills"),
-        (F.sum("anomalies") + F.count_if(F.col("across") < -anomaly_threshold)).alias("anomalies"),
-        F.max(F.when(top.isNotNull(), F.struct("slot", top.alias("level")))).alias("top"),
-        F.min_by("first", "slot").alias("start_level"),
-        F.max_by("last", "slot").alias("end_level"),
+    at_from, at_to = F.col("at_from"), F.col("at_to")
+    # The change into the interval's first reading is not one of its own.
+    into = changes(at_from["before"], at_from["after"])
+    sums = {name: at_to[name] - at_from[name] - F.coalesce(into[name], F.lit(0)) for name in into}
+    sums = both_ends(read).filter(at_from["after"]["at"] < F.col("to_ms")).select(
+        *SPAN,
+        (at_to["points"] - at_from["points"]).alias("points"),
+        *[total.cast("double" if name == "refilled" else "bigint").alias(name) for name, total in sums.items()],
+        at_to["latest"].alias("top"),
+        at_from["after"]["value"].alias("start_level"),
+        at_to["before"]["value"].alias("end_level"),
     )
-    start, end = F.col("start_level"), F.col("end_level")
-    top = F.col("top.level")
+    start, end, top = F.col("start_level"), F.col("end_level"), F.when(F.col("refills") > 0, F.col("top"))
     open_stretch = F.when(F.coalesce(top, start) > end, F.coalesce(top, start) - end).otherwise(0.0)
     consumed = F.when(F.col("refills") > 0, start + F.col("refilled") - top + open_stretch).otherwise(
         open_stretch

@@ -1,30 +1,19 @@
-"""Order-dependent work on raw readings, in pieces of bounded time.
+"""Raw rows in order, in pieces of bounded time.
 
-Comparing each reading with the one before it needs an order, and one machine
-may own a third of all readings. So no window ever spans a machine: time is cut
-into fixed short slots (an hour unless told otherwise), the window runs inside a
-slot, and each slot is reduced to one row. The few slot rows of an interval
-(bounded by its length in time) are then put together in order.
+Comparing each reading with the one before it needs an order, and one machine may own a third of all readings. So no
+window over raw rows ever spans a machine: it runs inside a short unit of time.
 
-A slot that lies wholly inside an interval gives the same row to every interval,
-so it is reduced once, however many intervals share it. Only the slots that an
-interval's ends cut are reduced for that interval alone, two at most. The work is
-readings plus intervals.
-
-Equal readings (same machine, millisecond and level) are first merged into one
-with a count. They are neighbors in the order, so no difference between them
-exists, and a pile of copies shrinks before it is shuffled. Readings of one
+Equal readings (same machine, millisecond and level) are first merged into one with a count. They are neighbors
+in the order, so no difference between them exists, and a pile of copies shrinks before it is shuffled. Readings of one
 millisecond are ordered by level, NULL first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spans import HOUR_MS, SPAN, is_inside, needed_readings, unit_of, units_in
+from .spans import SPAN, is_inside, units_in
 
 #: Keys of a slot row of one interval, and of a slot row that all intervals share.
 SLOT = (*SPAN, "slot")
@@ -35,8 +24,8 @@ def merged_copies(rows: DataFrame, value: str) -> DataFrame:
     return rows.groupBy("eqmt", "time_created", value).agg(F.count(F.lit(1)).alias("copies"))
 
 
-def _in_order(rows: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
-    """Adds ``n`` (the position in the slot), ``prev`` and ``prev_time``, NULL on a slot's first row."""
+def in_order(rows: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
+    """Adds ``n`` (the position within ``keys``), ``prev`` and ``prev_time``, NULL on the first row."""
     order = Window.partitionBy(*keys).orderBy("time_created", F.asc_nulls_first(value))
     return rows.withColumns(
         {
@@ -58,37 +47,6 @@ def slot_units(spans: DataFrame, closed: str, slot_ms: int) -> DataFrame:
 def edge_rows(placed: DataFrame, units: DataFrame, closed: str) -> DataFrame:
     """The readings in slots that an end of a span cuts, as far as they lie inside it."""
     cut = units.filter(~F.col("whole")).drop("whole")
-    # Never broadcast: the cut spans may be far larger than Spark expects.
-    met = placed.join(cut.hint("merge"), list(SHARED))
+    # Dealt out first, so that Spark joins by their true size: cut spans may be far more than it expects.
+    met = placed.join(cut.repartition(*SHARED), list(SHARED))
     return met.filter(is_inside(F.col("time_created"), closed))
-
-
-def slot_summaries(
-    rows: DataFrame,
-    spans: DataFrame,
-    closed: str,
-    summarize: Callable[[DataFrame, tuple[str, ...]], DataFrame],
-    value: str = "liters",
-    slot_ms: int = HOUR_MS,
-    prune: bool = True,
-) -> DataFrame:
-    """One row per span and slot with readings, made by ``summarize``.
-
-    ``summarize(rows, keys)`` gets distinct readings with ``copies``, ``n``, ``prev``
-    and ``prev_time`` and returns one row per ``keys``. ``prune`` cuts the
-    rows to the spans' time and machines at the scan.
-    """
-    if prune:
-        rows = needed_readings(rows, spans, look_back=False)
-    kind = rows.schema["eqmt"].dataType
-    units = slot_units(spans.withColumn("eqmt", F.col("eqmt").cast(kind)), closed, slot_ms)
-    placed = merged_copies(rows, value).withColumn("slot", unit_of(F.col("time_created"), slot_ms))
-    shared = summarize(_in_order(placed, SHARED, value), SHARED)
-    whole = shared.join(units.filter("whole").drop("whole").hint("merge"), list(SHARED))
-    edges = summarize(_in_order(edge_rows(placed, units, closed), SLOT, value), SLOT)
-    return whole.unionByName(edges)
-
-
-def slot_order() -> WindowSpec:
-    """Slots of one span in time order."""
-    return Window.partitionBy(*SPAN).orderBy("slot")

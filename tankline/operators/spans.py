@@ -95,7 +95,7 @@ def rows_in_spans(rows: DataFrame, spans: DataFrame, at_ms: Column, closed: str)
     return (
         rows.withColumn("at__", at_ms)
         .withColumn("day__", unit_of(F.col("at__"), DAY_MS))
-        .join(days.hint("merge"), ["eqmt", "day__"])
+        .join(days.repartition("eqmt", "day__"), ["eqmt", "day__"])
         .filter(is_inside(F.col("at__"), closed))
         .drop("at__", "day__")
     )

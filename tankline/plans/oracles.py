@@ -217,7 +217,7 @@ FROM (
   FROM (
     SELECT {keys}, CAST(count(*) AS DOUBLE) AS points, count(*) FILTER (fall = 0) AS flat,
       coalesce(sum(fall) FILTER (fall > 0 AND fall < {top}), 0) AS used,
-      count(*) FILTER (fall > {top} OR fall BETWEEN -{fueling} AND -{top} AND fall NOT IN (-{fueling}, -{top})) AS jumps
+      count(*) FILTER (fall > {top} OR (fall > -{fueling} AND fall < -{top})) AS jumps
     FROM (SELECT *, fuel_prev - fuel AS fall FROM {source} WHERE fuel > 0 AND fuel_prev > 0)
     GROUP BY {keys}))"""
 

@@ -52,12 +52,28 @@ def test_requests_prune_the_scan(spark, tmp_path):
     assert max(_scanned(spark, pruned)) < 100_000
 
 
-def test_slot_rows_are_made_once_and_cut_slots_apart(spark):
-    """Raw rows meet requests only in the cut slots; the others are reduced by machine and slot alone."""
+def test_raw_rows_are_read_once_and_meet_no_request(spark, tmp_path):
+    """U10-U12 and U4 sort rows and the requests' ends together: one scan of the readings, no join with them."""
+    readings_of(spark, [(1, "2024-01-01 00:00:00", 1)]).write.parquet(f"{tmp_path}/r")
+    readings = read_readings(spark, f"{tmp_path}/r")
+    windows = windows_of(spark, [(1, "2024-01-01 00:00:00", "2024-01-02 00:00:00")])
+    for operator in (ops.fuel_level_difference, ops.fuel_used_raw_drops, ops.analyze_fuel, ops.fuel_used_first_last):
+        plan = plan_of(operator(readings, windows, prune=False))
+        assert plan.count("FileScan parquet") == 1, operator.__name__
+        assert plan.count("Join") <= 2, operator.__name__  # answers back to requests
+    plan = plan_of(ops.fuel_between_confirmed_refills(readings, windows, prune=False))
+    # Once for the units that all share, once for the cut ones; by unit, by block and by request.
+    assert plan.count("FileScan parquet") == 2
+
+
+def test_idle_time_and_segments_join_no_request_with_rows(spark):
+    from pyspark.sql import functions as F
+
+    idle = spark.createDataFrame([], "eqmt int, status int, t0 timestamp, t1 timestamp")
+    asked = spark.createDataFrame([(1, 0, 10)], "eqmt int, t0 long, t1 long")
+    assert "Join" not in plan_of(ops.idle_seconds(asked, idle))
     readings = readings_of(spark, [(1, "2024-01-01 00:00:00", 1)])
     windows = windows_of(spark, [(1, "2024-01-01 00:00:00", "2024-01-02 00:00:00")])
-    plan = plan_of(ops.fuel_used_raw_drops(readings, windows, prune=False))
-    keys = [line.split("hashpartitioning(")[1].split("), ")[0] for line in plan.splitlines() if "hashpartitioning(" in line]
-    by_slot = [k for k in keys if "slot#" in k]
-    by_request = [k for k in by_slot if "from_ms#" in k]
-    assert len(by_request) <= 1 and 2 <= len(by_slot) - len(by_request) <= 4, by_slot
+    segments = ops.refuel_segments(readings, windows, prune=False)
+    # One join, with the machine's own segments, a row each.
+    assert plan_of(segments.filter(F.lit(True))).count("Join ") <= 1

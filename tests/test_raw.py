@@ -186,23 +186,115 @@ def test_as_of_looks_back_without_limit(spark):
     assert got == {1: (20.0, "ok"), 2: (None, "no_level")}
 
 
-def test_overlapping_requests_share_slot_rows(spark):
-    """Fifty requests on one crowded machine: only the cut slots of each meet raw rows."""
-    from tankline.operators.slots import edge_rows, merged_copies, slot_units
-    from tankline.operators.spans import spans_of, unit_of
-
+def crowded(spark, minutes=2_000):
+    """One machine with three copies of a reading every minute, falling by one every other minute."""
     t = ms("2024-01-01 00:00:00")
-    seq = [(t + i * 60_000, float(5000 - i // 2)) for i in range(2_000) for _ in range(3)]
-    readings = readings_of(spark, [(1, *r) for r in seq] + [(2, t + 5, 9.0), (2, t + 9, 4.0)])
+    seq = [(t + i * 60_000, float(5000 - i // 2)) for i in range(minutes) for _ in range(3)]
+    return seq, readings_of(spark, [(1, *r) for r in seq] + [(2, t + 5, 9.0), (2, t + 9, 4.0)])
+
+
+def test_overlapping_requests_share_running_totals(spark):
+    """Fifty requests on one crowded machine meet no rows: each puts two marks among them."""
+    from tankline.operators.spans import spans_of
+    from tankline.operators.sweeps import end_marks
+
+    seq, readings = crowded(spark)
+    t = seq[0][0]
     day = "2024-01-0{} {:02}:{:02}:00"
-    times = [(1, day.format(1, 0, i), day.format(2, 6, i)) for i in range(50)]
-    windows = windows_of(spark, times)
+    windows = windows_of(spark, [(1, day.format(1, 0, i), day.format(2, 6, i)) for i in range(50)])
     got = {(r.time_from.minute, r.fuel_used) for r in ops.fuel_used_raw_drops(readings, windows).collect()}
     inside = lambda i: [x for at, x in seq if t + i * 60_000 <= at <= t + (30 * 60 + i) * 60_000]
     assert got == {(i, inside(i)[0] - inside(i)[-1]) for i in range(50)}
-    placed = merged_copies(readings, "liters").withColumn("slot", unit_of(F.col("time_created"), HOUR))
-    met = edge_rows(placed, slot_units(spans_of(windows), "both", HOUR), "both").count()
-    assert met <= 50 * 2 * 60 < 50 * 1_800
+    assert end_marks(spans_of(windows), "both").count() == 100
+    plan = ops.fuel_used_raw_drops(readings, windows, prune=False)._jdf.queryExecution().executedPlan().toString()
+    # The only joins bring the answers back to the requests.
+    assert plan.count("Join") <= 2, plan
+
+
+def test_year_long_requests_take_few_states(spark):
+    """Fifty overlapping requests of a year each: under a hundred pieces, sharing all but the cut ones."""
+    from datetime import datetime, timedelta
+
+    from tankline.operators.folds import FAN, SIZES, pieces_of
+    from tankline.operators.spans import spans_of
+    from tankline.operators.sweeps import UNIT_MS
+
+    start = datetime(2023, 1, 1)
+    times = [start + timedelta(minutes=37 * i, seconds=i) for i in range(50)]
+    windows = windows_of(spark, [(1, str(a), str(a + timedelta(days=365, hours=i))) for i, a in enumerate(times)])
+    pieces = pieces_of(spans_of(windows), "left", UNIT_MS).collect()
+    sizes = {UNIT_MS * FAN**k for k in range(SIZES + 1)}
+    for r in spans_of(windows).collect():
+        own = sorted((p.lo, p.hi, p.cut) for p in pieces if (p.from_ms, p.to_ms) == (r.from_ms, r.to_ms))
+        assert len(own) < 100
+        assert own[0][0] == r.from_ms and own[-1][1] == r.to_ms
+        assert all(a[1] == b[0] for a, b in zip(own, own[1:]))
+        assert all(cut or (hi - lo in sizes and lo % (hi - lo) == 0) for lo, hi, cut in own)
+        assert sum(cut for *_, cut in own) <= 2
+    # Ten days further, as blocks of the largest size are the same for all.
+    assert len({(p.lo, p.hi) for p in pieces if not p.cut}) < 50 * 40
+
+
+@pytest.mark.parametrize("length", [0, 1, 899_999, 900_000, 900_001, 14_400_000, 250_000_000])
+@pytest.mark.parametrize("start", [0, 1, 900_000, 14_399_999, -5])
+def test_pieces_cover_any_span_once(spark, start, length):
+    from tankline.operators.folds import pieces_of
+    from tankline.operators.sweeps import UNIT_MS
+
+    spans = spark.createDataFrame([(1, start, start + length)], "eqmt int, from_ms long, to_ms long")
+    for closed, end in (("left", start + length), ("both", start + length + 1)):
+        pieces = sorted((p.lo, p.hi) for p in pieces_of(spans, closed, UNIT_MS).collect())
+        assert sum(b - a for a, b in pieces) == end - start
+        assert all(a[1] == b[0] for a, b in zip(pieces, pieces[1:]))
+        assert not pieces or (pieces[0][0], pieces[-1][1]) == (start, end)
+
+
+def test_states_compose_in_any_grouping(spark):
+    """The state of a sequence does not depend on where it is cut, nor on the order of composing."""
+    from tankline.operators.confirmed_refills import _combine, _consumed, _runs, _states
+    from tankline.operators.slots import in_order, merged_copies
+
+    rng = random.Random(5)
+    sequences = {e: machine(e)[:14] for e in range(0, 300, 3)}
+    rows, cuts = [], {}
+    for e, seq in sequences.items():
+        seq = sorted(set(seq), key=lambda r: (r[0], r[1] is not None, r[1] or 0))
+        cuts[e] = sorted(rng.sample(range(len(seq) + 1), min(3, len(seq) + 1)))
+        rows += [(e, i + 1, None, None if x is None else float(x), sum(i >= c for c in cuts[e])) for i, (_, x) in enumerate(seq)]
+        sequences[e] = [x for _, x in seq]
+    rows = spark.createDataFrame(rows, "eqmt int, time_created long, raw string, liters double, part int")
+    parts = merged_copies(rows.drop("part"), "liters").join(rows.select("eqmt", "time_created", "part"), ["eqmt", "time_created"])
+    states = _states(_runs(in_order(parts, ("eqmt", "part"), "liters"), ("eqmt", "part")), 100, ("eqmt", "part"))
+    listed = states.groupBy("eqmt").agg(F.array_sort(F.collect_list(F.struct("part", "state"))).alias("s"))
+    join = _combine(100)
+    left = f"aggregate(transform(slice(s, 2, size(s)), x -> x.state), s[0].state, (a, b) -> {join})"
+    back = "reverse(transform(s, x -> x.state))"
+    right = f"aggregate(slice({back}, 2, size(s)), {back}[0], (b, a) -> {join})"
+    got = listed.select("eqmt", F.expr(left).alias("l"), F.expr(right).alias("r"))
+    got = got.select("eqmt", _consumed(F.col("l"), 100).alias("l"), _consumed(F.col("r"), 100).alias("r")).collect()
+    assert len(got) > 50
+    for r in got:
+        want = loop_confirmed(sequences[r.eqmt])
+        assert r.l == pytest.approx(want, abs=1e-6) and r.r == pytest.approx(want, abs=1e-6)
+
+
+def test_a_crowded_hour_spreads_over_several_tasks(spark):
+    """A million readings of one machine in one hour: no task sorts more than a unit of them."""
+    from tankline.operators.slots import in_order, merged_copies
+    from tankline.operators.spans import unit_of
+    from tankline.operators.sweeps import UNIT_MS
+
+    t = ms("2024-01-01 00:00:00")
+    rows = spark.range(0, 1_000_000, 1, 8).selectExpr(
+        "1 AS eqmt", f"{t} + id * 36 div 10 AS time_created", "'' AS raw", "double(1000 - (id % 977)) AS liters"
+    )
+    placed = merged_copies(rows, "liters").withColumn("unit", unit_of(F.col("time_created"), UNIT_MS))
+    sizes = in_order(placed, ("eqmt", "unit"), "liters").groupBy("unit").agg(F.max("n").alias("n")).collect()
+    assert len(sizes) >= 4 and max(r.n for r in sizes) <= 250_000
+    minutes = windows_of(spark, [(1, "2024-01-01 00:00:00", "2024-01-01 01:00:00")])
+    split = {"slot_ms": 60_000}
+    used = [ops.fuel_used_raw_drops(rows, minutes, **o).first().fuel_used for o in ({}, split)]
+    assert used[0] == used[1] == sum(1 for i in range(999_999) if i % 977 != 976)
 
 
 def test_reversed_requests_get_the_same_answer_alone_and_in_a_batch(spark):
