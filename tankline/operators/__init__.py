@@ -20,6 +20,7 @@ from .quality import (
     QualityLimits,
     fuel_usage_quality,
     fuel_usage_quality_by_shift,
+    fuel_usage_quality_by_shift_requests,
     fuel_usage_quality_requests,
 )
 from .raw_levels import fuel_level_difference, fuel_used_raw_drops, level_as_of
@@ -49,6 +50,7 @@ __all__ = [
     "fuel_level_difference",
     "fuel_usage_quality",
     "fuel_usage_quality_by_shift",
+    "fuel_usage_quality_by_shift_requests",
     "fuel_usage_quality_requests",
     "fuel_used_by_segment",
     "fuel_used_drops",

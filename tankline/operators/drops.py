@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import time_bucket_modulo
+from .limits import Below, answer_by_limit, limit_of, sums_below, usable_spans
 from .resample import is_levels, levels_5min
 from .slots import merged_copies
 from .spans import (
@@ -51,8 +52,11 @@ def fuel_used_drops(
 ) -> DataFrame:
     """Sum of the level's falls, optionally only those strictly below ``max_drop``.
 
-    Both ends included; rounded to one place; 0 when nothing fell.
+    Both ends included; rounded to one place; 0 when nothing fell. Requests may carry a column ``max_drop`` of their own;
+    where it is NULL the argument counts.
     """
+    if "max_drop" in intervals.columns:
+        return _drops_by_limit(readings, intervals, max_drop, prune)
     fall = F.col("liters_prev") - F.col("liters")
     counted = fall > 0
     if max_drop is not None:
@@ -68,6 +72,25 @@ def fuel_used_drops(
     return answer(intervals, used).withColumn("fuel_used", _liters(F.col("fuel_used")))
 
 
+def _changes(levels: DataFrame) -> DataFrame:
+    """Falls, rises and all known changes of levels, each with its size, and 1 to count it."""
+    fall = F.col("liters_prev") - F.col("liters")
+    kinds = F.array(
+        F.struct(F.when(fall > 0, "fall").when(fall < 0, "rise").alias("kind"), F.abs(fall).alias("size")),
+        F.struct(F.when(fall.isNotNull(), "any").alias("kind"), F.lit(0).cast("decimal(18,3)").alias("size")),
+    )
+    rows = levels.select("eqmt", F.unix_millis("timecreated").alias("at"), F.inline(kinds)).filter(F.col("kind").isNotNull())
+    return rows.withColumns({"total": F.col("size").cast("decimal(28,3)"), "n": F.lit(1).cast("long")})
+
+
+def _drops_by_limit(readings: DataFrame, intervals: DataFrame, max_drop: float | None, prune: bool) -> DataFrame:
+    limits = {"max_drop": limit_of(intervals, "max_drop", max_drop)}
+    spans = usable_spans(intervals, limits)
+    falls = _changes(levels_for(readings, spans, prune)).filter(F.col("kind") == "fall")
+    found = sums_below(falls, spans, "both", [Below("used", "fall", "max_drop")], ["total"])
+    return answer_by_limit(intervals, found, limits).withColumn("fuel_used", _liters(F.col("used_total"))).drop("used_total")
+
+
 def refuel_segments(
     readings: DataFrame,
     intervals: DataFrame,
@@ -160,8 +183,11 @@ def clean_drop_rise(
     """Falls up to ``max_step_drop`` and rises above ``refuel_threshold``.
 
     ``cap_rises`` also bounds the rises by ``max_step_drop``. Gives
-    ``total_used, total_refueled, valid_points, total_points``, zeros when empty.
+    ``total_used, total_refueled, valid_points, total_points``, zeros when empty. Requests may
+    carry columns ``refuel_threshold`` and ``max_step_drop`` of their own; where one is NULL the argument counts.
     """
+    if {"refuel_threshold", "max_step_drop"} & set(intervals.columns):
+        return _drop_rise_by_limit(readings, intervals, refuel_threshold, max_step_drop, cap_rises, prune)
     fall = F.col("liters_prev") - F.col("liters")
     drop = (fall > 0) & (fall <= max_step_drop)
     rise = -fall > refuel_threshold
@@ -190,6 +216,37 @@ def clean_drop_rise(
     )
 
 
+def _drop_rise_by_limit(
+    readings: DataFrame, intervals: DataFrame, refuel_threshold: float, max_step_drop: float, cap_rises: bool, prune: bool
+) -> DataFrame:
+    limits = {
+        "refuel_threshold": limit_of(intervals, "refuel_threshold", refuel_threshold),
+        "max_step_drop": limit_of(intervals, "max_step_drop", max_step_drop),
+    }
+    spans = usable_spans(intervals, limits)
+    asked = [
+        Below("drops", "fall", "max_step_drop", True),
+        Below("rises", "rise", "max_step_drop" if cap_rises else None, True),
+        Below("small", "rise", "refuel_threshold", True),
+        Below("points", "any"),
+    ]
+    found = sums_below(_changes(levels_for(readings, spans, prune)), spans, "both", asked, ["total", "n"])
+    # With the cap below the threshold no rise counts.
+    rise = {m: F.greatest(F.col(f"rises_{m}") - F.col(f"small_{m}"), F.lit(0)) for m in ("total", "n")}
+    sums = found.select(
+        *SPAN,
+        *limits,
+        F.col("drops_total").alias("total_used"),
+        rise["total"].alias("total_refueled"),
+        (F.col("drops_n") + rise["n"]).alias("valid_points"),
+        F.col("points_n").alias("total_points"),
+    )
+    return answer_by_limit(intervals, sums, limits).withColumns(
+        {c: _liters(F.col(c)) for c in ("total_used", "total_refueled")}
+        | {c: _if_ok(F.coalesce(c, F.lit(0)).cast("int")) for c in ("valid_points", "total_points")}
+    )
+
+
 def fuel_used_first_last(
     readings: DataFrame, intervals: DataFrame, prune: bool = True
 ) -> DataFrame:

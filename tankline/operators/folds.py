@@ -75,7 +75,7 @@ def pieces_of(spans: DataFrame, closed: str, unit_ms: int) -> DataFrame:
         found.append(blocks(_numbers(lo[k], F.when(inner, lo[k + 1] * FAN).otherwise(hi[k])), k))
         found.append(blocks(F.when(inner, _numbers(hi[k + 1] * FAN, hi[k])).otherwise(F.array().cast("array<bigint>")), k))
     pieces = F.filter(F.flatten(F.array(*found)), lambda p: p["lo"] < p["hi"])
-    return spans.select(*SPAN, F.inline(pieces))
+    return spans.select("*", F.inline(pieces))
 
 
 def states_in_spans(
@@ -95,7 +95,7 @@ def states_in_spans(
     """
     if prune:
         rows = needed_readings(rows, spans, look_back=False)
-    spans = spans.withColumn("eqmt", F.col("eqmt").cast(rows.schema["eqmt"].dataType))
+    spans = spans.select(*SPAN).withColumn("eqmt", F.col("eqmt").cast(rows.schema["eqmt"].dataType))
     placed = merged_copies(rows, value).withColumn("unit", unit_of(F.col("time_created"), unit_ms))
     # Dealt out before they are joined, so that Spark knows how many there are when it decides how to join.
     pieces = pieces_of(spans, closed, unit_ms).repartition(*PIECE)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import DAY_MS, share_percent, wall_clock_ms
 from ..sources.calendar import wide_calendar
 from .intervals import interval_of_seconds
+from .limits import limit_of
 from .resample import resampled
 from .slots import SHARED, SLOT, edge_rows, slot_units
 from .spans import SPAN, needed_readings, spans_of, unit_of
@@ -82,6 +83,27 @@ def fuel_usage_quality(
     )
 
 
+def _levels_of_spans(readings: DataFrame, spans: DataFrame, minutes: int, prune: bool) -> DataFrame:
+    """The positive levels of each span's own buckets, with their previous one: ``eqmt, from_ms, to_ms, slot, fuel, fuel_prev``.
+
+    A bucket that lies inside a span has one mean for all spans.
+    """
+    if 60 % minutes:
+        raise ValueError("minutes must divide 60")
+    slot_ms = minutes * 60_000
+    if prune:
+        readings = needed_readings(readings, spans, look_back=False)
+    kind = readings.schema["eqmt"].dataType
+    units = slot_units(spans.withColumn("eqmt", F.col("eqmt").cast(kind)), "both", slot_ms)
+    placed = readings.withColumn("slot", unit_of(F.col("time_created"), slot_ms))
+    mean = F.round(F.avg("liters"), 9).alias("fuel")
+    shared = placed.groupBy(*SHARED).agg(mean)
+    whole = shared.join(units.filter("whole").drop("whole").repartition(*SHARED), list(SHARED))
+    levels = whole.unionByName(edge_rows(placed, units, "both").groupBy(*SLOT).agg(mean))
+    order = Window.partitionBy(*SPAN).orderBy("slot")
+    return _positive_levels(levels.withColumn("fuel_prev", F.lag("fuel").over(order)))
+
+
 def fuel_usage_quality_requests(
     readings: DataFrame,
     requests: DataFrame,
@@ -93,28 +115,15 @@ def fuel_usage_quality_requests(
 
     The range is cut before the previous level is taken, so the first bucket of each request
     has none. Requests may carry columns named as the fields of ``QualityLimits``;
-    those replace ``limits`` row by row. Without a usable level the status is ``no_levels``.
+    those replace ``limits`` row by row, where they are not NULL. Without a usable level the status is ``no_levels``.
 
     A bucket that lies inside a request has one mean for all requests; only the buckets at
     a request's ends are averaged for it alone. Buckets are cut in epoch time.
     """
-    if 60 % minutes:
-        raise ValueError("minutes must divide 60")
     names = [f.name for f in fields(QualityLimits)]
-    rowwise = {n: F.col(n).cast("double") if n in requests.columns else _limit(getattr(limits, n)) for n in names}
+    rowwise = {n: limit_of(requests, n, getattr(limits, n)) for n in names}
     intervals = interval_of_seconds(requests).withColumns(rowwise)
-    spans, slot_ms = spans_of(intervals), minutes * 60_000
-    if prune:
-        readings = needed_readings(readings, spans, look_back=False)
-    kind = readings.schema["eqmt"].dataType
-    units = slot_units(spans.withColumn("eqmt", F.col("eqmt").cast(kind)), "both", slot_ms)
-    placed = readings.withColumn("slot", unit_of(F.col("time_created"), slot_ms))
-    mean = F.round(F.avg("liters"), 9).alias("fuel")
-    shared = placed.groupBy(*SHARED).agg(mean)
-    whole = shared.join(units.filter("whole").drop("whole").repartition(*SHARED), list(SHARED))
-    levels = whole.unionByName(edge_rows(placed, units, "both").groupBy(*SLOT).agg(mean))
-    order = Window.partitionBy(*SPAN).orderBy("slot")
-    levels = _positive_levels(levels.withColumn("fuel_prev", F.lag("fuel").over(order)))
+    levels = _levels_of_spans(readings, spans_of(intervals), minutes, prune)
     asked = intervals.select(*SPAN, *names).distinct()
     own = QualityLimits(*map(F.col, names))
     levels = levels.withColumn("eqmt", F.col("eqmt").cast(intervals.schema["eqmt"].dataType))
@@ -124,6 +133,18 @@ def fuel_usage_quality_requests(
     return joined.select(*kept, "fuel_used", F.coalesce("status", F.lit("no_levels")).alias("status"), "accuracy")
 
 
+def _shift_days(shifts: DataFrame) -> DataFrame:
+    """Every shift once for each day that it touches."""
+    first = wall_clock_ms(F.col("shiftstart"))
+    last = first + F.col("length").cast("long") * 1000
+    return wide_calendar(shifts).select(
+        first.alias("shift_ms"),
+        last.alias("shift_end_ms"),
+        "shiftstart_epoch",
+        F.explode(F.sequence(unit_of(first, DAY_MS), unit_of(last, DAY_MS))).alias("day__"),
+    )
+
+
 def fuel_usage_quality_by_shift(
     readings: DataFrame,
     shifts: DataFrame,
@@ -141,15 +162,7 @@ def fuel_usage_quality_by_shift(
     """
     if eqmt is not None:
         readings = readings.filter(F.col("eqmt") == eqmt)
-    calendar = wide_calendar(shifts)
-    first = wall_clock_ms(F.col("shiftstart"))
-    last = first + F.col("length").cast("long") * 1000
-    by_day = calendar.select(
-        first.alias("shift_ms"),
-        last.alias("shift_end_ms"),
-        "shiftstart_epoch",
-        F.explode(F.sequence(unit_of(first, DAY_MS), unit_of(last, DAY_MS))).alias("day__"),
-    )
+    by_day = _shift_days(shifts)
     levels = _positive_levels(resampled(readings, minutes, (begin, end)))
     at = F.unix_millis("tm")
     levels = levels.withColumn("tm_ms", at).withColumn("day__", unit_of(at, DAY_MS))
@@ -163,3 +176,29 @@ def fuel_usage_quality_by_shift(
         .select(F.col("eqmt").alias("eqmtid"), "shiftstart_epoch", *_verdict(limits))
     )
 
+
+def fuel_usage_quality_by_shift_requests(
+    readings: DataFrame,
+    requests: DataFrame,
+    shifts: DataFrame,
+    minutes: int = 10,
+    limits: QualityLimits = DEFAULT_LIMITS,
+    prune: bool = True,
+) -> DataFrame:
+    """``shiftstart_epoch, fuel_used, status, accuracy``: a row per request ``(eqmt, t0, t1)`` and shift with a usable level.
+
+    As ``fuel_usage_quality_by_shift`` for a machine and range each: the range is cut first, then the previous level is
+    taken, then the shifts are cut, edges counting on both sides. Limits per request as in ``fuel_usage_quality_requests``.
+    """
+    names = [f.name for f in fields(QualityLimits)]
+    intervals = interval_of_seconds(requests).withColumns({n: limit_of(requests, n, getattr(limits, n)) for n in names})
+    levels = _levels_of_spans(readings, spans_of(intervals), minutes, prune)
+    levels = levels.withColumn("tm_ms", F.col("slot") * (minutes * 60_000))
+    levels = levels.withColumns({"day__": unit_of(F.col("tm_ms"), DAY_MS), "eqmt": F.col("eqmt").cast(intervals.schema["eqmt"].dataType)})
+    by_day = _shift_days(shifts)
+    in_shift = (levels["day__"] == by_day["day__"]) & levels["tm_ms"].between(by_day["shift_ms"], by_day["shift_end_ms"])
+    asked = intervals.select(*requests.columns, *[n for n in names if n not in requests.columns], "from_ms", "to_ms").distinct()
+    keys = [*requests.columns, "shiftstart_epoch"]
+    found = levels.join(by_day, in_shift, "left").join(asked, list(SPAN))
+    grouped = found.groupBy(*dict.fromkeys([*keys, *names])).agg(*_measures(QualityLimits(*map(F.col, names))))
+    return grouped.select(*keys, *_verdict(QualityLimits(*map(F.col, names))))

@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions import DAY_MS, wall_clock_ms
 from .drops import levels_for
+from .limits import limit_of
 from .resample import is_levels, levels_5min
 from .spans import SPAN, spans_of, totals_in_spans, unit_of
 
 
-def _report(perc_no_data: float, perc_need_cab: float) -> tuple[dict[str, Column], list[Column]]:
+def _share(limit: float | Column) -> Column:
+    return limit if isinstance(limit, Column) else F.lit(limit)
+
+
+def _report(perc_no_data: float | Column, perc_need_cab: float | Column) -> tuple[dict[str, Column], list[Column]]:
     """What to sum over an interval's levels, and what to say about the sums."""
     change = F.col("liters") - F.col("liters_prev")
     measures = {
@@ -21,8 +26,8 @@ def _report(perc_no_data: float, perc_need_cab: float) -> tuple[dict[str, Column
         "valid_points": F.lit(1),
     }
     # Shares compared without dividing: exact, and safe for any count.
-    rising = F.col("rises") * 100 > F.col("valid_points") * F.lit(perc_no_data)
-    leaping = F.col("leaps") * 100 > F.col("valid_points") * F.lit(perc_need_cab)
+    rising = F.col("rises") * 100 > F.col("valid_points") * _share(perc_no_data)
+    leaping = F.col("leaps") * 100 > F.col("valid_points") * _share(perc_need_cab)
     verdict = [
         F.col("fuel_used").cast("decimal(28,3)").alias("fuel_used"),
         F.col("valid_points"),
@@ -44,8 +49,13 @@ def shift_fuel_report(
     """``eqmt_id, time_from, time_to, fuel_used, valid_points, status`` per request.
 
     Intervals are half-open. A level with no previous one counts as a point. The
-    status does not blank ``fuel_used``. No readings, or no interval: no row.
+    status does not blank ``fuel_used``. No readings, or no interval: no row. Requests may carry
+    columns ``perc_no_data`` and ``perc_need_cab`` of their own; where one is NULL the argument counts.
     """
+    perc_no_data, perc_need_cab = (
+        limit_of(intervals, name, value) if name in intervals.columns else value
+        for name, value in (("perc_no_data", perc_no_data), ("perc_need_cab", perc_need_cab))
+    )
     measures, verdict = _report(perc_no_data, perc_need_cab)
     spans = spans_of(intervals)
     levels = levels_for(readings, spans, prune)

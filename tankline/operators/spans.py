@@ -4,11 +4,11 @@
 at the two ends of every interval. Its work is the series plus the intervals,
 however much the intervals overlap.
 
-``rows_in_spans`` is for work that needs the rows of each interval. The interval
-is cut into the days it touches and joined on (machine, day), then the exact bounds
-are applied. An interval has each day once, so no match comes twice. The cut
-intervals may be many times larger than Spark expects of the uncut ones, so the
-join never broadcasts them; a hot (machine, day) is split by Spark's skew join.
+``rows_in_spans`` gives the rows of each interval themselves. The interval is cut
+into the days it touches and joined on (machine, day), then the exact bounds are
+applied. An interval has each day once, so no match comes twice. The cut intervals
+may be many times larger than Spark expects of the uncut ones, so they are dealt out
+first and joined by their true size; a hot (machine, day) is split by Spark's skew join.
 """
 
 from __future__ import annotations

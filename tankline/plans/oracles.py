@@ -3,7 +3,7 @@ calendar and row-by-row recursion for the state machines."""
 
 from __future__ import annotations
 
-from .tables import MONTH, TEN_DAYS, WINDOWS
+from .tables import CLEAN_LIMITS, DROP_LIMITS, MONTH, REPORT_LIMITS, TEN_DAYS, WINDOWS
 
 #: Queries that are also put to readings with unknown levels, copies and ties.
 EDGE_QUERIES = (
@@ -222,7 +222,7 @@ FROM (
     GROUP BY {keys}))"""
 
 
-def _report(rise_limit: float, leap_limit: float) -> str:
+def _report(rise_limit: float | str, leap_limit: float | str) -> str:
     return f"""{_r6("coalesce(sum(d) FILTER (d > 0), 0)")} AS fuel_used, count(*) AS valid_points,
   CASE WHEN 100 * count(*) FILTER (d < 0) > {rise_limit} * count(*) THEN 'no_data'
     WHEN 100 * count(*) FILTER (d < -15) > {leap_limit} * count(*) THEN 'need calibration'
@@ -248,6 +248,27 @@ def _clean(rule: str, rise_cap: str) -> str:
     )
 
 
+def _clean_limits(rise_cap: str) -> str:
+    drop = "d > 0 AND d <= coalesce(max_step_drop, 200)"
+    rise = f"d < 0 AND -d > coalesce(refuel_threshold, 150){rise_cap}"
+    return _on_limited(
+        "plus_12h_rollover",
+        CLEAN_LIMITS,
+        f"{_if_ok(_r6(f'round(coalesce(sum(d) FILTER (WHERE {drop}), 0), 1)'))} AS total_used,"
+        f" {_if_ok(_r6(f'round(coalesce(sum(-d) FILTER (WHERE {rise}), 0), 1)'))} AS total_refueled,"
+        f" {_if_ok(f'CAST(count(*) FILTER (WHERE ({drop}) OR ({rise})) AS INTEGER)')} AS valid_points,"
+        f" {_if_ok('CAST(count(d) AS INTEGER)')} AS total_points",
+    )
+
+
+def _on_limited(rule: str, limits: dict[str, str], measures: str) -> str:
+    """The same with limits of each request's own."""
+    own = ", ".join(f"{x} AS {name}" for name, x in limits.items())
+    group = ", ".join([_I, *limits])
+    on_levels = _on_levels(rule, measures, group=group)
+    return on_levels.replace("FROM intervals i", f"FROM (SELECT *, {own} FROM intervals) i")
+
+
 def _segments(tail: str) -> str:
     return (
         _with(
@@ -455,6 +476,18 @@ def oracles() -> dict[str, str]:
   SELECT m.*, CAST(epoch_ms(sh.shiftstart) // 1000 AS BIGINT) AS shiftstart_epoch
   FROM main m LEFT JOIN shifts sh ON m.tm BETWEEN sh.shiftstart AND sh.shiftstart + INTERVAL 12 HOUR)""",
     ) + _verdict("cut", "eqmt AS eqmtid, shiftstart_epoch", "eqmt, shiftstart_epoch")
+    by_shift_requests = _with(
+        _READINGS,
+        _SHIFTS,
+        _SECOND_REQUESTS,
+        f"""asked AS (SELECT *, CASE t0 WHEN {TEN_DAYS[0]} THEN 50.0::DOUBLE ELSE 70.0::DOUBLE END AS max_fuel_diff FROM second_requests)""",
+        f"""means AS (SELECT a.*, {_bucket("h.time_created", 10)} AS tm, round(avg(h.liters), 9) AS fuel FROM asked a JOIN readings h
+  ON h.eqmt = a.eqmt AND h.time_created // 1000 BETWEEN a.t0 AND a.t1 GROUP BY ALL)""",
+        "main AS (SELECT *, lag(fuel) OVER (PARTITION BY eqmt, t0, t1 ORDER BY tm) AS fuel_prev FROM means)",
+        """cut AS (
+  SELECT m.*, CAST(epoch_ms(sh.shiftstart) // 1000 AS BIGINT) AS shiftstart_epoch
+  FROM main m LEFT JOIN shifts sh ON m.tm BETWEEN sh.shiftstart AND sh.shiftstart + INTERVAL 12 HOUR)""",
+    ) + _verdict("cut", "eqmt, t0, t1, max_fuel_diff, shiftstart_epoch", "eqmt, t0, t1, max_fuel_diff, shiftstart_epoch", ("max_fuel_diff", 250, 0.8, 0.1))
     all_shifts = _with(
         _READINGS,
         _SHIFTS,
@@ -569,6 +602,17 @@ FROM intervals i LEFT JOIN (
   GROUP BY ALL) u ON u.eqmt = i.eqmt AND u.from_ms = i.from_ms AND u.to_ms = i.to_ms""",
         "fuel_used_drops": _drops("plus_12h"),
         "fuel_used_drops_capped": _drops("plus_12h", " AND d < 200"),
+        "fuel_used_drops_limits": _on_limited(
+            "plus_12h", DROP_LIMITS, f"{_if_ok(_r6(_DROPS.format(cap=' AND d < coalesce(max_drop, 200)')))} AS fuel_used"
+        ),
+        "clean_drop_rise_limits": _clean_limits(" AND -d <= coalesce(max_step_drop, 200)"),
+        "clean_drop_rise_limits_uncapped": _clean_limits(""),
+        "shift_fuel_report_limits": window.replace(_report(60, 40), _report("coalesce(any_value(perc_no_data), 80)", "coalesce(any_value(perc_need_cab), 30)")).replace(
+            "FROM (SELECT *, liters_prev - liters AS d FROM levels)",
+            "FROM (SELECT *, liters_prev - liters AS d, " + ", ".join(f"{x} AS {name}" for name, x in REPORT_LIMITS.items())
+            + " FROM (SELECT * REPLACE (CAST(eqmt AS INTEGER) AS eqmt) FROM levels))",
+        ),
+        "fuel_usage_quality_by_shift_requests": by_shift_requests,
         "fuel_used_drops_to_end_shift": _drops("end_shift_start"),
         "fuel_used_by_segment": _segments(
             f"""SELECT {_I}, {_if_ok(_r6("round(coalesce(u.used, 0), 1)"))} AS fuel_used,

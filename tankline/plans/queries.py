@@ -313,6 +313,14 @@ def fuel_usage_quality_loose_10(spark, sf_dir):
     )
 
 
+@query
+def fuel_usage_quality_by_shift_requests(spark, sf_dir):
+    """Ranges and limits per request; where a request has none, the usual ones."""
+    readings = t.readings(spark, sf_dir)
+    asked = t.second_requests(spark, sf_dir).withColumn("max_fuel_diff", F.when(F.col("t0") == TEN_DAYS[0], 50.0))
+    return ops.fuel_usage_quality_by_shift_requests(readings, asked, calendar_of(readings))
+
+
 def _over(method, rule: str, validate: bool = False, tz: str | None = None, **more):
     def run(spark, sf_dir):
         intervals = _resolved(spark, sf_dir, rule, validate=validate, tz=tz)
@@ -342,6 +350,44 @@ def fuel_used_drops_to_end_shift(spark, sf_dir):
     return _over(ops.fuel_used_drops, rules.END_SHIFT_START)(spark, sf_dir)
 
 
+def _limited(rule: str, method, limits, **more):
+    """Requests with limits of their own, some of them unknown."""
+
+    def run(spark, sf_dir):
+        intervals = _resolved(spark, sf_dir, rule).withColumns({name: F.expr(limit) for name, limit in limits.items()})
+        return method(t.readings(spark, sf_dir), intervals, prune=False, **more)
+
+    return run
+
+
+@query
+def fuel_used_drops_limits(spark, sf_dir):
+    return _limited(rules.PLUS_12H, ops.fuel_used_drops, t.DROP_LIMITS, max_drop=200)(spark, sf_dir)
+
+
+@query
+def clean_drop_rise_limits(spark, sf_dir):
+    return _limited(rules.PLUS_12H_ROLLOVER, ops.clean_drop_rise, t.CLEAN_LIMITS)(spark, sf_dir)
+
+
+@query
+def clean_drop_rise_limits_uncapped(spark, sf_dir):
+    return _limited(rules.PLUS_12H_ROLLOVER, ops.clean_drop_rise, t.CLEAN_LIMITS, cap_rises=False)(spark, sf_dir)
+
+
+@query
+def shift_fuel_report_limits(spark, sf_dir):
+    """Thresholds per request."""
+    asked = t.readings(spark, sf_dir).select("eqmt").distinct().withColumns(
+        {
+            "time_from": F.lit(FROM_TIME).cast("timestamp_ntz"),
+            "time_to": F.lit(TO_TIME).cast("timestamp_ntz"),
+            **{name: F.expr(limit) for name, limit in t.REPORT_LIMITS.items()},
+        }
+    )
+    return ops.shift_fuel_report(t.readings(spark, sf_dir), ops.interval_of_times(asked), prune=False)
+
+
 @query
 def fuel_used_by_segment(spark, sf_dir):
     return _over(ops.fuel_used_by_segment, rules.PLUS_12H_ROLLOVER)(spark, sf_dir)

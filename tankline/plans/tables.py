@@ -33,6 +33,17 @@ MONTH = (1_704_067_200, 1_706_745_599)
 TEN_DAYS = (1_704_844_800, 1_705_708_800)
 
 
+# Limits of single requests, as SQL that both engines read; where one is NULL the usual limit counts.
+DROP_LIMITS = {"max_drop": "CASE WHEN eqmt % 5 <> 0 THEN CAST(20 + eqmt % 7 * 30 AS DOUBLE) END"}
+CLEAN_LIMITS = {
+    "refuel_threshold": "CASE WHEN eqmt % 4 <> 0 THEN CAST(eqmt % 6 * 25 AS DOUBLE) END",
+    "max_step_drop": "CASE WHEN eqmt % 3 <> 0 THEN CAST(40 + startshift * 30 AS DOUBLE) END",
+}
+REPORT_LIMITS = {
+    "perc_no_data": "CASE WHEN eqmt % 3 <> 0 THEN CAST(40 + eqmt % 4 * 5 AS DOUBLE) END",
+    "perc_need_cab": "CASE WHEN eqmt % 5 <> 0 THEN CAST(20 + eqmt % 3 * 10 AS DOUBLE) END",
+}
+
 EVENTS = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 )
