@@ -535,6 +535,7 @@ JOIN (SELECT {keys}, consumption AS confirmed_refills FROM ({_confirmed_refills(
         + f"SELECT * FROM entries WHERE engrs > 0 AND {_seconds(TEN_DAYS)}",
         "level_csv_round_trip": _levels_query(_LEVEL_COLUMNS),
         "materialized_levels": _levels_query(_LEVEL_COLUMNS),
+        "refreshed_levels": _levels_query(_LEVEL_COLUMNS),
         "epoch_to_timestamp": _readings_query(
             f"time_created, eqmt, epoch_ms(time_created // 1000 * 1000) AS whole_second, {at} AS exact"
         ),
@@ -629,6 +630,7 @@ FROM intervals i LEFT JOIN (SELECT eqmt, from_ms, to_ms, sum(seg_consumption) AS
         "shift_fuel_report": all_shifts,
         "shift_fuel_report_stored": all_shifts,
         "shift_fuel_report_requests": requested,
+        "shift_fuel_report_stored_requests": requested,
         "shift_fuel_report_window": window,
         "fuel_level_difference": level_difference,
         "fuel_used_raw_drops": _raw_drops(),

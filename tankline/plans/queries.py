@@ -98,6 +98,17 @@ def materialized_levels(spark, sf_dir):
     return read_levels(spark, path)
 
 
+@query
+def refreshed_levels(spark, sf_dir):
+    """Levels stored before some days were complete, then made anew for those days."""
+    readings, path = t.readings(spark, sf_dir), t.run_folder(spark)
+    day = F.to_date(epoch_ms_to_ts("time_created"))
+    late = day.isin([F.lit(d).cast("date") for d in t.LATE_DAYS])
+    materialize_levels(ops.levels_5min(readings.filter(~late | (F.col("eqmt") % 3 == 0))), path)
+    sources.refresh_levels(readings, path, t.LATE_DAYS)
+    return read_levels(spark, path)
+
+
 # Time and resampling
 
 
@@ -424,6 +435,15 @@ def shift_fuel_report_stored(spark, sf_dir):
     return ops.shift_fuel_report_all(read_levels(spark, path), calendar_of(readings))
 
 
+@query
+def shift_fuel_report_stored_requests(spark, sf_dir):
+    """Requests over stored levels, of which only the days and machines in question are opened."""
+    intervals = _resolved(spark, sf_dir, rules.ONE_SHIFT)
+    path = t.run_folder(spark)
+    materialize_levels(ops.levels_5min(t.readings(spark, sf_dir)), path)
+    return ops.shift_fuel_report(sources.read_levels_for(spark, path, intervals), intervals, prune=False)
+
+
 @query
 def shift_fuel_report_requests(spark, sf_dir):
     return _over(ops.shift_fuel_report, rules.ONE_SHIFT)(spark, sf_dir)

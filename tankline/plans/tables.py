@@ -28,6 +28,9 @@ WINDOWS = (
     ("2024-01-06", 2, "2024-01-11", None),
 )
 
+# Days whose readings come late; the first two are neighbours.
+LATE_DAYS = ("2024-01-10", "2024-01-11", "2024-01-20")
+
 # Epoch seconds: all of January 2024 and ten days inside it.
 MONTH = (1_704_067_200, 1_706_745_599)
 TEN_DAYS = (1_704_844_800, 1_705_708_800)

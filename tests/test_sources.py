@@ -1,22 +1,29 @@
-from datetime import date, datetime
+import random
+from datetime import date, datetime, timezone
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from tankline import operators as ops
 from tankline.operators import profile
 from tankline.sources import (
     calendar_of,
+    drop_levels,
     materialize_levels,
     read_engine_hours,
     read_level_csv,
     read_levels,
+    read_levels_for,
     read_readings,
     read_shifts,
+    refresh_levels,
+    stored_levels,
     wide_calendar,
     write_level_csv,
 )
 
-from .conftest import ms, readings_of, shifts_of
+from .conftest import ms, readings_of, shifts_of, windows_of
 
 ROWS = [(31, "2024-01-01 09:10:00", 742), (31, "2024-01-01 09:15:00", 737.25),
         (7, "2024-01-02 23:59:59.999", 10.5)]
@@ -108,3 +115,71 @@ def test_checks(spark):
     assert profile.shift_listing(shifts, date_of="2024-01-02").count() == 2
     down = profile.shift_listing(shifts, date_to="2024-01-02", descending=True).collect()
     assert [r.shift for r in down] == [2, 1, 2, 1]
+
+
+def random_readings(spark, seed, machines=30):
+    rng = random.Random(seed)
+    rows = []
+    for e in range(machines):
+        t = ms("2024-01-01 00:00:00")
+        for _ in range(rng.randint(0, 60)):
+            t += rng.choice([60_000, 300_000, 7_200_000, 50_000_000])
+            rows.append((e if e else None, t, rng.choice([None, 10.0, 20.5, rng.random() * 100])))
+    return rows
+
+
+def alike(a, b):
+    return sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+@pytest.mark.parametrize("days", [["2024-01-03"], ["2024-01-02", "2024-01-03", "2024-01-06"], ["2024-01-01"], ["2025-05-05"]])
+def test_refreshed_days_equal_levels_made_anew(spark, tmp_path, days):
+    """Changed, new and vanished readings; the first level after a changed day gets its new previous level."""
+    before, path = random_readings(spark, 1), f"{tmp_path}/levels"
+    day = lambda t: str(datetime.fromtimestamp(t / 1000, timezone.utc).date())
+    other = [r for r in random_readings(spark, 2) if r[0] is None or r[0] % 4]  # whole machines are gone
+    after = [r for r in before if day(r[1]) not in days] + [r for r in other if day(r[1]) in days]
+    materialize_levels(ops.levels_5min(readings_of(spark, before)), path)
+    kept = {f: f.stat().st_mtime_ns for f in Path(path).rglob("*.parquet")}
+    refresh_levels(readings_of(spark, after), path, days)
+    want = ops.levels_5min(readings_of(spark, after))
+    assert alike(read_levels(spark, path), want)
+    untouched = [f for f in kept if f.exists() and f.stat().st_mtime_ns == kept[f]]
+    assert untouched  # other partitions stay as they were
+
+
+def test_a_day_without_readings_loses_its_partitions(spark, tmp_path):
+    path, rows = f"{tmp_path}/levels", [(1, "2024-01-01 10:00:00", 5), (1, "2024-01-02 10:00:00", 6), (1, "2024-01-04 10:00:00", 7)]
+    materialize_levels(ops.levels_5min(readings_of(spark, rows)), path)
+    left = readings_of(spark, [rows[0], rows[2]])
+    refresh_levels(left, path, ["2024-01-02"])
+    assert alike(read_levels(spark, path), ops.levels_5min(left))
+    assert not list(Path(path).glob("day=2024-01-02/*/*.parquet"))
+
+
+def test_levels_are_dropped_after_use(spark, tmp_path):
+    path, levels = f"{tmp_path}/levels", ops.levels_5min(readings_of(spark, ROWS))
+    with stored_levels(levels, path) as found:
+        assert alike(found, levels) and Path(path).exists()
+    assert not Path(path).exists()
+    with pytest.raises(ZeroDivisionError), stored_levels(levels, path):
+        1 / 0
+    assert not Path(path).exists()
+    drop_levels(spark, path)
+
+
+def test_requests_open_only_their_days_and_machines(spark, tmp_path):
+    from .test_plans import _scanned
+
+    path = f"{tmp_path}/levels"
+    rows = [(e, ms(f"2024-01-{d:02} 12:00:00"), float(e)) for e in range(40) for d in range(1, 29)]
+    levels = ops.levels_5min(readings_of(spark, rows))
+    materialize_levels(levels, path)
+    windows = windows_of(spark, [(3, "2024-01-05 00:00:00", "2024-01-06 23:00:00"), (3, "2024-01-07 00:00:00", "2024-01-07 23:00:00")])
+    found = read_levels_for(spark, path, windows)
+    report = ops.shift_fuel_report(found, windows, prune=False)
+    assert alike(report, ops.shift_fuel_report(levels, windows)) and report.count() == 2
+    assert "PartitionFilters: [isnotnull(day" in found._jdf.queryExecution().executedPlan().toString()
+    assert max(_scanned(spark, found)) <= 3 * 40 / 4
+    nothing = read_levels_for(spark, path, windows.limit(0))
+    assert nothing.count() == 0
