@@ -8,7 +8,7 @@ evaluated by recursion: its bigram if that was seen, else the weight times its u
 Texts are encoded once into blocks (rows of arrays): the distinct words of a block as 64-bit hashes
 and its tokens as places in them. Blocks then ask for what they need, each distinct key once: the
 counts of their words, of their pairs, and the backoff weights of their words. Keys are dealt to
-``spark.sql.shuffle.partitions`` ranges; the task of a range sums the counts of all blocks, writes its part
+ranges of about ``RANGE`` tokens; the task of a range sums the counts of all blocks, writes its part
 of the tables and answers each block. Since a block asks once, a word that makes up a third of all
 tokens costs no more than another; pairs after a frequent word are dealt by their second word.
 
@@ -29,6 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,9 @@ from tankline.llm.common import held_out, shared_folder, stored
 #: Counts above this are not discounted.
 TRUSTED = 5
 #: Tokens of a block, about; a longer document is a block of its own.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
+#: Tokens whose words and pairs go to a range, about.
+RANGE = 4_000_000
 #: Pairs after a word are spread over all ranges if its share of the tokens is above this part of a range's.
 SPREAD = 0.5
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\n end", b"\n start"))
@@ -87,15 +90,16 @@ def unigrams_of(count_of_counts: dict[int, int], total: int, words: int) -> Unig
 
 def _encode(docs: DataFrame, learn, block: int) -> DataFrame:
     """Blocks of documents: ids, whether held out, token counts, tokens as places in the sorted word hashes."""
-    kinds = {"block": pa.int64(), "doc_ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "lengths": pa.list_(pa.int64()), "codes": pa.list_(pa.int32()), "words": pa.list_(pa.int64())}
+    kinds = {"block": pa.int64(), "doc_ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "lengths": pa.list_(pa.int64()), "tokens": pa.int64(), "codes": pa.binary(), "words": pa.binary()}
     schema = pa.schema(list(kinds.items()))
 
     def row(number: int, ids: list, held: list, lengths: list, tokens: list[int], words: dict) -> pa.RecordBatch:
         hashes = np.array([END, START, *(xxhash.xxh3_64_intdigest(w) for w in words)], dtype=np.uint64)
         order = np.argsort(hashes, kind="stable")
-        place = np.empty(len(order), dtype=np.int32)
-        place[order] = np.arange(len(order), dtype=np.int32)
-        values = [number, ids, held, lengths, place[np.array(tokens, dtype=np.int64)], hashes[order].view(np.int64)]
+        # Tokens are kept as numbers in the order of first use, which are small; their places in the sorted hashes follow.
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        values = [number, ids, held, lengths, len(tokens), pack(np.concatenate([place, tokens])), hashes[order].tobytes()]
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +119,7 @@ def _encode(docs: DataFrame, learn, block: int) -> DataFrame:
         if ids:
             yield row(number, ids, held, lengths, tokens, words)
 
-    fields = "block long, doc_ids array<bigint>, held array<boolean>, lengths array<bigint>, codes array<int>, words array<bigint>"
+    fields = "block long, doc_ids array<bigint>, held array<boolean>, lengths array<bigint>, tokens long, codes binary, words binary"
     return docs.select("doc_id", (~learn).alias("held"), "text").mapInArrow(run, fields)
 
 
@@ -123,6 +127,11 @@ def _array(batch: pa.RecordBatch, name: str, i: int) -> np.ndarray:
     return batch.column(name)[i].values.to_numpy(zero_copy_only=False)
 
 
+def _hashes(batch: pa.RecordBatch, i: int) -> np.ndarray:
+    """The sorted word hashes of a block."""
+    return np.frombuffer(batch.column("words")[i].as_py(), np.uint64)
+
+
 @dataclass
 class Block:
     held: np.ndarray
@@ -131,7 +140,9 @@ class Block:
 
     @classmethod
     def of(cls, batch: pa.RecordBatch, i: int) -> Block:
-        return cls(*(_array(batch, n, i) for n in ("held", "lengths", "codes")))
+        packed, tokens = unpack(batch.column("codes")[i].as_py()), batch.column("tokens")[i].as_py()
+        place = packed[: len(packed) - tokens]
+        return cls(_array(batch, "held", i), _array(batch, "lengths", i), place[packed[len(place) :]])
 
     @property
     def learned(self) -> np.ndarray:
@@ -180,14 +191,47 @@ def _slices(places: np.ndarray) -> Iterator[tuple[int, int, int]]:
             yield int(places[a]), a, b
 
 
-FIELDS = "kind int, range int, block long, a array<bigint>, b array<bigint>, c array<bigint>, d array<int>, s array<double>"
-SCHEMA = pa.schema([("kind", pa.int32()), ("range", pa.int32()), ("block", pa.int64()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64())), ("c", pa.list_(pa.int64())), ("d", pa.list_(pa.int32())), ("s", pa.list_(pa.float64()))])
+def pack(values: np.ndarray | None) -> bytes | None:
+    """Numbers as compressed bytes: whole ones as differences in the fewest bytes that hold them, exactly."""
+    if values is None:
+        return None
+    values = np.asarray(values)
+    if values.dtype.kind == "f":
+        return b"d" + zstandard.ZstdCompressor(level=1).compress(values.astype(np.float64).tobytes())
+    values = values.astype(np.int64)
+    steps = np.diff(values, prepend=np.int64(0))
+    best = b""
+    for mark, numbers in ((b"v", values.view(np.uint64)), (b"s", ((steps << 1) ^ (steps >> 63)).view(np.uint64))):
+        most = int(numbers.max(initial=0))
+        width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w))
+        # Bytes of equal weight stand together, so that the high ones shrink to nothing.
+        planes = np.ascontiguousarray(numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
+        found = mark + bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+        best = found if not best or len(found) < len(best) else best
+    return best
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(packed[1 if packed[:1] == b"d" else 2 :])
+    if packed[:1] == b"d":
+        return np.frombuffer(raw, np.float64)
+    width = packed[1]
+    planes = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T)
+    numbers = planes.reshape(-1).view(f"<u{width}").astype(np.uint64)
+    if packed[:1] == b"v":
+        return numbers.view(np.int64)
+    steps = (numbers >> np.uint64(1)).view(np.int64) ^ -(numbers & np.uint64(1)).view(np.int64)
+    return np.cumsum(steps)
+
+
+FIELDS = "kind int, range int, block long, a binary, b binary, c binary, d binary, s binary"
+SCHEMA = pa.schema([("kind", pa.int32()), ("range", pa.int32()), ("block", pa.int64()), *[(c, pa.binary()) for c in "abcds"]])
 #: Kinds of rows between blocks and ranges.
 ASK, ANSWER, TABLE, HISTORY, COUNTS = range(5)
 
 
 def _row(kind: int, place: int, block: int, a=None, b=None, c=None, d=None, s=None) -> tuple:
-    return kind, place, block, a, b, c, d, s
+    return kind, place, block, pack(a), pack(b), pack(c), pack(d), pack(s)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -197,7 +241,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _columns(table: pa.Table, name: str, rows: list[int]) -> list[np.ndarray]:
     column = table[name]
-    return [column[i].values.to_numpy(zero_copy_only=False) for i in rows]
+    return [unpack(column[i].as_py()) for i in rows]
 
 
 def _at_ranges(rows: DataFrame, answer) -> DataFrame:
@@ -214,7 +258,7 @@ def _for_blocks(answers: DataFrame, name: str, *columns: str) -> DataFrame:
 def _joined(batch: pa.RecordBatch, name: str, column: str, i: int) -> np.ndarray:
     """One column of a block's answers, end to end."""
     parts = batch.column(name)[i].values
-    arrays = [x.values.to_numpy(zero_copy_only=False) for x in parts.field(column)] if len(parts) else []
+    arrays = [unpack(x.as_py()) for x in parts.field(column)] if len(parts) else []
     return np.concatenate(arrays) if arrays else np.empty(0)
 
 
@@ -225,7 +269,7 @@ def _ask_words(blocks: DataFrame, ranges: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                block, words = Block.of(batch, i), _array(batch, "words", i).view(np.uint64)
+                block, words = Block.of(batch, i), _hashes(batch, i)
                 learned = block.learned
                 counts = np.bincount(block.codes[learned], minlength=len(words))
                 counts[np.searchsorted(words, START)] = int((~block.held.astype(bool)).sum())
@@ -233,7 +277,7 @@ def _ask_words(blocks: DataFrame, ranges: int) -> DataFrame:
                 number = batch.column("block")[i].as_py()
                 yield _batch([_row(ASK, p, number, a=words[x:y].view(np.int64), c=counts[x:y]) for p, x, y in _slices(places)])
 
-    return blocks.select("block", "held", "lengths", "codes", "words").mapInArrow(run, FIELDS)
+    return blocks.select("block", "held", "lengths", "tokens", "codes", "words").mapInArrow(run, FIELDS)
 
 
 def _answer_words(table: pa.Table, ranges: int) -> Iterator[tuple]:
@@ -257,7 +301,7 @@ def _ask_pairs(blocks: DataFrame, ranges: int, total: int) -> DataFrame:
     def ask(batch: pa.RecordBatch, i: int) -> pa.RecordBatch:
         block = Block.of(batch, i)
         ids, counts = _joined(batch, "known", "a", i), _joined(batch, "known", "c", i)
-        start = int(np.searchsorted(_array(batch, "words", i).view(np.uint64), START))
+        start = int(np.searchsorted(_hashes(batch, i), START))
         pairs = Pairs.of(block, ids, counts, start, ranges, total)
         n = np.bincount(pairs.token[block.learned], minlength=len(pairs.word))
         rows = []
@@ -336,7 +380,7 @@ def _answer_weights(factors: np.ndarray):
             weights = np.where(none, -1 / (total + 1), lost / total) / np.maximum(1 - share, 1e-300)
             yield _row(TABLE, place, -1, a=ids, s=weights)
         for i in (i for i, k in enumerate(kinds) if k == ANSWER):
-            own = table["a"][i].values.to_numpy(zero_copy_only=False)
+            own = unpack(table["a"][i].as_py())
             at = np.minimum(np.searchsorted(ids, own), max(0, len(ids) - 1))
             found = weights[at] if len(ids) else np.ones(len(own))
             known = ids[at] == own if len(ids) else np.zeros(len(own), dtype=bool)
@@ -354,7 +398,7 @@ def _score(blocks: DataFrame, ranges: int, train_tokens: int, unigrams: Unigrams
     def score(batch: pa.RecordBatch, i: int) -> pa.RecordBatch:
         block = Block.of(batch, i)
         ids, counts = _joined(batch, "known", "a", i), _joined(batch, "known", "c", i).astype(np.int64)
-        start = int(np.searchsorted(_array(batch, "words", i).view(np.uint64), START))
+        start = int(np.searchsorted(_hashes(batch, i), START))
         pairs = Pairs.of(block, ids, counts, start, ranges, train_tokens)
         n, weights = _joined(batch, "pairs", "c", i).astype(np.int64), _joined(batch, "weights", "s", i)
         plain = unigrams.probability(counts)
@@ -386,10 +430,20 @@ def _score(blocks: DataFrame, ranges: int, train_tokens: int, unigrams: Unigrams
 def _counts(answers: DataFrame) -> tuple[dict[int, int], int, int]:
     """Counts of counts up to ``TRUSTED`` + 1, their number and, of words, the sum of all counts: one row per range."""
     rows = answers.filter(F.col("kind") == COUNTS).select("b").collect()
-    sums = np.sum([r["b"] for r in rows], axis=0).tolist() if rows else [0] * (TRUSTED + 4)
+    sums = np.sum([unpack(bytes(r["b"])) for r in rows], axis=0).tolist() if rows else [0] * (TRUSTED + 4)
     return {r: int(sums[r]) for r in range(1, TRUSTED + 2)}, int(sum(sums[1 : TRUSTED + 3])), int(sums[-1])
 
 
+def _bucketed(df: DataFrame, folder: str, key: str, buckets: int) -> DataFrame:
+    """Stored in the shared folder by buckets of a key, so that joins on it leave this side where it is."""
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("path", f"{folder}/{name}").bucketBy(buckets, key).saveAsTable(name)
+    stored_by_key = spark.table(name)
+    stored_by_key.schema  # noqa: B018  resolved before its entry goes; the files stay
+    spark.sql(f"DROP TABLE {name}")
+    return stored_by_key
+
+
 def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, block: int = BLOCK) -> DataFrame:
     """Scores of all documents under a model of those that are not held out.
 
@@ -397,11 +451,10 @@ def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, block
     each count) and ``score``, both log10 of the text's probability.
     """
     spark = docs.sparkSession
-    ranges, folder = int(spark.conf.get("spark.sql.shuffle.partitions")), shared_folder(spark)
-    name = f"blocks_{uuid.uuid4().hex}"
-    encoded = _encode(docs, ~held_out(F.col("doc_id"), modulus, remainder), block)
-    encoded.write.option("compression", "zstd").bucketBy(2 * ranges, "block").saveAsTable(name)
-    blocks = spark.table(name)
+    tasks, folder = int(spark.conf.get("spark.sql.shuffle.partitions")), shared_folder(spark)
+    blocks = _bucketed(_encode(docs, ~held_out(F.col("doc_id"), modulus, remainder), block), folder, "block", 2 * tasks)
+    # As many ranges as keep one bounded, whatever the number of tokens.
+    ranges = max(tasks, (blocks.agg(F.sum("tokens")).first()[0] or 0) // RANGE)
 
     answers = stored(_at_ranges(_ask_words(blocks, ranges), lambda t: _answer_words(t, ranges)), folder, "unigrams", "kind")
     few, words, total = _counts(answers)
@@ -412,7 +465,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, block
 
     found = stored(_at_ranges(asked, _answer_pairs(unigrams, ranges)), folder, "pairs", "kind")
     factors = discounts(_counts(found)[0])
-    histories = found.filter(F.col("kind") == HISTORY).unionByName(told.withColumn("c", F.lit(None).cast("array<bigint>")))
+    histories = found.filter(F.col("kind") == HISTORY).unionByName(told.withColumn("c", F.lit(None).cast("binary")))
     weights = stored(_at_ranges(histories, _answer_weights(factors)), folder, "weights", "kind")
 
     ready = blocks.join(known, "block")
