@@ -41,10 +41,15 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies the document with the smallest id; of rows repeated exactly, one."""
-    copies = jaccard_classes(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    rest = docs.join(copies, "doc_id", "left_anti")
-    alike = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text")
+    """Of every group of near copies the document with the smallest id; of rows with the same id and text, one.
+
+    Rows are told apart by id and text, so a text whose id stands with another one's copy stays.
+    """
+    found = jaccard_classes(docs, marked=True).filter(F.col("doc_id") != F.col("component_id"))
+    copies = found.select(F.col("doc_id").alias("copy_id"), F.col("mark").alias("copy_mark")).distinct()
+    mark = F.xxhash64("text")
+    rest = docs.join(copies, (F.col("doc_id") == F.col("copy_id")) & (mark == F.col("copy_mark")), "left_anti")
+    alike = Window.partitionBy("doc_id", mark).orderBy("text")
     number = "copy " + "_".join(docs.columns)
     return rest.withColumn(number, F.row_number().over(alike)).filter(F.col(f"`{number}`") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 

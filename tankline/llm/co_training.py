@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tankline.llm.common import held_out, map_rows
+from tankline.llm.common import held_out, in_sample, map_rows
 
 LABELLED, POOL = 8_000, 16_000
 ROUNDS, SURE, LEARNED = 5, 0.9, 400
@@ -180,7 +180,7 @@ COLUMNS = ("text", "source", "lang", "n_chars")
 
 
 def _sampled(df: DataFrame, name: str, share: float) -> DataFrame:
-    return df.filter(F.pmod(F.xxhash64(F.lit(name), "doc_id"), F.lit(1_000_000)) < int(min(1.0, share) * 1_000_000))
+    return df.filter(in_sample(share, name, "doc_id"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model:

@@ -38,6 +38,12 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(modulus)) == remainder
 
 
+def in_sample(share: float, seed: str, *columns: str) -> Column:
+    """True for about that share of all rows, by a 64-bit hash of some columns; small shares draw in proportion too."""
+    limit = int(min(max(share, 0.0), 1.0) * 2**64) - 2**63 - 1
+    return F.lit(False) if limit < -(2**63) else F.xxhash64(F.lit(seed), *columns) <= F.lit(limit).cast("long")
+
+
 def barrier(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
     """Adds columns that later expressions read as stored values.
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tankline.llm.common import shared_folder, stored
+from tankline.llm.common import in_sample, shared_folder, stored
 from tankline.llm.components import components
 
 WIDTH = 5
@@ -195,7 +195,7 @@ def _frequent(docs: DataFrame) -> np.ndarray:
     """Shingles in more than a share of a bounded sample of documents; any choice keeps the join exact."""
     total = docs.count()
     share = min(1.0, SAMPLE / max(1, total))
-    drawn = docs.filter(F.pmod(F.xxhash64(F.lit("shingle sample"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = docs.filter(in_sample(share, "shingle sample", "doc_id", "text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,16 +204,16 @@ def _frequent(docs: DataFrame) -> np.ndarray:
                 values, counts = np.unique(np.concatenate(sets), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], ["shingle", "n"])
 
-    counts = drawn.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = sample.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     least = max(3, int(FREQUENT * share * total))
     found = counts.filter(F.col("n") >= least).select("shingle").toPandas()["shingle"].to_numpy(dtype=np.int64)
     return np.sort(found.view(np.uint64))
 
 
 def _sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``doc_id``, size ``n``, ``node`` (a hash of the set), its ``point`` and, once per set and task, in a row with an id, its prefix ``keys``."""
+    """``doc_id``, ``mark`` (a hash of the text), size ``n``, ``node`` (a hash of the set), its ``point`` and, once per set and task, in a row with an id, its prefix ``keys``."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("point", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("point", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -222,15 +222,15 @@ def _sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 part = batch.slice(at, ROWS)
                 rows = []
                 named = part.column(0).is_valid().to_pylist()
-                for s, has_id in zip(shingle_sets(part.column(1).to_pylist()), named, strict=True):
+                for s, has_id in zip(shingle_sets(part.column(2).to_pylist()), named, strict=True):
                     node = node_of(s)
                     keys = prefix(s, shared.value).view(np.int64) if has_id and node not in seen else []
                     if has_id:
                         seen.add(node)
                     rows.append((len(s), node, _packed(point(s)), keys))
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[1:], strict=True)]], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[2:], strict=True)]], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, point binary, keys array<bigint>")
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, n long, node long, point binary, keys array<bigint>")
 
 
 def _may_link(a: tuple[int, int, int], b: tuple[int, int, int]) -> bool:
@@ -397,8 +397,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     return both.select("a", "b", "m", "n", "x", "y").mapInArrow(check, "a long, b long").distinct()
 
 
-def jaccard_classes(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id``: the smallest id reachable by links, one row per document."""
+def jaccard_classes(docs: DataFrame, marked: bool = False) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id``: the smallest id reachable by links, one row per document.
+
+    With ``marked`` also ``mark``, the xxhash64 of the row's text, which tells rows with one id apart.
+    """
     folder = shared_folder(docs.sparkSession)
     sets = stored(_sets(docs, _frequent(docs)), folder, "sets")
     classes = sets.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("node", "n")
@@ -422,6 +425,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     links = stored(links.unionByName(_verified(pairs, docs, classes)), folder, "links")
     parts = components(links, folder, "last")
 
-    found = sets.select("doc_id", "n", "node").join(classes.select("node", "n", "rep"), ["node", "n"], "left")
+    found = sets.select("doc_id", "mark", "n", "node").join(classes.select("node", "n", "rep"), ["node", "n"], "left")
     found = found.join(parts.select(F.col("vertex").alias("rep"), "component"), "rep", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    columns = ["doc_id", *(["mark"] if marked else []), F.col("n").alias("n_shingles")]
+    return found.select(*columns, F.coalesce("component", "rep", "doc_id").alias("component_id"))

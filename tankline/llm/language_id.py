@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tankline.llm.common import held_out
+from tankline.llm.common import held_out, in_sample
 
 #: Labelled documents that the model is fitted on, about.
 SAMPLE = 8_000
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns words and n-grams from about ``sample`` of the documents with a ``lang``."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     share = min(1.0, sample / max(1, labelled.count()))
-    drawn = labelled.filter(F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    drawn = labelled.filter(in_sample(share, "language sample", "doc_id", "text"))
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))
     counts = drawn.select("lang", F.explode(words).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.cache()

@@ -18,7 +18,7 @@ from tankline.llm.language_id import LETTERS, LONGEST, fit
 from tankline.llm.mixing import mix
 from tankline.llm.packing import pieces_of
 from tankline.llm.quality_rules import STOP_WORDS
-from tests.llm.data import edge_rows, rows_of, table
+from tests.llm.data import edge_rows, rows_of, table, text
 from tests.llm.test_rules_and_mixing import measured
 from tests.llm.test_similarity_and_model import plain_components
 from tests.llm.test_texts import ids
@@ -139,3 +139,21 @@ def test_queries_equal_their_sql(spark, name):
     df = entry.queries()[name](spark, SF)
     assert sorted(df.columns) == sorted(names)
     assert sorted(repr(tuple(r[n] for n in names)) for r in df.collect()) == sorted(map(repr, want.fetchall()))
+
+
+def test_a_text_whose_id_stands_with_a_copy_stays(spark):
+    a, b, c = (text(i, 60) for i in (1, 2, 3))
+    docs = table(spark, [(3, a), (7, a), (7, b), (7, b), (8, c), (9, c + " end"), (None, a)])
+    kept = rows_of(cp.one_of_each(spark, docs, SF))
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted([("3", a), ("7", b), ("8", c), ("None", a)])
+
+
+def test_small_shares_draw_in_proportion(spark):
+    from tankline.llm.common import in_sample
+
+    ids = spark.range(2_000_000)
+    drawn = [ids.filter(in_sample(share, "seed", "id")).count() for share in (0, 1e-30, 2e-5, 0.25, 1, 3)]
+    assert drawn[0] == drawn[1] == 0 and 10 < drawn[2] < 90 and 490_000 < drawn[3] < 510_000 and drawn[4] == drawn[5] == 2_000_000
+    # A share of one in a hundred million still has a threshold of its own.
+    plans = [str(ids.filter(in_sample(share, "seed", "id"))._jdf.queryExecution().optimizedPlan()) for share in (1e-8, 2e-8)]
+    assert plans[0] != plans[1] and "false" not in plans[0].split("Filter")[1][:6]
