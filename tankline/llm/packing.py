@@ -5,23 +5,26 @@ but the first are full. Pieces are dealt evenly to groups of about ``GROUP`` pie
 is packed in one task: longest pieces first, each into the fullest sequence that still holds it.
 Then, while a group has more sequences than its tokens need, a local search moves one piece,
 or exchanges one for one, two for one or one for two, from the emptiest sequences into fuller ones,
-so that the sum of squared fills grows until sequences are empty.
+so that the sum of squared fills grows until sequences are empty or no exchange is left. It works
+on the distinct lengths of a sequence, of which there can be no more than 45 in 1024 tokens.
 
 A group wastes about one sequence among thousands, so the groups cost next to nothing and no task
 sees more than its group.
 
 Edge cases: NULL and empty texts are one piece that holds the end id; rows repeated exactly are
-packed one by one; an empty table gives an empty result; columns other than ``doc_id`` and ``text``
-are ignored.
+packed one by one; pieces of equal length are interchangeable, the first in the order of all columns is
+placed first; a very long text is encoded at once in its task and cut into as many pieces as it needs; text that
+spells a special token is that token, as the tokenizer reads it; an empty table gives an empty result; columns
+other than ``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations
 
 import os
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -35,8 +38,6 @@ CAPACITY = 1024
 END = 2
 #: Pieces packed together in one task.
 GROUP = 8192
-#: How many of a group's emptiest sequences the search tries to empty before it gives up.
-TRIES = 16
 #: Entries of a worker's table of encoded words; when it is full, it starts anew.
 KNOWN = 1_200_000
 ROWS = 512
@@ -57,16 +58,20 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    @staticmethod
-    def _parts(text: str) -> list[str] | None:
-        """A text's words: after a space as they are, after a line end with it, the first after two line ends."""
+    def _parts(self, text: str) -> list[str] | None:
+        """A text's words: after a space as they are, after a line end with it, the first after two line ends.
+
+        None for other texts, and for those that hold an added token.
+        """
+        if any(token in text for token in self.added):
+            return None
         parts = text.replace("\n", " \n").split(" ")
         if len(parts) != len(text.split()) or "" in parts:
             return None
@@ -151,46 +156,95 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _best_exchange(full: list[int], poor: list[int], lengths: list[int], space: int) -> tuple[int, tuple, tuple]:
-    """The exchange that moves most tokens, ``space`` at most, from ``poor`` to ``full``: gain, items given, items taken back."""
-    given = [(lengths[i], (i,)) for i in poor] + [(lengths[i] + lengths[j], (i, j)) for i, j in combinations(poor, 2)]
-    back = [(0, ())] + [(lengths[i], (i,)) for i in full]
-    pairs = [(lengths[i] + lengths[j], (i, j)) for i, j in combinations(full, 2)]
-    best = (0, (), ())
-    for n, items in given:
-        for m, others in back if len(items) > 1 else back + pairs:
-            if best[0] < n - m <= space and not (len(items) == 2 and not others):
-                best = (n - m, items, others)
-    return best
-
-
-def improve(bins: list[list[int]], lengths: list[int], capacity: int, tries: int = TRIES) -> list[list[int]]:
+def _pair_sums(held: Counter) -> dict[int, tuple[int, int]]:
+    """What two pieces of a bin have together, with their lengths."""
+    kinds = sorted(held)
+    return {a + b: (a, b) for k, a in enumerate(kinds) for b in kinds[k:] if a != b or held[a] > 1}
+
+
+class _Search:
+    """Bins as counts of lengths; every distinct length and pair of an open bin stands in one array for all bins."""
+
+    def __init__(self, bins: list[list[int]], capacity: int):
+        self.capacity = capacity
+        self.bins = [Counter(b) for b in bins]
+        self.fill = np.array([sum(b) for b in bins], np.int64)
+        self.pairs = [_pair_sums(b) for b in self.bins]
+        self.kinds = [frozenset(b.items()) for b in self.bins]
+        self._list()
+
+    def _list(self) -> None:
+        open_bins = [b for b in range(len(self.bins)) if 0 < self.fill[b] < self.capacity]
+        tables = [[(n, b) for b in open_bins for n in of[b]] for of in (self.bins, self.pairs)]
+        self.values = [np.array([n for n, _ in t], np.int64) for t in tables]
+        self.owners = [np.array([b for _, b in t], np.int64) for t in tables]
+        self.open = np.array(open_bins, np.int64)
+
+    def best(self, poor: int) -> tuple[int, int, tuple[int, ...], tuple[int, ...]]:
+        """The exchange from ``poor`` into the fullest bin that takes one: gain, bin, lengths given, lengths back.
+
+        Only bins as full as ``poor`` or fuller are asked. Of one bin's exchanges it is the one that moves most tokens.
+        """
+        space, worst = self.capacity - self.fill, np.iinfo(np.int64).max
+        found, least = (0, -1, (), ()), worst
+        fits = [(o != poor) & (self.fill[o] >= self.fill[poor]) for o in (self.open, *self.owners)]
+
+        def take(n: int, given: tuple[int, ...], values: np.ndarray, owners: np.ndarray, fit: np.ndarray, kind: int) -> None:
+            nonlocal found, least
+            can = fit & (values < n) & (n - values <= space[owners])
+            order = np.where(can, (space[owners] * len(self.bins) + owners) * (self.capacity + 1) + values + self.capacity - n, worst)
+            at = int(order.argmin()) if len(order) else -1
+            if at < 0 or order[at] >= least:
+                return
+            least, b, back = int(order[at]), int(owners[at]), int(values[at])
+            found = n - back, b, given, () if kind == 0 else (back,) if kind == 1 else self.pairs[b][back]
+
+        nothing = np.zeros(len(self.open), np.int64)
+        for n in self.bins[poor]:
+            take(n, (n,), nothing, self.open, fits[0], 0)
+            take(n, (n,), self.values[0], self.owners[0], fits[1], 1)
+            take(n, (n,), self.values[1], self.owners[1], fits[2], 2)
+        for n, given in self.pairs[poor].items():
+            take(n, given, self.values[0], self.owners[0], fits[1], 1)
+        return found
+
+    def exchange(self, poor: int, gain: int, full: int, given: tuple[int, ...], back: tuple[int, ...]) -> None:
+        for b, more, less in ((full, given, back), (poor, back, given)):
+            self.bins[b] += Counter(more)
+            self.bins[b] -= Counter(less)
+            self.pairs[b] = _pair_sums(self.bins[b])
+            self.kinds[b] = frozenset(self.bins[b].items())
+        self.fill[full] += gain
+        self.fill[poor] -= gain
+        self._list()
+
+
+def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Empties bins by exchanges that raise the sum of squared fills, while more bins are used than needed."""
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    needed = -(-sum(fill) // capacity)
-    used = len(bins)
-    tried: set[int] = set()
-    while used > needed and len(tried) < tries:
-        open_bins = [b for b in range(len(bins)) if 0 < fill[b] < capacity]
-        left = [b for b in open_bins if b not in tried]
+    needed, used = -(-sum(lengths) // capacity), len(bins)
+    if used <= needed:
+        return bins
+    search = _Search([[lengths[i] for i in b] for b in bins], capacity)
+    # Bins of equal lengths are alike: what one of them has tried in vain the others need not. After a round that changed
+    # something all may try again; a round without an exchange is the end.
+    tried, changed = set(), False
+    while used > needed:
+        left = [b for b in search.open.tolist() if search.kinds[b] not in tried]
         if not left:
-            break
-        poor = min(left, key=lambda b: (fill[b], b))
-        moved = False
-        for b in sorted(open_bins, key=lambda b: (-fill[b], b)):
-            while b != poor and fill[poor] and fill[b] >= fill[poor]:
-                gain, given, back = _best_exchange(bins[b], bins[poor], lengths, capacity - fill[b])
-                if not gain:
-                    break
-                bins[b] = [i for i in bins[b] if i not in back] + list(given)
-                bins[poor] = [i for i in bins[poor] if i not in given] + list(back)
-                fill[b], fill[poor], moved = fill[b] + gain, fill[poor] - gain, True
-            if not fill[poor]:
-                used -= 1
+            if not changed:
                 break
-        if not moved:
-            tried.add(poor)
-    return [b for b in bins if b]
+            tried, changed = set(), False
+            continue
+        poor = min(left, key=lambda b: (search.fill[b], b))
+        while search.fill[poor] and (found := search.best(poor))[0]:
+            search.exchange(poor, *found)
+            changed = True
+        used -= not search.fill[poor]
+        tried.add(search.kinds[poor])
+    by_length: dict[int, list[int]] = {}
+    for i in range(len(lengths) - 1, -1, -1):
+        by_length.setdefault(lengths[i], []).append(i)
+    return [[by_length[n].pop() for n in sorted(b.elements(), reverse=True)] for b in search.bins if b]
 
 
 def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:

@@ -1,7 +1,9 @@
 """Fingerprints, packing, language, toxicity, pages: edges, round trips, held-out accuracy."""
 
 import hashlib
+import time
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -89,7 +91,6 @@ def test_fingerprint_edges(spark):
 # --- packing
 
 TOKENIZER = Tokenizer.from_file(pk.TOKENIZER)
-TOKENIZER.encode_special_tokens = True
 
 
 def ids(t: str) -> bytes:
@@ -120,6 +121,39 @@ def test_exchanges_empty_a_bin():
     assert sorted(sum([4, 4, 3, 6, 2, 5][i] for i in b) for b in moved) == [12, 12]
 
 
+def test_texts_that_spell_special_tokens():
+    added = [t.content for t in TOKENIZER.get_added_tokens_decoder().values()]
+    assert "<|endoftext|>" in added
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "a<|endoftext|>\nb", "a <|endoftext| > b", "plain words only"]
+    assert pk.Encoder(pk.TOKENIZER).encode(texts) == [ids(t) for t in texts]
+    assert zlib.crc32(ids("a <|endoftext|> b") + np.array([2], dtype="<u4").tobytes()) == 3672784330
+
+
+@pytest.mark.parametrize("lengths", [[3] * 8192, [600] * 4000, [513 + i % 90 for i in range(4000)], [1 + i * i % 700 for i in range(8192)], [341, 342, 340, 5] * 2000], ids=lambda x: str(x[:3]))
+def test_large_groups_are_packed_at_once(lengths):
+    start = time.perf_counter()
+    bins = pk.pack_lengths(lengths)
+    assert time.perf_counter() - start < 20
+    assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+    assert max(sum(lengths[i] for i in b) for b in bins) <= 1024 and len(bins) <= len(pk.best_fit(lengths, 1024))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=25))
+def test_the_search_ends_where_no_exchange_is_left(lengths):
+    bins = [[lengths[i] for i in b] for b in pk.pack_lengths(lengths, 20)]
+    if len(bins) == -(-sum(lengths) // 20):
+        return
+    for a, poor in enumerate(bins):
+        for b, full in enumerate(bins):
+            if a == b or sum(full) < sum(poor):
+                continue
+            give = [(x,) for x in poor] + list(combinations(poor, 2))
+            back = [()] + [(x,) for x in full] + list(combinations(full, 2))
+            left = [(g, t) for g in give for t in back if len(g) + len(t) < 4 and (len(g) < 2 or t)]
+            assert not any(0 < sum(g) - sum(t) <= 20 - sum(full) for g, t in left)
+
+
 def test_pieces():
     assert pk.pieces_of(5, 4) == [(0, 1), (1, 4)] and pk.pieces_of(8, 4) == [(0, 4), (4, 4)] and pk.pieces_of(1, 4) == [(0, 1)]
 
