@@ -4,13 +4,13 @@ A small tree builder reads the markup: it closes what the language closes by its
 blocks, list items, table parts), opens rows for cells without one, moves what may not stand in a table
 before it, ignores end tags without a start, and keeps script, style and title as raw text. The tags of html, head and body open nothing: both ends of a head may be left out, all that may
 stand in it is unseen by itself, and anything else belongs to the body. Elements that are not shown are left out:
-titles, scripts, templates, ``hidden``,
-``display: none`` and ``visibility: hidden``, closed details and dialogs. The rest is rendered into lines:
+titles, scripts, templates, ``hidden``, ``display: none``, closed details and dialogs; of what ``visibility: hidden`` covers,
+only descendants that are visible again are shown. In a style, the last declaration of a property counts, an important one first. The rest is rendered into lines:
 blocks stand on their own lines with blank lines where browsers put margins, list items get bullets
-or numbers and indented continuations, table cells are padded to columns, and preformatted text
-keeps its white space. Nothing visible is dropped, boilerplate included.
+or numbers and indented continuations, table cells are padded to columns by their width on screen, and preformatted text
+keeps its white space. Indentation stops growing at ``INDENT`` blanks, so deep lists do not multiply their text. Nothing visible is dropped, boilerplate included.
 
-Edge cases: NULL and empty pages have the text ``""``; broken markup never fails; nesting has
+Edge cases: a very long page is rendered at once in its task, in time that grows with its length; NULL and empty pages have the text ``""``; broken markup never fails; nesting has
 no limit, since nothing recurses; repeated rows are rendered one by one; an empty
 table gives an empty result; columns other than those named are ignored.
 """
@@ -23,6 +23,7 @@ from collections import defaultdict
 from collections.abc import Generator, Iterable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
+from unicodedata import combining, east_asian_width
 
 from pyspark.sql import DataFrame
 
@@ -30,7 +31,11 @@ from tankline.llm.common import map_rows
 
 #: Blanks between the columns of a table.
 GUTTER = "  "
-SPAN = 1000
+#: Lines are not indented further than this.
+INDENT = 80
+
+# The most columns and rows that a cell may cover.
+COLUMNS, ROWS = 1000, 65534
 
 # Names of elements, as the language defines them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -75,7 +80,10 @@ MARKUP = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-NOT_SHOWN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+NUMBER = re.compile(r"\s*([+-]?\d{1,10})")
+#: Kinds of input whose value stands on the page as text, and those whose value is a label.
+TEXT_INPUTS = frozenset(("", "text", "search", "email", "url", "tel", "number", "date", "time", "month", "week", "datetime-local"))
+BUTTONS = frozenset("submit button reset".split())
 GAPS = re.compile(r"[ \t\n\f\r]+")
 
 
@@ -84,18 +92,45 @@ class Element:
     name: str
     attributes: dict[str, str] = field(default_factory=dict)
     children: list[Element | str] = field(default_factory=list)
+    #: Whether its own marks are visible; ``_cover`` takes away the text that is not.
+    visible: bool = True
 
-    def number(self, name: str, default: int, most: int = SPAN) -> int:
-        text = self.attributes.get(name, "").strip()
-        return min(int(text), most) if text.isascii() and text.isdigit() else default
+    def number(self, name: str, default: int) -> int:
+        found = NUMBER.match(self.attributes.get(name, ""))
+        return int(found[1]) if found else default
 
     @property
     def shown(self) -> bool:
         a = self.attributes
-        if self.name in UNSEEN or "hidden" in a or NOT_SHOWN.search(a.get("style", "")):
+        if self.name in UNSEEN or "hidden" in a or ("style" in a and self.style("display") == "none"):
             return False
         return not (self.name == "dialog" and "open" not in a) and not (self.name == "input" and a.get("type", "").lower() == "hidden")
 
+    def style(self, name: str) -> str:
+        """The value that the element's own style gives to a property, in lower case."""
+        found, first = "", False
+        for declaration in self.attributes.get("style", "").lower().split(";"):
+            key, colon, value = declaration.partition(":")
+            if colon and key.strip() == name:
+                important = value.rstrip().endswith("important") and "!" in value
+                if important or not first:
+                    found, first = value.partition("!")[0].strip(), important
+        return found
+
+
+def _cover(root: Element) -> Element:
+    """Takes the text out of elements that are not visible; visibility is inherited until a descendant sets it anew."""
+    todo = [(root, True)]
+    while todo:
+        element, visible = todo.pop()
+        own = element.style("visibility") if "style" in element.attributes else ""
+        visible = own not in ("hidden", "collapse") if own in ("visible", "hidden", "collapse") else visible
+        element.visible = visible
+        if not visible:
+            element.children = [x for x in element.children if not isinstance(x, str)]
+        todo += [(x, visible) for x in element.children if isinstance(x, Element)]
+    return root
+
 
 def _attributes(text: str) -> dict[str, str]:
     found: dict[str, str] = {}
@@ -291,7 +326,7 @@ def _flat(lines: list[Line]) -> list[str]:
                 first = pad
             else:
                 todo.append((rest, pad, pad))
-                todo.append((iter(line[1]), first + line[0], pad + " " * len(line[0])))
+                todo.append((iter(line[1]), first + line[0], (pad + " " * len(line[0]))[: max(INDENT, len(pad))]))
                 break
     while out and not out[-1]:
         out.pop()
@@ -313,15 +348,44 @@ def _rendered(element: Element) -> list[str]:
     return _flat(lines)
 
 
+def _letters(n: int) -> str:
+    out = ""
+    while n > 0:
+        n, place = divmod(n - 1, 26)
+        out = chr(97 + place) + out
+    return out
+
+
+def _roman(n: int) -> str:
+    out = ""
+    for value, sign in zip((1000, 900, 500, 400, 100, 90, 50, 40, 10, 9, 5, 4, 1), "m cm d cd c xc l xl x ix v iv i".split(), strict=True):
+        out, n = out + sign * (n // value), n % value
+    return out
+
+
+def _number(n: int, kind: str) -> str:
+    """A list number in the style of its ``type``; decimal where that has none."""
+    if kind in ("a", "A") and n > 0:
+        text = _letters(n)
+    elif kind in ("i", "I") and 0 < n < 4000:
+        text = _roman(n)
+    else:
+        return str(n)
+    return text.upper() if kind.isupper() else text
+
+
 def _items(element: Element) -> Iterator[Element | str | tuple[str, Element]]:
     """The children of a list, its items with their markers."""
-    number = element.number("start", 1, 10**9)
+    items = [x for x in element.children if isinstance(x, Element) and x.name == "li" and x.shown]
+    down = "reversed" in element.attributes
+    number, kind = element.number("start", len(items) if down else 1), element.attributes.get("type", "")
     for child in element.children:
         if isinstance(child, Element) and child.name == "li":
             if child.shown:
-                number = child.number("value", number, 10**9)
-                yield f"{number}. " if element.name == "ol" else "- ", child
-                number += 1
+                number = child.number("value", number)
+                marker = f"{_number(number, child.attributes.get('type', kind))}. " if element.name == "ol" else "- "
+                yield marker if child.visible else "", child
+                number += -1 if down else 1
         else:
             yield child
 
@@ -335,20 +399,37 @@ class Grid:
 Part = Generator[Element, list[Line], list[Line] | None]
 
 
-def _rows(table: Element) -> Iterator[Element]:
+def _width(text: str) -> int:
+    """Columns that a text takes on screen: wide characters two, combining ones none."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if combining(c) else 1 + (east_asian_width(c) in "WF") for c in text)
+
+
+def _rows(table: Element) -> Iterator[tuple[int, Element]]:
+    """The rows that are shown, each with the number of its part of the table."""
+    part = 0
     for child in table.children:
         if isinstance(child, Element) and child.shown:
             if child.name == "tr":
-                yield child
+                yield part, child
             elif child.name in SECTIONS:
-                yield from _rows(child)
+                part += 1
+                yield from ((part, row) for _, row in _rows(child))
+                part += 1
 
 
 def _grid(table: Element, out: Lines) -> Part:
-    """The rows of a table; a cell over several columns or rows fills its first place."""
-    grid: list[dict[int, tuple[list[str], int]]] = []
+    """The rows of a table; a cell over several columns or rows fills its first place.
+
+    Only columns in which some cell starts take room.
+    """
+    grid: list[dict[int, tuple[list[Line], int]]] = []
     taken: dict[int, int] = {}  # rows that a cell above still covers, by column
-    for row in _rows(table):
+    last = 0
+    for part, row in _rows(table):
+        if part != last:
+            taken, last = {}, part  # no cell reaches beyond its part
         cells, column = {}, 0
         below = {c: n - 1 for c, n in taken.items() if n > 1}
         for cell in row.children:
@@ -356,30 +437,38 @@ def _grid(table: Element, out: Lines) -> Part:
                 continue
             while taken.get(column):
                 column += 1
-            wide, high = max(1, cell.number("colspan", 1)), max(1, cell.number("rowspan", 1))
-            cells[column] = (_flat((yield cell)), wide)
+            wide = min(max(1, cell.number("colspan", 1)), COLUMNS)
+            high = cell.number("rowspan", 1)
+            high = ROWS if high == 0 else min(max(1, high), ROWS)
+            cells[column] = ((yield cell), wide)
             if high > 1:
                 below.update((c, high - 1) for c in range(column, column + wide))
             column += wide
         taken = below
         grid.append(cells)
-    widths: dict[int, int] = {}
-    for cells in grid:
+    if all(len(cells) == 1 and 0 in cells for cells in grid if cells):
+        for cells in grid:
+            out.marked("", cells[0][0] if cells else [])
+        return
+    flat = [{c: (_flat(lines), wide) for c, (lines, wide) in cells.items()} for cells in grid]
+    widths: dict[int, int] = {c: 0 for cells in flat for c in cells}
+    for cells in flat:
         for c, (lines, wide) in cells.items():
             if wide == 1:
-                widths[c] = max(widths.get(c, 0), max(map(len, lines), default=0))
-    for cells in grid:
+                widths[c] = max(widths[c], max(map(_width, lines), default=0))
+    places, at = {}, 0
+    for c in sorted(widths):
+        places[c], at = at, at + widths[c] + len(GUTTER)
+    for cells in flat:
         height = max((len(lines) for lines, _ in cells.values()), default=0)
-        for i in range(height):
-            line, place = "", 0
-            for c in sorted(cells):
-                lines, _ = cells[c]
-                place = sum(widths.get(k, 0) + len(GUTTER) for k in range(c))
-                text = lines[i] if i < len(lines) else ""
+        rows, ends = [[] for _ in range(height)], [0] * height
+        for c in sorted(cells):
+            for i, text in enumerate(cells[c][0]):
                 if text:
-                    line = line.ljust(place) if len(line.rstrip()) + len(GUTTER) <= place or not line else line.rstrip() + GUTTER
-                    line += text
-            out.block([line.rstrip()])
+                    gap = max(places[c] - ends[i], len(GUTTER)) if rows[i] else places[c]
+                    rows[i] += [" " * gap, text]
+                    ends[i] += gap + _width(text)
+        out.block(["".join(line).rstrip() for line in rows])
 
 
 def _flow(nodes: Iterable[Element | str]) -> Part:
@@ -403,7 +492,7 @@ def _flow(nodes: Iterable[Element | str]) -> Part:
         elif node.name == "br":
             out.new_line()
         elif node.name == "input":
-            if node.attributes.get("type", "").lower() in ("submit", "button", "reset"):
+            if node.visible and node.attributes.get("type", "").strip().lower() in BUTTONS | TEXT_INPUTS:
                 out.text(f" {node.attributes.get('value', '')} ")
         elif node.name not in BLOCKS:
             todo.append(iter(node.children))
@@ -418,11 +507,11 @@ def _flow(nodes: Iterable[Element | str]) -> Part:
             elif name == "pre":
                 out.block(_preformatted(node))
             elif name == "hr":
-                out.block(["---"])
+                out.block(["---"] if node.visible else [])
             elif name in ("blockquote", "dd"):
                 out.marked("    ", (yield node))
             elif name == "li":
-                out.marked("- ", (yield node) or [""])
+                out.marked("- " if node.visible else "", (yield node) or [""])
             elif name == "details" and "open" not in node.attributes:
                 todo.append(x for x in node.children if isinstance(x, Element) and x.name == "summary")
             else:
@@ -445,7 +534,7 @@ def _preformatted(node: Element) -> list[str]:
 
 
 def visible_text(html: str | None) -> str:
-    return "\n".join(_rendered(parse(html))).replace("\xa0", " ") if html else ""
+    return "\n".join(_rendered(_cover(parse(html)))).replace("\xa0", " ") if html else ""
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

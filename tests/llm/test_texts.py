@@ -342,6 +342,45 @@ def test_broken_pages_never_fail(parts):
     assert out == out.rstrip("\n")
 
 
+def test_visibility_and_declarations():
+    shown = lambda page: visible_text(page).split("\n")
+    assert shown('<div style="visibility:hidden">no <b style="visibility: visible">yes</b> no</div>') == ["yes"]
+    assert shown('<p style="--x-display: none">a</p><p style="not-visibility:hidden">b</p>') == ["a", "", "b"]
+    assert shown('<p style="display:none;display:block">a</p><p style="display:block;display:none">b</p>') == ["a"]
+    assert shown('<p style="display:none !important;display:block">a</p>b') == ["b"]
+    assert shown('<p STYLE="DISPLAY : None">a</p>b') == ["b"]
+    assert shown('<ul><li>a<li style="visibility:hidden">no<ul><li style="visibility:visible">b</ul></ul>') == ["- a", "- b"]
+    assert shown('<hr style="visibility:collapse">x') == ["x"]
+    assert shown('<input value="typed"><input type=password value=no><input type=checkbox value=no><input type=SUBMIT value=Go>') == ["typed Go"]
+
+
+def test_list_numbers():
+    items = lambda attributes, n=3: [x.split(" ")[0] for x in visible_text(f"<ol {attributes}>" + "<li>x" * n + "</ol>").split("\n")]
+    assert items("start=-1") == ["-1.", "0.", "1."] and items("reversed") == ["3.", "2.", "1."] and items("reversed start=7") == ["7.", "6.", "5."]
+    assert items("type=a start=26") == ["z.", "aa.", "ab."] and items("type=I start=3") == ["III.", "IV.", "V."] and items("type=A start=0") == ["0.", "A.", "B."]
+
+
+def test_table_widths_and_spans():
+    rows = lambda page: visible_text(page).split("\n")
+    assert rows("<table><tr><td>日本<td>x<tr><td>abc<td>y</table>") == ["日本  x", "abc   y"]
+    assert rows("<table><tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d<td>e</table>") == ["a  b", "   c", "d  e"]
+    long = "<table>" + "<tr><td rowspan=2000>a<td>b" + "<tr><td>c" * 1500 + "</table>"
+    assert set(rows(long)[1:]) == {"   c"}
+    assert rows("<table><tr><td colspan=1000>a<td>b</table>") == ["a  b"] or len(rows("<table><tr><td colspan=1000>a<td>b</table>")[0]) < 10
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<ul><li>x" * 20_000, "<table><tr><td>x" * 4_000, "<table><tr>" + "<td>x" * 16_000, "<blockquote>x" * 10_000, "<table><tr>" + "<td colspan=1000>x" * 4_000],
+    ids=["lists", "tables", "cells", "quotes", "spans"],
+)
+def test_deep_and_wide_pages_stay_small(page):
+    start = time.perf_counter()
+    text = visible_text(page)
+    assert text.count("x") == page.count("x") and len(text) < 10 * len(page)
+    assert time.perf_counter() - start < 5
+
+
 def test_page_edges(spark):
     pages = spark.createDataFrame([(1, None, "u"), (2, "", "u"), (3, "<div>" * 3000 + "deep", "u"), (3, "<p>x", "u"), (None, "<p>y", None)], "page_id long, html string, text string")
     got = sorted((str(r["page_id"]), r["text"]) for r in rows_of(extract_text(pages)))
