@@ -124,6 +124,7 @@ def resolve_interval(
     validate: bool = False,
     tz: str | None = None,
     strict: bool = False,
+    newest: DataFrame | None = None,
 ) -> DataFrame:
     """Resolve ``requests(eqmt, startdate, startshift, enddate, endshift)``.
 
@@ -142,11 +143,12 @@ def resolve_interval(
     * ``calendar_days`` / ``calendar_days_full``: midnights of the two dates / of
       the first date and of the day after the second; shifts are ignored
 
-    ``tz`` reads the calendar in that zone instead of the session's.
+    ``tz`` reads the calendar in that zone instead of the session's. ``newest(eqmt, last_ms)`` is the newest
+    reading per machine where it is known (see ``sources.newest_readings``); otherwise ``readings`` are scanned for it.
     """
     if rule not in RULES:
         raise ValueError(f"unknown rule {rule!r}")
-    if rule in (NEXT_OR_LAST_READING, NEXT_BY_NUMBER) and readings is None:
+    if rule in (NEXT_OR_LAST_READING, NEXT_BY_NUMBER) and readings is None and newest is None:
         raise ValueError(f"rule {rule!r} needs readings")
     asked = requests.columns
     start, end = F.col("start_at"), F.col("end_at")
@@ -210,7 +212,7 @@ def resolve_interval(
         }
     )
     if rule in (NEXT_OR_LAST_READING, NEXT_BY_NUMBER):
-        df = df.join(_last_reading(readings), "eqmt", "left")
+        df = df.join(_last_reading(readings) if newest is None else newest.select("eqmt", "last_ms"), "eqmt", "left")
         usable = F.col("last_ms")
         if rule == NEXT_BY_NUMBER:
             usable = F.when(usable >= F.col("from_ms"), usable)

@@ -2,6 +2,7 @@ from .calendar import calendar_between, calendar_of, wide_calendar
 from .files import (
     drop_levels,
     materialize_levels,
+    newest_readings,
     read_engine_hours,
     read_level_csv,
     read_levels,
@@ -9,6 +10,7 @@ from .files import (
     read_readings,
     read_shifts,
     refresh_levels,
+    store_readings,
     stored_levels,
     write_level_csv,
 )
@@ -18,6 +20,7 @@ __all__ = [
     "calendar_of",
     "drop_levels",
     "materialize_levels",
+    "newest_readings",
     "read_engine_hours",
     "read_level_csv",
     "read_levels",
@@ -25,6 +28,7 @@ __all__ = [
     "read_readings",
     "read_shifts",
     "refresh_levels",
+    "store_readings",
     "stored_levels",
     "wide_calendar",
     "write_level_csv",

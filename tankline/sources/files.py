@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .. import schema
-from ..functions import epoch_second_range
+from ..functions import DAY_MS, epoch_second_range
 
 LEVEL_TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSS Z"
 
@@ -202,3 +202,43 @@ def stored_levels(levels: DataFrame, path: str) -> Iterator[DataFrame]:
         yield read_levels(levels.sparkSession, path)
     finally:
         drop_levels(levels.sparkSession, path)
+
+
+def store_readings(readings: DataFrame, path: str) -> None:
+    """Store readings as Parquet by machine, in order of time; ``read_readings`` reads them. Fails if the path exists."""
+    columns = [f.name for f in schema.READINGS.fields]
+    # A machine's readings are spread over tasks, so that no task writes a third of all.
+    day = F.call_function("div", F.col("time_created"), F.lit(DAY_MS))
+    (
+        readings.select(*columns)
+        .repartition("eqmt", F.pmod(day, F.lit(MACHINE_PARTS)))
+        .sortWithinPartitions("eqmt", "time_created")
+        .write.mode("error")
+        .partitionBy("eqmt")
+        .parquet(path)
+    )
+
+
+def newest_readings(spark: SparkSession, path: str, into: str) -> DataFrame:
+    """``eqmt, last_ms``: the newest reading per machine of stored readings, a table that this call writes to ``into``.
+
+    Machines are folders and the newest time of a file stands in its footer, so no reading is read: Spark is asked to
+    push the aggregate down, for this job only.
+    """
+    settings = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        # Partitions come as text or numbers by their look; the machine's own type is set afterwards.
+        found = _newest(spark, path)
+        rows = found.select(F.col("eqmt").cast(schema.READINGS["eqmt"].dataType).alias("eqmt"), "last_ms")
+        rows.write.mode("error").csv(into)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.csv(into, schema="eqmt int, last_ms long")
+
+
+def _newest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).groupBy("eqmt").agg(F.max("time_created").alias("last_ms"))

@@ -11,6 +11,7 @@ from tankline.sources import (
     calendar_of,
     drop_levels,
     materialize_levels,
+    newest_readings,
     read_engine_hours,
     read_level_csv,
     read_levels,
@@ -18,6 +19,7 @@ from tankline.sources import (
     read_readings,
     read_shifts,
     refresh_levels,
+    store_readings,
     stored_levels,
     wide_calendar,
     write_level_csv,
@@ -183,3 +185,38 @@ def test_requests_open_only_their_days_and_machines(spark, tmp_path):
     assert max(_scanned(spark, found)) <= 3 * 40 / 4
     nothing = read_levels_for(spark, path, windows.limit(0))
     assert nothing.count() == 0
+
+
+def test_newest_readings_come_from_the_footers(spark, tmp_path):
+    from tankline.sources.files import _newest
+
+    rows = [(e, t, x) for e, t, x in random_readings(spark, 4) if e is not None] + [(900, "2024-02-01 00:00:00", None)]
+    readings, path = readings_of(spark, rows), f"{tmp_path}/r"
+    store_readings(readings, path)
+    assert alike(read_readings(spark, path), readings)
+    settings = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
+    before = {k: spark.conf.get(k) for k in settings}
+    found = newest_readings(spark, path, f"{tmp_path}/newest")
+    assert {k: spark.conf.get(k) for k in settings} == before
+    want = readings.groupBy("eqmt").agg(F.max("time_created").alias("last_ms"))
+    assert alike(found, want)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        plan = _newest(spark, path)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "PushedAggregation: [MAX(time_created)]" in plan and "PushedGroupBy: [eqmt]" in plan
+
+
+@pytest.mark.parametrize("rule", ["next_or_last_reading", "next_by_number"])
+def test_intervals_take_the_newest_readings_as_given(spark, tmp_path, rule):
+    from .conftest import requests_of
+
+    readings = readings_of(spark, [(1, "2024-01-03 10:00:00", 5), (2, "2024-01-01 10:00:00", 6)])
+    requests = requests_of(spark, [(e, "2024-01-02", 1, "2024-01-03", 2) for e in (1, 2, 3)])
+    store_readings(readings, f"{tmp_path}/r")
+    newest = newest_readings(spark, f"{tmp_path}/r", f"{tmp_path}/newest")
+    given = ops.resolve_interval(requests, shifts_of(spark), rule, newest=newest)
+    assert alike(given, ops.resolve_interval(requests, shifts_of(spark), rule, readings=readings))
