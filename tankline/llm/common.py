@@ -16,11 +16,19 @@ SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the data folder. Python workers are told where this library lies, whatever folder the driver started in."""
+def tell_workers(spark: SparkSession) -> None:
+    """Tells Python workers where this library lies, whatever folder the driver started in.
+
+    On several machines the library must be installed at that place, or be sent with ``--py-files``.
+    """
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data folder."""
+    tell_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -56,6 +64,7 @@ def barrier(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that driver and executors see: below spark.checkpoint.dir, else below the warehouse."""
+    tell_workers(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
 
@@ -72,6 +81,7 @@ ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string"
 
 def map_rows(df: DataFrame, fields: str, make: Callable[..., tuple[list, ...]], rows: int = 512) -> DataFrame:
     """``make`` turns lists of column values, ``rows`` at a time, into lists of the columns of ``fields``."""
+    tell_workers(df.sparkSession)
     schema = pa.schema([(name, ARROW[kind]) for name, kind in map(str.split, fields.split(", "))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,6 +25,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tankline.llm.common import tell_workers
+
 WINDOW = 32
 #: One 32-bit number per byte value, drawn from a hash stream.
 GEAR = np.frombuffer(hashlib.shake_128(b"gear table").digest(1024), dtype="<u4").astype(np.uint32)
@@ -126,6 +128,7 @@ def document_fingerprints(docs: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
                 kind = pa.list_(pa.struct([("digest", pa.string()), ("length", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(chunks, kind)], ["doc_id", "chunks"])
 
+    tell_workers(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, chunks array<struct<digest: string, length: bigint>>")
 
 
@@ -198,4 +201,5 @@ def compare_with_edits(docs: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*out, strict=True), strict=True)), schema=schema)
 
     schema = pa.schema(list(zip(names, [pa.int64()] * 2 + [pa.string()] * 3 + [pa.float64()] * 2, strict=True)))
+    tell_workers(docs.sparkSession)
     return _dealt(docs.select("doc_id", "text")).select("run", "doc_id", "guest", "text").mapInArrow(run, FIELDS)

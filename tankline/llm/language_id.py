@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tankline.llm.common import held_out, in_sample
+from tankline.llm.common import held_out, in_sample, tell_workers
 
 #: Labelled documents that the model is fitted on, about.
 SAMPLE = 8_000
@@ -163,6 +163,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
                 columns += [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score"])
 
+    tell_workers(docs.sparkSession)
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tankline.llm.common import shared_folder, stored
+from tankline.llm.common import shared_folder, stored, tell_workers
 
 CAPACITY = 1024
 END = 2
@@ -130,6 +130,7 @@ def token_pieces(docs: DataFrame, path: str = TOKENIZER, capacity: int = CAPACIT
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
+    tell_workers(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, fields)
 
 
