@@ -261,13 +261,8 @@ def fuel_used_first_last(
     spans = spans_of(intervals)
     if prune:
         readings = needed_readings(readings, spans, look_back=False)
-    liters = F.col("liters").try_cast("decimal(28,12)")
-    copies = F.col("copies").cast("decimal(10,0)")
-    sums = {
-        "rows": F.col("copies"),
-        "known": F.when(liters.isNotNull(), F.col("copies")),
-        "total": (liters * copies).cast("decimal(38,12)"),
-    }
+    total = (F.col("liters") * F.col("copies")).try_cast("decimal(38,12)")
+    sums = {"rows": F.col("copies"), "known": F.when(total.isNotNull(), F.col("copies")), "total": total}
     bucket = lambda at: F.unix_millis(time_bucket_modulo(F.timestamp_millis(at), 10))
     marks = end_marks(spans, "both")
     read = read_at(merged_copies(readings, "liters"), marks, "liters", lambda: sums, unit=bucket, by_unit=True)

@@ -303,7 +303,8 @@ def fuel_usage_quality_requests(spark, sf_dir):
             "perc_need_cab": F.when(strict, 0.3).otherwise(0.1),
         }
     )
-    return ops.fuel_usage_quality_requests(t.readings(spark, sf_dir), asked)
+    # One range is all history: nothing to prune.
+    return ops.fuel_usage_quality_requests(t.readings(spark, sf_dir), asked, prune=False)
 
 
 @query
@@ -329,7 +330,7 @@ def fuel_usage_quality_by_shift_requests(spark, sf_dir):
     """Ranges and limits per request; where a request has none, the usual ones."""
     readings = t.readings(spark, sf_dir)
     asked = t.second_requests(spark, sf_dir).withColumn("max_fuel_diff", F.when(F.col("t0") == TEN_DAYS[0], 50.0))
-    return ops.fuel_usage_quality_by_shift_requests(readings, asked, calendar_of(readings))
+    return ops.fuel_usage_quality_by_shift_requests(readings, asked, calendar_of(readings), prune=False)
 
 
 def _over(method, rule: str, validate: bool = False, tz: str | None = None, **more):
