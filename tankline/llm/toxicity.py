@@ -7,28 +7,28 @@ together make likeliest. Where it is open whether signs at the ends, doubled let
 has both readings. The restored words are then scored by the log odds of the words that tell
 toxic from other texts, and the sum is calibrated to a probability.
 
-All tables are learned from a sample of labelled rows of bounded size (``SAMPLE`` documents, drawn by
-a hash of the id). Every document is then read whole.
+All tables are learned from all labelled documents: trigrams and words are counted by Spark, and the calibration's
+sums, too, run over every labelled document. Every document is then read whole.
 
 Edge cases: NULL and empty texts have no words and get the score of such a text; without any
 labelled row the score is 0; repeated label rows count as toxic if one of them does; an empty
-table gives an empty result; columns other than those named are ignored.
+table gives an empty result; columns other than those named are ignored. The labelled texts and the odds of all
+documents are stored in the shared folder.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tankline.llm.common import held_out, in_sample, map_rows
+from tankline.llm.common import held_out, map_rows, shared_folder, stored
 
-#: Labelled documents that the tables are fitted on, about.
-SAMPLE = 16_000
 #: Words that the classifier looks at: the VOCABULARY with the greatest log-likelihood ratio, which is at least
 #: STRONG, and whose log odds are at least APART.
 VOCABULARY, STRONG, APART = 2_000, 24.0, 1.0
@@ -99,25 +99,34 @@ class CharacterModel:
 
 def restore(token: str, model: CharacterModel, beam: int = BEAM) -> str:
     """The likeliest plain word behind a token."""
+    log = model.log
     paths: dict[str, tuple[float, str]] = {"^^": (0.0, "")}  # by the last two characters
     for c in token:
+        if len(paths) == 1 and c.isalpha():
+            [(context, (score, text))] = paths.items()
+            if c != context[1]:
+                paths = {context[1] + c: (score + log(context, c), text + c)}
+                continue
+        options = [(c, 0.0)] if c.isalpha() else [(x, SIGN) for x in LEET.get(c, "")]
+        options += [(x, MASK) for x in MASKED] if c in MASKS else []
+        dropped = c in SEPARATORS or not options
         step: dict[str, tuple[float, str]] = {}
-
-        def offer(context: str, score: float, text: str, step: dict = step) -> None:
-            if context not in step or step[context][0] < score:
-                step[context] = (score, text)
-
         for context, (score, text) in paths.items():
-            options = [(c, 0.0)] if c.isalpha() else [(x, SIGN) for x in LEET.get(c, "")]
-            options += [(x, MASK) for x in MASKED] if c in MASKS else []
+            last = context[1]
             for x, cost in options:
-                offer(context[1] + x, score + cost + model.log(context, x), text + x)
-                if x == context[1]:
-                    offer(context, score + cost + AGAIN, text)
-            if c in SEPARATORS or not options:
-                offer(context, score + GAP, text)
-        paths = dict(sorted(step.items(), key=lambda p: -p[1][0])[:beam])
-    return max(((s + model.log(k, "$"), t) for k, (s, t) in paths.items()), default=(0.0, ""))[1]
+                after, total = last + x, score + cost + log(context, x)
+                if after not in step or step[after][0] < total:
+                    step[after] = (total, text + x)
+                if x == last:
+                    total = score + cost + AGAIN
+                    if context not in step or step[context][0] < total:
+                        step[context] = (total, text)
+            if dropped:
+                total = score + GAP
+                if context not in step or step[context][0] < total:
+                    step[context] = (total, text)
+        paths = dict(sorted(step.items(), key=lambda p: -p[1][0])[:beam]) if len(step) > 1 else step
+    return max(((s + log(k, "$"), t) for k, (s, t) in paths.items()), default=(0.0, ""))[1]
 
 
 def _long(span: str) -> bool:
@@ -132,6 +141,14 @@ class Restorer:
     model: CharacterModel
     memory: dict[str, str] = field(default_factory=dict)
     readings: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    restored: dict[str, str] = field(default_factory=dict)
+
+    def _restore(self, core: str) -> str:
+        if core not in self.restored:
+            if len(self.restored) > REMEMBERED:
+                self.restored.clear()
+            self.restored[core] = restore(core, self.model)
+        return self.restored[core]
 
     def _word(self, token: str) -> str:
         if token not in self.memory:
@@ -143,7 +160,7 @@ class Restorer:
                 core = (lead[0][-1] if lead and lead[0][-1] in LEET else "") + core
             plain = core.isalpha() and not TRIPLE.search(core)
             disguised = not plain and any(x.isalpha() for x in core)
-            self.memory[token] = restore(core, self.model) if disguised else core
+            self.memory[token] = self._restore(core) if disguised else core
         return self.memory[token]
 
     def _readings(self, token: str) -> tuple[str, ...]:
@@ -151,10 +168,13 @@ class Restorer:
         if token not in self.readings:
             if len(self.readings) > REMEMBERED:
                 self.readings.clear()
+            if token.isalpha() and not DOUBLE.search(token):
+                self.readings[token] = (token,)
+                return self.readings[token]
             whole = AROUND.sub("", token)
             likely = self._word(token)
             disguised = not whole.isalpha() or DOUBLE.search(whole)
-            self.readings[token] = (likely, restore(whole, self.model)) if whole and disguised else (likely,)
+            self.readings[token] = (likely, self._restore(whole)) if whole and disguised else (likely,)
         return self.readings[token]
 
     def words(self, text: str | None) -> set[str]:
@@ -162,11 +182,8 @@ class Restorer:
         low = (text or "").lower()
         tokens = set(low.split())
         found = {t for t in tokens if t.isalpha()}
-        for token in tokens - found:
-            found.update(self._readings(token))
-        if DOUBLE.search(low):
-            for token in [t for t in tokens if DOUBLE.search(t)]:
-                found.update(self._readings(token))
+        for token in tokens:
+            found.update(self.readings.get(token) or self._readings(token))
         for span in SPACED.finditer(low):
             if _long(span[0]):
                 found.update(self._readings(span[0]))
@@ -193,73 +210,90 @@ class Model:
     def odds(self, text: str | None) -> float:
         return sum(self.weights[w] for w in sorted(self.vocabulary & self.restorer.words(text)))
 
-    def score(self, text: str | None) -> float:
-        z = self.intercept + self.slope * self.odds(text)
-        return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
+    def score(self, odds: Column) -> Column:
+        z = F.lit(self.intercept) + F.lit(self.slope) * odds
+        return F.when(z > -700, 1 / (1 + F.exp(-z))).otherwise(0.0)
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and intercept of a logistic regression on one feature, by Newton steps with a small ridge."""
-    a, b = 0.0, math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+def calibrate(points: DataFrame, rounds: int = 50) -> tuple[float, float]:
+    """Slope and intercept of a logistic regression on one feature, by Newton steps with a small ridge.
+
+    ``points`` has ``odds`` and how many rows of it are ``good`` and ``bad``. Every step sums over all of them, as decimals,
+    so that the order of the sums changes nothing.
+    """
+    totals = points.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
+    if totals["bad"] is None:
+        return 0.0, -math.inf
+    a, b = 0.0, math.log((totals["bad"] + 1) / (totals["good"] + 1))
+    x, n = F.col("odds"), F.col("bad") + F.col("good")
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        w = np.maximum(p * (1 - p), 1e-9)
-        gradient = np.array([((y - p) * x).sum() - 1e-3 * a, (y - p).sum()])
-        hessian = np.array([[(w * x * x).sum() + 1e-3, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-3]])
+        z = F.least(F.greatest(F.lit(a) * x + F.lit(b), F.lit(-30.0)), F.lit(30.0))
+        p = 1 / (1 + F.exp(-z))
+        w = n * F.greatest(p * (1 - p), F.lit(1e-9))
+        r = F.col("bad") - n * p
+        terms = {"rx": r * x, "r": r, "wxx": w * x * x, "wx": w * x, "w": w}
+        sums = points.agg(*[F.sum(t.cast("decimal(38,16)")).alias(k) for k, t in terms.items()]).first()
+        rx, r_, wxx, wx, w_ = map(float, sums)
+        gradient = np.array([rx - 1e-3 * a, r_])
+        hessian = np.array([[wxx + 1e-3, wx], [wx, w_ + 1e-3]])
         step = np.clip(np.linalg.solve(hessian, gradient), -2, 2)
-        a, b = a + step[0], b + step[1]
+        a, b = float(a + step[0]), float(b + step[1])
         if np.abs(step).max() < 1e-8:
             break
-    return float(a), float(b)
+    return a, b
+
 
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2) -> tuple[Model, DataFrame]:
+    """Learns from all labelled documents that are not held out; also gives ``doc_id`` and ``odds`` of every document.
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learns from about ``sample`` of the labelled documents."""
+    Labels and texts meet in a merge join, whatever their sizes: labels grow with the documents.
+    """
+    folder = shared_folder(docs.sparkSession)
+    taught = ~held_out(F.col("doc_id"), modulus, remainder)
+    labels = labels.filter(taught)
     labels = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-    share = min(1.0, sample / max(1, labels.count()))
-    labels = labels.filter(in_sample(share, "toxicity sample", "doc_id"))
-    labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    drawn = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id").select("text", "toxic").cache()
-    try:
-        plain = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[ \t-\r]+"), lambda w: w.rlike(r"^\p{L}+$"))
-        words = drawn.select(F.explode(plain).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-        marked = F.concat(F.lit("^^"), F.col("word"), F.lit("$"))
-        grams = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length(marked) - 2), lambda i: F.substring(marked, i, F.lit(3)))).alias("gram"), "n")
-        trigrams = {r["gram"]: r["n"] for r in grams.groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1").collect()}
-        characters = CharacterModel(trigrams)
-        restorer = drawn.sparkSession.sparkContext.broadcast(Restorer(characters))
-
-        def pairs(texts: list, toxic: list) -> tuple[list, list]:
-            found = [(w, t) for text, t in zip(texts, toxic, strict=True) for w in restorer.value.words(text)]
-            return [w for w, _ in found], [t for _, t in found]
-
-        totals = {r["toxic"]: r["n"] for r in drawn.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-        bad, good = totals.get(1, 0), sum(n for t, n in totals.items() if t != 1)
-        seen = map_rows(drawn, "word string, toxic int", pairs).groupBy("word")
-        seen = seen.agg(F.sum((F.col("toxic") == 1).cast("long")).alias("bad"), F.sum((F.col("toxic") != 1).cast("long")).alias("good"))
-        odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
-        both = (F.col("bad") + F.col("good")) / (bad + good)
-        term = lambda n, total: F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) / (both * total))).otherwise(0.0)
-        seen = seen.select("word", odds.alias("odds"), (2 * (term("bad", max(bad, 1)) + term("good", max(good, 1)))).alias("ratio"))
-        seen = seen.filter((F.col("ratio") >= STRONG) & (F.abs("odds") >= APART))
-        best = seen.orderBy(F.col("ratio").desc(), "word").limit(VOCABULARY).collect()
-        model = Model(characters, {r["word"]: r["odds"] for r in best})
-        shared = drawn.sparkSession.sparkContext.broadcast(model)
-        sums = map_rows(drawn, "odds double, toxic int", lambda texts, toxic: ([shared.value.odds(t) for t in texts], toxic)).collect()
-    finally:
-        drawn.unpersist()
-    if sums:
-        x, y = np.array([r["odds"] for r in sums]), np.array([float(r["toxic"] == 1) for r in sums])
-        model.slope, model.intercept = calibrate(x, y)
-    return model
+    labels = labels.groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
+    texts = docs.select("doc_id", "text").filter(taught)
+    known = stored(texts.join(labels.hint("merge"), "doc_id").select("text", "toxic"), folder, "labelled")
+    plain = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[ \t-\r]+"), lambda w: w.rlike(r"^\p{L}+$"))
+    words = known.select(F.explode(plain).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    marked = F.concat(F.lit("^^"), F.col("word"), F.lit("$"))
+    grams = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length(marked) - 2), lambda i: F.substring(marked, i, F.lit(3)))).alias("gram"), "n")
+    trigrams = {r["gram"]: r["n"] for r in grams.groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1").collect()}
+    characters = CharacterModel(trigrams)
+    restorer = known.sparkSession.sparkContext.broadcast(Restorer(characters))
+
+    def counts(texts: list, toxic: list) -> tuple[list, list, list]:
+        bad, good = Counter(), Counter()
+        for text, t in zip(texts, toxic, strict=True):
+            (bad if t else good).update(restorer.value.words(text))
+        found = sorted(bad.keys() | good.keys())
+        return found, [bad[w] for w in found], [good[w] for w in found]
+
+    totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    bad, good = totals.get(True, 0), totals.get(False, 0)
+    seen = map_rows(known, "word string, bad long, good long", counts, rows=2_048).groupBy("word")
+    seen = seen.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
+    both = (F.col("bad") + F.col("good")) / (bad + good)
+    term = lambda n, total: F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) / (both * total))).otherwise(0.0)
+    seen = seen.select("word", odds.alias("odds"), (2 * (term("bad", max(bad, 1)) + term("good", max(good, 1)))).alias("ratio"))
+    seen = seen.filter((F.col("ratio") >= STRONG) & (F.abs("odds") >= APART))
+    best = seen.orderBy(F.col("ratio").desc(), "word").limit(VOCABULARY).collect()
+    model = Model(characters, {r["word"]: r["odds"] for r in best})
+    shared = known.sparkSession.sparkContext.broadcast(model)
+    each = map_rows(docs.select("doc_id", "text"), "doc_id long, odds double", lambda ids, texts: (ids, [shared.value.odds(t) for t in texts]))
+    each = stored(each, folder, "odds")
+    points = each.join(labels, "doc_id").groupBy("odds")
+    points = points.agg(F.count_if("toxic").alias("bad"), F.count_if(~F.col("toxic")).alias("good"))
+    model.slope, model.intercept = calibrate(stored(points, folder, "points"))
+    return model, each
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted``; learns from labels of documents that are not held out."""
-    model = fit(docs, labels.filter(~held_out(F.col("doc_id"), modulus, remainder)))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    scored = map_rows(docs.select("doc_id", "text"), "doc_id long, score double", lambda ids, texts: (ids, [shared.value.score(t) for t in texts]))
-    return scored.select(
+    model, odds = fit(docs, labels, modulus, remainder)
+    return odds.select("doc_id", model.score(F.col("odds")).alias("score")).select(
         "doc_id",
         held_out(F.col("doc_id"), modulus, remainder).alias("held_out"),
         "score",

@@ -1,6 +1,7 @@
 """Fingerprints, packing, language, toxicity, pages: edges, round trips, held-out accuracy."""
 
 import hashlib
+import math
 import time
 import zlib
 from itertools import combinations
@@ -9,13 +10,14 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tankline.llm import fingerprints as fp
 from tankline.llm import packing as pk
 from tankline.llm.html_text import extract_text, visible_text
 from tankline.llm.language_id import language_id
-from tankline.llm.toxicity import CharacterModel, Restorer, restore, toxicity
+from tankline.llm.toxicity import CharacterModel, Restorer, fit, restore, toxicity
 from tests.llm.data import SYLLABLES, edge_rows, rows_of, table, text, words
 
 # --- fingerprints
@@ -284,6 +286,23 @@ def test_toxicity_edges(spark):
     assert rows_of(toxicity(table(spark, rows).limit(0), labels)) == []
 
 
+def test_toxicity_learns_from_all_labels(spark):
+    """More labelled documents than the 16,000 that were once drawn: every one counts, also in the calibration."""
+    n, id_ = 20_000, F.col("id")
+    toxic = (id_ % 10 == 0).cast("int")
+    word = F.when(id_ % 10 != 0, "kind").when(id_ % 20 == 0, "m0r0n").otherwise("moron")
+    rare = F.when(id_ % 2_000 == 0, " scum").otherwise("")
+    docs = spark.range(n).select(id_.alias("doc_id"), F.concat(F.lit("some "), word, rare, F.lit(" words")).alias("text"))
+    model, odds = fit(docs, spark.range(n).select(id_.alias("doc_id"), toxic.alias("toxic")), modulus=1, remainder=1)
+    weight = lambda bad, good: math.log((bad + 0.5) / (2_000 + 1)) - math.log((good + 0.5) / (18_000 + 1))
+    want = {"moron": weight(2_000, 0), "scum": weight(10, 0), "kind": weight(0, 18_000)}
+    assert {w: model.weights[w] for w in want} == pytest.approx(want)
+    assert model.characters.trigrams["^^m"] == 1_000 and model.characters.trigrams["^^s"] == n + 10
+    # At the optimum the scores add up to the toxic documents.
+    total = odds.agg(F.count("doc_id"), F.sum(model.score(F.col("odds")))).first()
+    assert total[0] == n and total[1] == pytest.approx(2_000, abs=0.01)
+
+
 # --- pages
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><h1>Head</h1><p>one<p>two <b>bold</b> text
