@@ -12,8 +12,8 @@ from ..sources.calendar import wide_calendar
 from .intervals import interval_of_seconds
 from .limits import limit_of
 from .resample import resampled
-from .slots import SHARED, SLOT, edge_rows, slot_units
-from .spans import SPAN, needed_readings, spans_of, unit_of
+from .slots import SHARED, SLOT, edge_rows, end_units, is_whole
+from .spans import SPAN, needed_readings, rows_in_spans, spans_of, unit_of
 
 
 @dataclass(frozen=True)
@@ -86,7 +86,8 @@ def fuel_usage_quality(
 def _levels_of_spans(readings: DataFrame, spans: DataFrame, minutes: int, prune: bool) -> DataFrame:
     """The positive levels of each span's own buckets, with their previous one: ``eqmt, from_ms, to_ms, slot, fuel, fuel_prev``.
 
-    A bucket that lies inside a span has one mean for all spans.
+    A bucket that lies inside a span has one mean for all spans. Spans meet the buckets that hold readings day by day; only
+    the two buckets at their ends are looked up one by one.
     """
     if 60 % minutes:
         raise ValueError("minutes must divide 60")
@@ -94,12 +95,14 @@ def _levels_of_spans(readings: DataFrame, spans: DataFrame, minutes: int, prune:
     if prune:
         readings = needed_readings(readings, spans, look_back=False)
     kind = readings.schema["eqmt"].dataType
-    units = slot_units(spans.withColumn("eqmt", F.col("eqmt").cast(kind)), "both", slot_ms)
+    spans = spans.withColumn("eqmt", F.col("eqmt").cast(kind))
     placed = readings.withColumn("slot", unit_of(F.col("time_created"), slot_ms))
     mean = F.round(F.avg("liters"), 9).alias("fuel")
     shared = placed.groupBy(*SHARED).agg(mean)
-    whole = shared.join(units.filter("whole").drop("whole").repartition(*SHARED), list(SHARED))
-    levels = whole.unionByName(edge_rows(placed, units, "both").groupBy(*SLOT).agg(mean))
+    # minutes divide the hour, so a bucket lies within one day.
+    inside = is_whole("both", slot_ms)
+    whole = rows_in_spans(shared, spans, F.col("slot") * slot_ms, "both").filter(inside).select(*SLOT, "fuel")
+    levels = whole.unionByName(edge_rows(placed, end_units(spans, "both", slot_ms), "both").groupBy(*SLOT).agg(mean))
     order = Window.partitionBy(*SPAN).orderBy("slot")
     return _positive_levels(levels.withColumn("fuel_prev", F.lag("fuel").over(order)))
 

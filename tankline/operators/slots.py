@@ -10,10 +10,10 @@ millisecond are ordered by level, NULL first.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spans import SPAN, is_inside, units_in
+from .spans import SPAN, is_inside, unit_of
 
 #: Keys of a slot row of one interval, and of a slot row that all intervals share.
 SLOT = (*SPAN, "slot")
@@ -36,12 +36,18 @@ def in_order(rows: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
     )
 
 
-def slot_units(spans: DataFrame, closed: str, slot_ms: int) -> DataFrame:
-    """Each span with each slot that it touches; ``whole`` where the slot lies inside it."""
+def is_whole(closed: str, slot_ms: int) -> Column:
+    """Whether the slot lies inside the span."""
     begin = F.col("slot") * slot_ms
     last = F.col("to_ms") if closed == "both" else F.col("to_ms") - 1
-    whole = (begin >= F.col("from_ms")) & (begin + (slot_ms - 1) <= last)
-    return units_in(spans, slot_ms, "slot").withColumn("whole", whole)
+    return (begin >= F.col("from_ms")) & (begin + (slot_ms - 1) <= last)
+
+
+def end_units(spans: DataFrame, closed: str, slot_ms: int) -> DataFrame:
+    """Each span with the slots of its two ends; ``whole`` where the slot lies inside it."""
+    first, last = unit_of(F.col("from_ms"), slot_ms), unit_of(F.col("to_ms"), slot_ms)
+    ends = spans.withColumn("slot", F.explode(F.array_distinct(F.array(first, last))))
+    return ends.withColumn("whole", is_whole(closed, slot_ms))
 
 
 def edge_rows(placed: DataFrame, units: DataFrame, closed: str) -> DataFrame:
