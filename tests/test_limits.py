@@ -125,3 +125,29 @@ def test_quality_by_shift_of_requests_equals_the_single_range(spark, data):
         want = ops.fuel_usage_quality_by_shift(readings, shifts, t0 + k, t1).collect()
         mine = sorted(str((r.eqmt, r.shiftstart_epoch, r.fuel_used, r.status, r.accuracy)) for r in got if r.t0 == t0 + k)
         assert mine == sorted(str((r.eqmtid, r.shiftstart_epoch, r.fuel_used, r.status, r.accuracy)) for r in want) and mine
+
+
+def test_an_interval_takes_few_blocks(spark):
+    """Numbers, not moments, are cut: six blocks of a size at most, which tile the stretch; none where nothing changed."""
+    from tankline.operators.limits import FAN, SIZES, _pieces
+
+    stretches = [(0, 1), (0, 2), (3, 4), (1, 67), (0, 64), (5, 1_000), (7, 300_000), (262_143, 1_000_001), (5, 5), (0, 0)]
+    pieces = spark.createDataFrame(stretches, "first long, stop long").select("*", _pieces(F.col("first"), F.col("stop"))).collect()
+    for first, stop in stretches:
+        own = sorted((r.block * FAN**r.k, (r.block + 1) * FAN**r.k) for r in pieces if (r.first, r.stop) == (first, stop))
+        if first == stop:
+            assert [b for _, b in own] == [0]  # before all numbers
+        else:
+            assert own[0][0] == first and own[-1][1] == stop and all(a[1] == b[0] for a, b in zip(own, own[1:]))
+            assert len(own) <= 2 * (FAN - 1) * SIZES + stop // FAN**SIZES
+
+
+def test_requests_are_not_cut_into_buckets(spark):
+    """A request of a year with two readings meets days, not the 52,560 buckets of ten minutes."""
+    readings = readings_of(spark, [(1, "2024-01-01 00:01:00", 500), (1, "2024-01-01 00:12:00", 480)])
+    requests = spark.createDataFrame([(1, START // 1000, START // 1000 + 366 * 86_400)], "eqmt int, t0 long, t1 long")
+    got = ops.fuel_usage_quality_requests(readings, requests, minutes=10, prune=False)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    cut = [line for line in plan.split("\n") if "explode(sequence(" in line]
+    assert cut and all("86400000" in line and "600000)" not in line.replace("86400000", "") for line in cut), cut
+    assert [(r.fuel_used, r.status) for r in got.collect()] == [(20.0, "Ok")]
